@@ -92,12 +92,17 @@ def is_closed(ring, tolerance_m=3.0) -> Column:
 
 
 def ring_area(ring) -> Column:
-    """Shoelace area in square metres on a local projection."""
+    """Shoelace area of a closed ring in square metres, on a local projection.
+
+    Coordinates are taken from the first vertex: the area is the same, without the loss of
+    digits that products of large coordinates bring.
+    """
     lat0 = _total(F.transform(ring, lambda p: p["lat"])) / F.size(ring)
     k = F.cos(F.radians(lat0)) * DEG_M
-    cross = F.transform(edges(ring), lambda e: (e["a"]["lon"] * k * e["b"]["lat"] * DEG_M
-                                                - e["b"]["lon"] * k * e["a"]["lat"] * DEG_M))
-    return F.abs(_total(cross)) / 2
+    y0, x0 = F.try_element_at(ring, F.lit(1))["lat"], F.try_element_at(ring, F.lit(1))["lon"]
+    cross = F.transform(edges(ring), lambda e: (
+        (e["a"]["lon"] - x0) * (e["b"]["lat"] - y0) - (e["b"]["lon"] - x0) * (e["a"]["lat"] - y0)))
+    return F.abs(_total(cross)) / 2 * k * DEG_M
 
 
 def ring_box(ring) -> Column:

@@ -26,15 +26,21 @@ def half_even(value, digits) -> Column:
     return F.bround(value, digits)
 
 
+def half_up(value, digits=0) -> Column:
+    """Rounding of positive numbers the way a browser does it."""
+    scale = float(10 ** digits)
+    return F.floor(value * scale + 0.5) / scale
+
+
 def rounded_coordinate(value) -> Column:
     return F.bround(value, 5)
 
 
 def format_distance(km) -> Column:
     """Metres below 1 km, one decimal below 10 km, whole km above."""
-    return (F.when(km < 1, F.concat(F.round(km * 1000, 0).cast("int").cast("string"), F.lit(" m")))
+    return (F.when(km < 1, F.concat(half_up(km * 1000).cast("int").cast("string"), F.lit(" m")))
             .when(km < 10, F.concat(F.format_number(km, 1), F.lit(" km")))
-            .otherwise(F.concat(F.round(km, 0).cast("int").cast("string"), F.lit(" km"))))
+            .otherwise(F.concat(half_up(km).cast("int").cast("string"), F.lit(" km"))))
 
 
 def format_note(note, lang="fr") -> Column:

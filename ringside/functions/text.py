@@ -29,6 +29,11 @@ def fold(text) -> Column:
     return F.coalesce(F.lower(bare), F.lit(""))
 
 
+def once(value, use) -> Column:
+    """use(value), with value computed a single time per row however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def slug(text, default=None) -> Column:
     """URL segment: folded, runs of anything else than a-z0-9 become one dash, trimmed."""
     dashed = F.regexp_replace(fold(text), "[^a-z0-9]+", "-")

@@ -174,7 +174,7 @@ def full_rows(index: DataFrame, url_base: str, km=None, carry=()) -> DataFrame:
            c("d").alias("departement"), c("cp").alias("code_postal"), c("y").alias("latitude"),
            c("x").alias("longitude")]
     if km is not None:
-        out.append(F.round(km, 1).alias("distance_km"))
+        out.append(numbers.half_up(km, 1).alias("distance_km"))
     return index.select(
         *carry, *out, (c("p") == 1).alias("piste"), c("lp").alias("longueur_piste_m"),
         c("lpp").alias("longueur_probable_m"), c("cl").alias("couloirs"),

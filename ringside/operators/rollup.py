@@ -11,21 +11,16 @@ from ringside import vocab
 from ringside.functions import numbers, text
 
 
-def detect_disciplines(label, type_name):
-    """Boolean column per certain discipline, and the two "some kind of" fall-backs."""
-    words = F.concat(text.fold(label), F.lit(" "), text.fold(type_name))
-    return words, {name: words.rlike(pattern) for name, pattern in vocab.DISCIPLINE_PATTERNS}
-
-
 def disciplines_of(label, type_name) -> Column:
     """struct<sure, maybe> of discipline names, for one equipment row."""
-    words, found = detect_disciplines(label, type_name)
-    sure = F.array_sort(F.array_compact(F.array(*[F.when(hit, F.lit(n)) for n, hit in found.items()])))
-    none = F.size(sure) == 0
-    maybe = F.array_compact(F.array(
-        F.when(none & words.contains("saut"), F.lit(vocab.UNKNOWN_JUMP))
-        .when(none & words.contains("lancer"), F.lit(vocab.UNKNOWN_THROW))))
-    return F.struct(sure.alias("sure"), maybe.alias("maybe"))
+    def read(words):
+        sure = F.array_sort(F.array_compact(F.array(
+            *[F.when(words.rlike(pattern), F.lit(name)) for name, pattern in vocab.DISCIPLINE_PATTERNS])))
+        vague = F.array_compact(F.array(F.when(words.contains("saut"), F.lit(vocab.UNKNOWN_JUMP))
+                                        .when(words.contains("lancer"), F.lit(vocab.UNKNOWN_THROW))))
+        return text.once(sure, lambda found: F.struct(found.alias("sure"), F.when(
+            F.size(found) == 0, vague).otherwise(F.array().cast("array<string>")).alias("maybe")))
+    return text.once(F.concat(text.fold(label), F.lit(" "), text.fold(type_name)), read)
 
 
 def surface_code(label) -> Column:
