@@ -25,8 +25,10 @@ def _accent_table():
 def fold(text) -> Column:
     """Lower case without accents; null becomes the empty string."""
     accented, plain = _accent_table()
+    text = F.col(text) if isinstance(text, str) else text
     bare = F.regexp_replace(F.translate(text, accented, plain), r"\p{Mn}", "")
-    return F.coalesce(F.lower(bare), F.lit(""))
+    is_ascii = F.octet_length(text) == F.char_length(text)     # most values: skip the table
+    return F.coalesce(F.when(is_ascii, F.lower(text)).otherwise(F.lower(bare)), F.lit(""))
 
 
 def once(value, use) -> Column:
