@@ -106,10 +106,11 @@ def _(t):
     return answer.select("count", "total", F.array_join(F.transform("results", lambda r: r["id"]), ",").alias("ids"))
 
 
-KEYS_SQL = "SELECT * FROM (VALUES " + ", ".join(f"('{s}', '{k}')" for k, s in vocab.SHORT_KEY.items() if k not in ("photos", "avis", "horaires", "acces_note")) + ") v(short, long)"
+KEYS_SQL = " UNION ALL ".join(f"SELECT '{s}' AS short, '{k}' AS long, count({s}) AS filled FROM ({COMPACT})"
+                             for k, s in vocab.SHORT_KEY.items() if k not in ("photos", "avis", "horaires", "acces_note"))
 
 
-@check("p6_key_dictionary", KEYS_SQL)
+@check("p6_key_dictionary", KEYS_SQL, ["sites"])
 def _(t):
     return publish.key_dictionary(_compact(t))
 

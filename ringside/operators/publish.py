@@ -186,10 +186,12 @@ def full_rows(index: DataFrame, url_base: str, km=None, carry=()) -> DataFrame:
 
 
 def key_dictionary(tracks: DataFrame) -> DataFrame:
-    """Short and long name of every key the given table publishes."""
-    names = F.explode(F.create_map(*[F.lit(x) for k, v in vocab.SHORT_KEY.items() for x in (v, k)]))
-    return tracks.limit(1).select(names.alias("short", "long")).where(
-        c("short").isin(*tracks.columns))
+    """Short and long name of every published key, with the number of venues that fill it."""
+    keys = [(short, key) for key, short in vocab.SHORT_KEY.items() if short in tracks.columns]
+    filled = tracks.agg(*[F.count(short).alias(short) for short, _ in keys])
+    rows = F.array(*[F.struct(F.lit(short).alias("short"), F.lit(key).alias("long"), c(short).alias("filled"))
+                     for short, key in keys])
+    return filled.select(F.inline(rows))
 
 
 # --------------------------------------------------------------------------- display values
