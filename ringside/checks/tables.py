@@ -150,7 +150,7 @@ SELECT concat('I', lpad(CAST(o_custkey AS STRING), 9, '0')) AS id, CASE o_orders
   substr(CAST(o_orderdate AS STRING), 1, 10) AS date FROM {orders}"""
 STAMPS = """
 SELECT concat('I', lpad(CAST(c_custkey AS STRING), 9, '0')) AS id, concat('2026-01-', lpad(CAST(1 + c_custkey % 28 AS STRING), 2, '0')) AS mtime
-FROM {customer} WHERE c_custkey % 4 <> 0"""
+FROM {customer} WHERE c_custkey % 5 <> 0"""
 SAMPLES = """
 SELECT CAST(c_nationkey AS STRING) AS dep, o_orderkey AS seq, CAST(CASE WHEN c_nationkey % 3 = 0 THEN 2020 ELSE year(o_orderdate) END AS INT) AS year
 FROM {orders} JOIN {customer} ON o_custkey = c_custkey"""

@@ -10,6 +10,7 @@ from ringside import vocab
 from ringside.functions import geo, text
 from ringside.operators import spatial
 from ringside.operators.publish import MISSING_DEP
+from ringside.session import cut_lineage
 
 c = F.col
 # fixed values: cities published whole although the census only knows their districts
@@ -203,12 +204,13 @@ def around_cities(cities_: DataFrame, venues: DataFrame, within_km=20.0, k=12,
     homes = membership.groupBy("id").agg(F.array_sort(F.collect_set("_city")).alias("homes"))  # one or two
     spots = venues.select("id", "lat", "lon").join(homes, "id", "left").withColumn(
         "homes", F.coalesce("homes", F.array().cast("array<string>")))
-    spots = spatial.keep_first(spots, ["lat", "lon", "homes"], ["id"], k)
+    # read by several steps of the search: kept once, narrow, in the shared folder
+    spots = cut_lineage(spatial.keep_first(spots, ["lat", "lon", "homes"], ["id"], k).drop("rank"))
     mine = spots.select(F.explode("homes").alias("q_home")).groupBy("q_home").agg(
         F.count("*").alias("_mine"))
     queries = cities_.select(c("city").alias("q_id"), c("lat").alias("q_lat"), c("lon").alias("q_lon"),
                              F.concat_ws("/", "slug", "dep").alias("q_home"))
-    queries = queries.join(mine, "q_home", "left").withColumn("_mine", F.coalesce("_mine", F.lit(0)))
+    queries = cut_lineage(queries.join(mine, "q_home", "left").withColumn("_mine", F.coalesce("_mine", F.lit(0))))
     candidates = spots.select(c("id").alias("c_id"), c("lat").alias("c_lat"), c("lon").alias("c_lon"), "homes")
     found = spatial.nearest(queries, candidates, k, within_m=within_km * 1000, need=c("_mine") + k,
                             exclude=F.array_contains(c("homes"), c("q_home")))
