@@ -36,11 +36,11 @@ def canonical_names(names: DataFrame, column="author") -> DataFrame:
 
 def board(contributions_: DataFrame, names: DataFrame, top=200) -> DataFrame:
     """Venues, photos and reviews per canonical name, the most active first, with a rank."""
-    told = contributions_.join(names, contributions_["author"] == names["name"]).select(
-        c("canonical").alias("name"), "kind", "id")
-    # distinct venues as a two-step count, so one very active name is spread by venue first
-    per_site = told.groupBy("name", "id").agg(
+    # counted per author and venue before anything is joined, so a very active author is small
+    each = contributions_.groupBy("author", "id").agg(
         F.count_if(c("kind") == "photo").alias("p"), F.count_if(c("kind") == "review").alias("a"))
+    per_site = each.join(names, each["author"] == names["name"]).groupBy(c("canonical").alias("name"), "id").agg(
+        F.sum("p").alias("p"), F.sum("a").alias("a"))
     totals = per_site.groupBy("name").agg(F.count("*").alias("sites"), F.sum("p").alias("photos"),
                                           F.sum("a").alias("reviews"))
     ranking = [F.desc("sites"), F.desc("photos"), F.desc("reviews"), F.asc("name")]

@@ -1,9 +1,14 @@
 """Equipment rows of the census rolled up into venues.
 
-One groupBy on the venue number. Every rule is a fixed-size partial aggregate (min_by, max_by,
-bool_or, max, min, count_if), so a venue holding a large share of all rows is reduced on the
-map side and no list of its equipment is ever built. The reference order of the rows, which
-"first seen wins" depends on, is an explicit ordering key.
+Every rule is a fixed-size partial aggregate (min_by, max_by, bool_or, max, min, count_if), so
+a venue holding a large share of all rows is reduced on the map side and no list of its
+equipment is ever built. The order of the rows, which "first seen wins" depends on, is an
+explicit ordering key.
+
+Rules over numbers and flags run as one hash aggregate; rules that pick a text by row order
+need Spark's sort aggregate and run beside it over their own few columns. Both are partitioned
+by venue number, so bringing them together moves no rows, and a query that only wants one of
+the two never runs the other.
 """
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -68,15 +73,17 @@ def rollup(equipment: DataFrame, order=("seq",)) -> DataFrame:
                      "dep_nom", "reg_nom", "equip_prop_type", "equip_gest_type",
                      text.present(c("inst_uai")).alias("school"), "equip_coordonnees")
     at = c("equip_coordonnees")
-    rolled = rows.groupBy("inst_numero").agg(
+    picked = rows.groupBy("inst_numero").agg(
         F.min_by(first, c("_seq")).alias("_first"),
         last_where(at, c("_track") & c("_located")).alias("_on_track"),
         first_where(at, c("_located")).alias("_anywhere"),
+        first_where(c("_surface"), c("_surface").isNotNull()).alias("_surface"),
+        first_where(c("equip_url"), text.present(c("equip_url"))).alias("_url"))
+    counted = rows.groupBy("inst_numero").agg(
         F.bool_or("_track").alias("piste"),
         F.max(on_track(numbers.lenient_int(c("equip_piste_nb")))).alias("couloirs"),
         F.max(on_track(numbers.lenient_int(c("equip_piste_long")))).alias("longueur_piste"),
         F.coalesce(F.bool_or(c("_surface") == "synthetique"), F.lit(False)).alias("_synthetic"),
-        first_where(c("_surface"), c("_surface").isNotNull()).alias("_surface"),
         F.coalesce(F.bool_or(c("_track") & c("equip_nature").isin(*vocab.COVERED_NATURES)),
                    F.lit(False)).alias("couvert"),
         *[F.bool_or(c(f"_d_{n}")).alias(f"_d_{n}") for n in vocab.DISCIPLINES],
@@ -92,8 +99,8 @@ def rollup(equipment: DataFrame, order=("seq",)) -> DataFrame:
         .alias("vestiaires"),
         F.max(whole("equip_trib_nb")).alias("tribunes"),
         F.min(whole("equip_service_date")).alias("annee"),
-        F.max(whole("equip_travaux_date")).alias("renovation"),
-        first_where(c("equip_url"), text.present(c("equip_url"))).alias("_url"))
+        F.max(whole("equip_travaux_date")).alias("renovation"))
+    rolled = counted.join(picked, "inst_numero", "left")
 
     head = lambda name: c(f"_first.{name}")
     place = F.coalesce(c("_on_track"), F.when(head("equip_coordonnees.lat").isNotNull(),
