@@ -159,3 +159,9 @@ def _(t):
 @check("o10_department_codes", "SELECT DISTINCT dep FROM sites_raw WHERE dep IS NOT NULL", ["sites_raw"])
 def _(t):
     return t.sites_raw.where("dep IS NOT NULL").select("dep").distinct().orderBy(F.length("dep"), "dep")
+
+
+@check("k6_candidate_json", """SELECT concat('{"osm":"', osm, '","dep":"', dep, '","points":', pts, ',"loop":', loop::VARCHAR, ',"ribbon":', ribbon::VARCHAR, '}') AS line FROM examined WHERE reason IS NULL""", ["examined"])
+def _(t):
+    kept = audit.candidates(audit.examine_traces(mapped.audit_objects(t.elements)))
+    return kept.select(F.to_json(F.struct("osm", "dep", c("pts").alias("points"), "loop", "ribbon")).alias("line"))

@@ -95,3 +95,8 @@ def _(t):
     usable = records(t).where(~c("parse_error") & F.schema_of_variant("record").startswith("OBJECT"))
     refused = validation.build_refusals(patch_source.typed_patches(usable, ["nom"]))
     return refused.select("file", F.array_join("unknown", ",").alias("unknown"))
+
+
+@check("v16_exit_status", f"SELECT CAST(count(*) > 0 AS INTEGER) AS exit_status, count(*) AS errors FROM ({EXPECTED})")
+def _(t):
+    return validation.record_errors(records(t)).agg((F.count("*") > 0).cast("int").alias("exit_status"), F.count("*").alias("errors"))
