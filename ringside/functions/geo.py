@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, functions as F
 
 from ringside import vocab
+from ringside.functions.text import once
 
 EARTH_M = 6371000.0
 DEG_M = 111320.0          # metres per degree used by the local projection
@@ -114,10 +115,11 @@ def ring_box(ring) -> Column:
 
 def box_sides(ring) -> Column:
     """Long and short side, in metres, of the bounding box."""
-    b = ring_box(ring)
-    wide = haversine(b["south"], b["west"], b["south"], b["east"])
-    tall = haversine(b["south"], b["west"], b["north"], b["west"])
-    return F.struct(F.greatest(wide, tall).alias("long_m"), F.least(wide, tall).alias("short_m"))
+    sides = lambda b: F.struct(
+        haversine(b["south"], b["west"], b["south"], b["east"]).alias("wide"),
+        haversine(b["south"], b["west"], b["north"], b["west"]).alias("tall"))
+    return once(once(ring_box(ring), sides), lambda s: F.struct(
+        F.greatest(s["wide"], s["tall"]).alias("long_m"), F.least(s["wide"], s["tall"]).alias("short_m")))
 
 
 def ribbon_length(perimeter_m, area_m2, long_m, short_m, max_width=12.0, min_ratio=4.0) -> Column:

@@ -57,14 +57,14 @@ def traces(keep_open=True) -> Column:
 # ------------------------------------------------------------------------ lap estimation
 def lap_rings(elements: DataFrame) -> DataFrame:
     """Closed rings that can be a lap: (ring_id, osm, m, pts, lat, lon, lanes)."""
+    measured = F.transform(traces(keep_open=False), lambda t: F.struct(
+        F.size(t["ring"]).alias("pts"), geo.perimeter(t["ring"]).alias("m"), geo.ring_centre(t["ring"]).alias("p")))
     one = elements.where(is_athletics()).select(
         F.concat(F.substring("type", 1, 1), c("id").cast("string")).alias("osm"),
-        tag("lanes").alias("lanes"), F.posexplode(traces(keep_open=False)).alias("no", "t"))
-    measured = one.where(F.size("t.ring") >= MIN_POINTS_LAP).select(
-        F.concat_ws("#", "osm", "no").alias("ring_id"), "osm", "lanes", F.size("t.ring").alias("pts"),
-        geo.perimeter(c("t.ring")).alias("m"), geo.ring_centre(c("t.ring")).alias("p"))
-    return measured.where(c("m").between(*LAP_BOUNDS)).select(
-        "ring_id", "osm", "m", "pts", c("p.lat").alias("ring_lat"), c("p.lon").alias("ring_lon"), "lanes")
+        tag("lanes").alias("lanes"), F.posexplode(measured).alias("no", "t"))
+    return one.where((c("t.pts") >= MIN_POINTS_LAP) & c("t.m").between(*LAP_BOUNDS)).select(
+        F.concat_ws("#", "osm", "no").alias("ring_id"), "osm", "t.m", "t.pts", c("t.p.lat").alias("ring_lat"),
+        c("t.p.lon").alias("ring_lon"), "lanes")
 
 
 def match_laps(venues: DataFrame, rings: DataFrame, radius_m=200.0) -> DataFrame:
@@ -123,13 +123,16 @@ def examine_traces(elements: DataFrame) -> DataFrame:
         F.when(~may_be_athletics(), "autre_sport").when(is_field_event(), "concours").alias("_why"),
         traces().alias("_all"))
     first = F.coalesce("_why", F.when(F.size("_all") == 0, F.lit("sans_trace")))
+    # measured inside the array, before the explode: a filter on a measure further down then
+    # reads a field, instead of being pushed below and measuring every ring again
+    measured = F.transform("_all", lambda t: F.struct(
+        t["ring"].alias("ring"), t["closed"].alias("closed"), F.size(t["ring"]).alias("pts"),
+        geo.perimeter(t["ring"]).alias("p"), geo.ring_area(t["ring"]).alias("a"),
+        geo.box_sides(t["ring"]).alias("box"), geo.ring_centre(t["ring"]).alias("c")))
     each = judged.withColumn("_first", first).select(
-        *keep, "osm", "tags", "_first",
-        F.posexplode_outer(F.when(first.isNull(), c("_all"))).alias("no", "_t"))
-    g = c("_t.ring")
-    measured = each.withColumn("ring", g).withColumns({
-        "pts": F.size("ring"), "_p": geo.perimeter(c("ring")), "_a": geo.ring_area(c("ring")),
-        "_box": geo.box_sides(c("ring")), "_c": geo.ring_centre(c("ring"))})
+        *keep, "osm", "tags", "_first", F.posexplode_outer(F.when(first.isNull(), measured)).alias("no", "_t"))
+    measured = each.select(*keep, "osm", "tags", "_first", "no", "_t", c("_t.ring").alias("ring"), c("_t.pts").alias("pts"),
+                           c("_t.p").alias("_p"), c("_t.a").alias("_a"), c("_t.box").alias("_box"), c("_t.c").alias("_c"))
     straight = F.when(c("_t.closed"), geo.ribbon_length(c("_p"), c("_a"), c("_box.long_m"), c("_box.short_m")))
     shaped = measured.withColumn("_straight", straight).withColumns({
         "loop": c("_t.closed") & c("_straight").isNull(), "ribbon": c("_straight").isNotNull(),
