@@ -42,7 +42,7 @@ def _(t):
     return facets.live_neighbours(facets.geo_cells(t.index))
 
 
-@check("k5_cell_lists", f"SELECT c.cell_y, c.cell_x, count(DISTINCT c.id) AS venues, count(DISTINCT (near_y, near_x)) AS neighbours FROM {CELLS} c LEFT JOIN ({NEAR}) n ON n.cell_y = c.cell_y AND n.cell_x = c.cell_x GROUP BY c.cell_y, c.cell_x", ["idx"])
+@check("k5_cell_lists", f"SELECT c.cell_y, c.cell_x, count(DISTINCT c.id) AS venues, count(DISTINCT (near_y, near_x)) FILTER (WHERE near_y IS NOT NULL) AS neighbours FROM {CELLS} c LEFT JOIN ({NEAR}) n ON n.cell_y = c.cell_y AND n.cell_x = c.cell_x GROUP BY c.cell_y, c.cell_x", ["idx"])
 def _(t):
     cells = facets.geo_cells(t.index)
     around = facets.live_neighbours(cells).groupBy("cell_y", "cell_x").agg(F.count("*").alias("neighbours"))
