@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ringside.llm import exact_dedup, langid
+from ringside.llm import exact_dedup, langid, minhash
 from ringside.llm.common import crc_mod, store, table
 
 
@@ -23,9 +23,15 @@ def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return exact_dedup.distinct(docs)
 
 
+def distinct_classes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates stays."""
+    return minhash.distinct(docs)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("language_id", known_language),
     ("exact_dedup", distinct_texts),
+    ("near_dedup", distinct_classes),
 ]
 
 #: Tokens and perplexity of bytes are beyond SQL; tests hold the stages against brute force.

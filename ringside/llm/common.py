@@ -1,7 +1,11 @@
 """Helpers shared by the operators: shared storage, blocks of texts, hashing."""
 from __future__ import annotations
 
-from collections.abc import Iterator
+import atexit
+from collections.abc import Callable, Iterator
+import os
+import shutil
+import tempfile
 import uuid
 
 import numpy as np
@@ -15,6 +19,25 @@ BLOCK_BYTES = 4 << 20
 WHITE = r"[\x20\x09-\x0D]+"
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once a session."""
+    context = spark.sparkContext
+    if getattr(context, "_ringside_sent", False):
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    folder = tempfile.mkdtemp(prefix="ringside-")  # executors fetch the archive from the driver when they first need it
+    archive = shutil.make_archive(os.path.join(folder, f"ringside-{uuid.uuid4().hex[:8]}"), "zip", os.path.dirname(package), os.path.basename(package))
+    context.addPyFile(archive)
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    context._ringside_sent = True
+
+
+def mapped(df: DataFrame, function: Callable, schema) -> DataFrame:
+    """mapInArrow with this package at hand."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ringside.llm.common import WHITE, keyed, mixed, store
+from ringside.llm.common import WHITE, keyed, mapped, mixed, store
 
 #: Digests for which a bucket is meant; a bit array has GAMMA bits for each digest of its level.
 BUCKET_KEYS, GAMMA, LEVELS = 50_000, 2.0, 48
@@ -142,7 +142,7 @@ def verdicts(rows: DataFrame, historical: Column, order: Column) -> DataFrame:
     bucket = F.pmod(F.conv(F.hex(F.substring("digest", 1, 6)), 16, 10).cast("long"), F.lit(buckets)).alias("bucket")
     rows = grouped.select(bucket, "incoming", "digest", "winner", "n").repartition("bucket").sortWithinPartitions("bucket", "incoming")
     winner = grouped.schema["winner"].dataType.simpleString()
-    return rows.mapInArrow(_verdicts, f"digest binary, winner {winner}, group_size bigint, from_history boolean")
+    return mapped(rows, _verdicts, f"digest binary, winner {winner}, group_size bigint, from_history boolean")
 
 
 def assign(rows: DataFrame, historical: Column, key: str = "doc_id") -> DataFrame:

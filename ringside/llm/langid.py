@@ -21,7 +21,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ringside.llm.common import blocks, text_bytes
+from ringside.llm.common import blocks, mapped, ship
 
 ORDER, MIN_COUNT = 4, 2
 SAMPLE_DOCS, SAMPLE_BYTES = 160, 8192
@@ -73,6 +73,7 @@ def learn(docs: DataFrame, text: str = "text", label: str = "lang", seen: Column
     def tree(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"lang": [pdf.lang.iloc[0]], "tree": [count_tree([bytes(t) for t in pdf.sort_values("h").text])]})
 
+    ship(docs.sparkSession)
     found = sample.groupBy("lang").applyInPandas(tree, "lang string, tree binary").orderBy("lang").collect()
     return Model([r.lang for r in found], [bytes(r.tree) for r in found])
 
@@ -209,7 +210,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
             yield pa.RecordBatch.from_arrays([*[block.column(i) for i in range(len(keep))], pa.array(names, pa.string()), pa.array(score), pa.array(rate)],
                                              names=[*keep, "lang_pred", "score", "bits_per_byte"])
 
-    return rows.mapInArrow(run, schema)
+    return mapped(rows, run, schema)
 
 
 def accepted(docs: DataFrame, model: Model, text: str = "text", most_bits: float = 7.5) -> DataFrame:
@@ -231,4 +232,4 @@ def accepted(docs: DataFrame, model: Model, text: str = "text", most_bits: float
             yield pa.RecordBatch.from_arrays(block.columns[:-1], names=block.schema.names[:-1]).filter(
                 pa.array([n != UNKNOWN and r < most_bits for n, r in zip(names, rate)], pa.bool_()))
 
-    return rows.mapInArrow(run, rows.drop("letters").schema).toDF(*docs.columns)
+    return mapped(rows, run, rows.drop("letters").schema).toDF(*docs.columns)

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ringside.llm import exact_dedup, langid
+from ringside.llm import exact_dedup, langid, minhash
 from ringside.llm.common import crc_mod, store, table
 
 QUERIES, ORACLES = {}, {}
@@ -34,3 +34,8 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.learn(docs, seen=crc_mod("doc_id", 3) != 1)
     return langid.predict(docs, model).select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
+@query
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_classes(table(spark, sf_dir, "documents"))
