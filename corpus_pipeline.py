@@ -7,9 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ringside.llm import exact_dedup, langid, minhash
+from ringside.llm import exact_dedup, langid, minhash, packing
 from ringside.llm.common import crc_mod, store, table
 
 
@@ -28,13 +29,19 @@ def distinct_classes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return minhash.distinct(docs)
 
 
+def training_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the remaining documents' ids in sequences of 2048; every document ends with id 1."""
+    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"), end=1)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("language_id", known_language),
     ("exact_dedup", distinct_texts),
     ("near_dedup", distinct_classes),
+    ("packing", training_sequences),
 ]
 
-#: Tokens and perplexity of bytes are beyond SQL; tests hold the stages against brute force.
+#: Code lengths, shingles and subword ids are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL: str | None = None
 
 

@@ -1,12 +1,18 @@
 """One query for each operator, over whole tables, and the SQL of those that SQL can express."""
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ringside.llm import exact_dedup, langid, minhash
-from ringside.llm.common import crc_mod, store, table
+from ringside.llm import bpe, exact_dedup, langid, minhash, packing, token_files
+from ringside.llm.common import crc_mod, mapped, store, table
 
 QUERIES, ORACLES = {}, {}
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
 def query(f):
@@ -29,6 +35,12 @@ ORACLES["op1_exact_dedup"] = r"""
     FROM digests WINDOW same AS (PARTITION BY text_sha256)"""
 
 
+@query
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = token_files.read(*token_files.write(table(spark, sf_dir, "documents"), VOCABULARY, end=1))
+    return read.select(F.col("key").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 @query
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -39,3 +51,30 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_classes(table(spark, sf_dir, "documents"))
+
+
+def _with_crc(rows: DataFrame, width: int) -> DataFrame:
+    """`ids` of `width` bytes each replaced by the crc32 of the same ids in four bytes."""
+    kept = [c for c in rows.columns if c != "ids"]
+
+    def run(batches):
+        for batch in batches:
+            crcs = [zlib.crc32(np.frombuffer(x.as_py(), f"<u{width}").astype("<u4").tobytes()) for x in batch.column(len(kept))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(crcs, pa.int64())], names=[*kept, "ids_crc32"])
+
+    return mapped(rows.select(*kept, "ids"), run, rows.select(*kept).schema.add("ids_crc32", "long"))
+
+
+@query
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.packed(table(spark, sf_dir, "documents"), VOCABULARY, end=1)
+    return _with_crc(pieces, packing.subwords.id_width(VOCABULARY)).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = bpe.encode(table(spark, sf_dir, "documents"), VOCABULARY)
+    texts = bpe.decode(ids, VOCABULARY, keep=("doc_id", "ids"))
+    decimal = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return texts.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.encode(decimal, "utf-8"), 256).alias("ids_sha256"),
+                        F.sha2(F.encode("text", "utf-8"), 256).alias("decoded_sha256"))
