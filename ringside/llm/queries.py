@@ -8,7 +8,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ringside.llm import bpe, exact_dedup, langid, minhash, packing, token_files
+from ringside.llm import bpe, exact_dedup, langid, minhash, packing, ring, token_files, warc
 from ringside.llm.common import crc_mod, mapped, store, table
 
 QUERIES, ORACLES = {}, {}
@@ -78,3 +78,25 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     decimal = F.array_join(F.col("ids").cast("array<string>"), " ")
     return texts.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.encode(decimal, "utf-8"), 256).alias("ids_sha256"),
                         F.sha2(F.encode("text", "utf-8"), 256).alias("decoded_sha256"))
+
+
+@query
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.read(*warc.write(table(spark, sf_dir, "pages")))
+    return read.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op9_warc"] = """
+    WITH payloads AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+    firsts AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first_id, strlen(html) AS payload_bytes FROM payloads)
+    SELECT page_id, payload_bytes, sha256(html) AS payload_digest,
+           CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+    FROM firsts"""
+
+
+@query
+def op5_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.encode(F.coalesce("text", F.lit("")), "utf-8")
+    rows = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    return ring.assign(rows, 40).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
