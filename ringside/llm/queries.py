@@ -1,6 +1,7 @@
 """One query for each operator, over whole tables, and the SQL of those that SQL can express."""
 from __future__ import annotations
 
+import hashlib
 import zlib
 
 import numpy as np
@@ -8,7 +9,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ringside.llm import bpe, exact_dedup, langid, minhash, packing, ring, token_files, warc
+from ringside.llm import bpe, exact_dedup, langid, minhash, neighbours, packing, ring, syncmers, token_files, warc
 from ringside.llm.common import crc_mod, mapped, store, table
 
 QUERIES, ORACLES = {}, {}
@@ -100,3 +101,27 @@ def op5_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.encode(F.coalesce("text", F.lit("")), "utf-8")
     rows = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     return ring.assign(rows, 40).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op6_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+
+    def run(keys, bodies, following):
+        texts = [t.decode("utf-8", "replace") for t in bodies]
+        nexts = [n.decode("utf-8", "replace") for n in following]
+        edited = [t[:len(t) - len(t) // 2] + n[:len(t) // 2] for t, n in zip(texts, nexts)]
+        # what follows a text is mostly the block's next text, so its anchors are there already
+        shared = [i + 1 < len(texts) and following[i] == bodies[i + 1] for i in range(len(texts))]
+        more = [n for n, s in zip(nexts, shared) if not s]
+        every = [*texts, *edited, *more]
+        prints = [syncmers.written(len(t), *a) for t, a in zip(every, syncmers.anchors(every))]
+        read = [syncmers.parsed(p) for p in prints]
+        own, changed, rest = read[:len(texts)], read[len(texts):2 * len(texts)], iter(read[2 * len(texts):])
+        after = [own[i + 1] if s else next(rest) for i, s in enumerate(shared)]
+        return pa.RecordBatch.from_arrays([
+            pa.array(keys, pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(e.encode("utf-8")).hexdigest() for e in edited]),
+            pa.array(prints[:len(texts)]), pa.array(prints[len(texts):2 * len(texts)]),
+            pa.array(map(syncmers.likeness, own, changed), pa.float64()), pa.array(map(syncmers.likeness, own, after), pa.float64())], names=names)
+
+    return neighbours.with_next(table(spark, sf_dir, "documents"), run, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
