@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from ringside.llm.common import blocks, mapped
 
 #: Words that a worker remembers, and the longest one that is remembered.
-REMEMBERED, LONGEST = 1_000_000, 64
+REMEMBERED, LONGEST = 400_000, 64
 
 
 class WordIds:
@@ -102,7 +102,7 @@ def encoded(docs: DataFrame, path: str, end: int | None, text: str = "text", kee
         encode, part, total = library(path), TaskContext.get().partitionId(), 0
         size = encode.kind.itemsize
         last = b"" if end is None else int(end).to_bytes(size, "little")
-        for block, texts in blocks(batches, "_text"):
+        for block, texts in blocks(batches, "_text", 2 << 20):
             ids = [row + last for row in encode(texts)]
             counts = np.array([len(row) // size for row in ids], np.int64)
             yield pa.RecordBatch.from_arrays([*block.columns[:len(keep)], pa.array(np.full(len(ids), part, np.int32)), pa.array(total + np.cumsum(counts) - counts),
