@@ -8,7 +8,8 @@ with the probability Jaccard similarity of the weighted sets.
 BANDS bands of ROWS components give the buckets; texts that share a bucket are candidates, and a pair
 is a link if the plain Jaccard similarity of the whole shingle sets reaches the threshold. Classes
 are what links connect. A bucket is worked off by leaders: a leader is compared with every member
-that isn't in its class yet and then retires; those nearest to earlier leaders lead next. Pairs within
+that isn't in its class yet and that sizes and parity sketches don't rule out, and then retires; those nearest to earlier
+leaders lead next. Pairs within
 a class aren't compared, so a large family costs about one comparison a member, and no candidate pair
 of different classes is left out. Equal shingle sets are folded before all this.
 """
@@ -28,8 +29,10 @@ WORDS, THRESHOLD = 5, 0.8
 COMPONENTS, BANDS, ROWS = 128, 25, 5
 #: Members that meet one copy of their leader's text.
 MEMBERS = 400
-#: Leaders of a bucket in the first round, and by how much there are more in each later one.
-LEADERS, MORE = 1, 8
+#: Leaders of a bucket in the first rounds; in each later one there are MORE times as many.
+LEADERS, MORE = (1, 1), 8
+#: Bits of a set's parity sketch.
+PARITIES = 2048
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -65,12 +68,21 @@ def band_keys(kept: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def parities(elements: np.ndarray) -> np.ndarray:
+    """For each of PARITIES cells whether an odd number of elements falls into it, as 64-bit numbers.
+
+    Two sets' sketches differ in at most as many bits as their sets differ in elements.
+    """
+    odd = np.bincount((elements & np.uint64(PARITIES - 1)).astype(np.int64), minlength=PARITIES).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64)
+
+
 def signed(rows: DataFrame) -> DataFrame:
-    """rid, digest of the shingle set, number of shingles, and band keys for `rows` (rid, text)."""
+    """rid, digest of the shingle set, number of shingles, band keys and parities for `rows` (rid, text)."""
     def run(batches):
         known: dict[bytes, np.ndarray] = {}
         for block, texts in blocks(batches):
-            digests, sizes, keys = [], [], []
+            digests, sizes, keys, odd = [], [], [], []
             for elements, counts in shingle_sets(texts, WORDS):
                 digest = hashlib.blake2b(elements.tobytes(), digest_size=16).digest()
                 if digest not in known:
@@ -80,12 +92,14 @@ def signed(rows: DataFrame) -> DataFrame:
                 digests.append(digest)
                 sizes.append(len(elements))
                 keys.append(known[digest])
+                odd.append(parities(elements))
             ends = np.cumsum([0] + [len(k) for k in keys]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([block.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()),
-                                              pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))],
-                                             names=["rid", "digest", "n_shingles", "bands"])
+                                              pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys))),
+                                              pa.ListArray.from_arrays(pa.array(np.arange(len(odd) + 1, dtype=np.int32) * (PARITIES // 64)), pa.array(np.concatenate(odd)))],
+                                             names=["rid", "digest", "n_shingles", "bands", "odd"])
 
-    return mapped(rows.select("rid", "text"), run, "rid bigint, digest binary, n_shingles int, bands array<bigint>")
+    return mapped(rows.select("rid", "text"), run, "rid bigint, digest binary, n_shingles int, bands array<bigint>, odd array<bigint>")
 
 
 def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -117,14 +131,26 @@ def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return store(mapped(rows.select("leader", "follows", "rid", "text"), run, "leader bigint, member bigint, similarity double"), "compared")
 
 
-def linked(members: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame | None:
+def possible(a: str, b: str, threshold: float):
+    """False only for pairs that can't reach the threshold: a set that is too small for the other, or sketches that
+    differ in more bits than linked sets differ in elements. Exact: it loses no link."""
+    n, m = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
+    differing = sum((F.bit_count(F.element_at(f"{a}.odd", i).bitwiseXOR(F.element_at(f"{b}.odd", i))) for i in range(2, PARITIES // 64 + 1)),
+                    F.bit_count(F.element_at(f"{a}.odd", 1).bitwiseXOR(F.element_at(f"{b}.odd", 1))))
+    most = (n + m) * ((1 - threshold) / (1 + threshold)) + 1e-6
+    return (F.least(n, m) >= F.greatest(n, m) * threshold - 1e-6) & (differing <= most)
+
+
+def linked(members: DataFrame, sketches: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame | None:
     """(node, component) of the nodes that links join, from buckets `members` (key, rid); None without any.
 
-    Rounds end by themselves: every round retires a leader of each bucket that still holds two
-    classes and a member that hasn't led.
+    `sketches` has n_shingles and odd of each rid. Rounds end by themselves: every round retires a leader
+    of each bucket that still holds two classes and a member that hasn't led.
     """
-    spark, known, classes, led, leaders = members.sparkSession, None, None, None, LEADERS
+    known, classes, led, turn = None, None, None, 0
     while True:
+        leaders = LEADERS[turn] if turn < len(LEADERS) else MORE ** (turn - len(LEADERS) + 1)
+        turn += 1
         state = members.withColumn("class", F.col("rid"))
         near = None
         if known is not None:
@@ -133,16 +159,18 @@ def linked(members: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -
             state = members.join(classes.withColumnRenamed("node", "rid"), "rid", "left").select("key", "rid", F.coalesce("component", "rid").alias("class"))
             near = known.groupBy(F.col("member").alias("rid")).agg(F.max("similarity").alias("near"))
         several = state.groupBy("key").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b").select("key")
-        state = store(state.join(several, "key", "left_semi"), "open")
+        sketch = sketches.select("rid", F.struct("n_shingles", "odd").alias("sketch"))
+        state = store(state.join(several, "key", "left_semi").join(sketch, "rid").select("key", "rid", "class", "sketch"), "open")
         fresh = state if led is None else state.join(led, ["key", "rid"], "left_anti")
-        fresh = fresh.withColumn("near", F.lit(0.0)) if near is None else fresh.join(near, "rid", "left").select("key", "rid", "class", F.coalesce("near", F.lit(0.0)).alias("near"))
+        fresh = fresh.withColumn("near", F.lit(0.0)) if near is None else fresh.join(near, "rid", "left").select("key", "rid", "class", "sketch", F.coalesce("near", F.lit(0.0)).alias("near"))
         order = Window.partitionBy("key").orderBy(F.desc("near"), "rid")
-        chosen = store(fresh.withColumn("place", F.row_number().over(order)).where(F.col("place") <= leaders).select("key", F.col("rid").alias("leader"), F.col("class").alias("own"), "place"), "leaders")
+        chosen = store(fresh.withColumn("place", F.row_number().over(order)).where(F.col("place") <= leaders).select("key", F.col("rid").alias("leader"), F.col("class").alias("own"), "place", F.col("sketch").alias("own_sketch")), "leaders")
         if chosen.isEmpty():
             return classes
         others = state.join(chosen.select("key", F.col("leader").alias("rid"), F.col("place").alias("turn")), ["key", "rid"], "left") if leaders > 1 else state.withColumn("turn", F.lit(None).cast("int"))
-        pairs = (others.join(chosen, "key").where((F.col("rid") != F.col("leader")) & (F.col("class") != F.col("own")) & (F.col("turn").isNull() | (F.col("turn") > F.col("place"))))
-                 .select("leader", F.col("rid").alias("member")).distinct())
+        pairs = others.alias("o").join(chosen.alias("c"), (F.col("o.key") == F.col("c.key")) & (F.col("rid") != F.col("leader")) & (F.col("class") != F.col("own"))
+                                       & (F.col("turn").isNull() | (F.col("turn") > F.col("place"))) & possible("sketch", "own_sketch", threshold))
+        pairs = pairs.select("leader", F.col("rid").alias("member")).distinct()
         if known is not None:  # in either direction
             for a, b in (("leader", "member"), ("member", "leader")):
                 pairs = pairs.join(known.select(F.col(a).alias("leader"), F.col(b).alias("member")), ["leader", "member"], "left_anti")
@@ -150,7 +178,6 @@ def linked(members: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -
         known = found if known is None else store(known.union(found), "known")
         retired = chosen.select("key", F.col("leader").alias("rid"))
         led = retired if led is None else store(led.union(retired), "led")
-        leaders *= MORE
 
 
 def classes(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -159,15 +186,16 @@ def classes(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     class_id is the least id of the class; the row that has it is kept (rows without an id come last,
     of rows with one id the first read stays). Null texts are empty; texts without words form one class.
     """
-    marked = store(signed(rows).join(rows.select("rid", "id"), "rid"), "signatures")
+    signatures = store(signed(rows), "signatures")
+    marked = signatures.select("rid", "digest", "n_shingles").join(rows.select("rid", "id"), "rid")
     order = F.struct(F.col("id").isNull().alias("unkeyed"), F.col("id").alias("id"), F.col("rid").alias("rid"))
-    sets = store(marked.groupBy("digest").agg(F.min(F.struct("rid", "bands")).alias("first"), F.min(order).alias("winner"), F.count(F.lit(1)).alias("n"))
-                 .select("digest", F.col("first.rid").alias("rid"), F.col("first.bands").alias("bands"), "winner", "n"), "sets")
+    sets = store(signatures.join(rows.select("rid", "id"), "rid").groupBy("digest").agg(F.min(F.struct("rid", "bands", "n_shingles", "odd")).alias("first"), F.min(order).alias("winner"), F.count(F.lit(1)).alias("n"))
+                 .select("digest", F.col("first.rid").alias("rid"), F.col("first.bands").alias("bands"), F.col("first.n_shingles").alias("n_shingles"), F.col("first.odd").alias("odd"), "winner", "n"), "sets")
     keys = sets.select("rid", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     members = store(keys.join(shared, "key", "left_semi").select("key", "rid"), "buckets")
     texts = store(rows.select("rid", "text").join(members.select("rid").distinct(), "rid", "left_semi"), "candidates")
-    joined = linked(members, texts, threshold)
+    joined = linked(members, sets.select("rid", "n_shingles", "odd"), texts, threshold)
     whole = sets.select("digest", "rid", "winner", "n")
     if joined is None:
         whole = whole.withColumn("class", F.col("rid"))
