@@ -58,10 +58,10 @@ def new_path(spark: SparkSession, label: str) -> str:
     return place
 
 
-def store(df: DataFrame, label: str) -> DataFrame:
+def store(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Write a frame to the shared folder and read it from there: the lineage is cut, lost executors cost nothing."""
     spark, place = df.sparkSession, new_path(df.sparkSession, label)
-    df.write.parquet(place)
+    df.write.parquet(place, compression=compression)
     return spark.read.schema(df.schema).parquet(place)
 
 

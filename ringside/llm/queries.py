@@ -9,7 +9,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ringside.llm import bpe, exact_dedup, langid, minhash, neighbours, packing, ring, syncmers, token_files, warc
+from ringside.llm import bpe, exact_dedup, langid, lm, minhash, neighbours, packing, ring, syncmers, token_files, warc
 from ringside.llm.common import crc_mod, mapped, store, table
 
 QUERIES, ORACLES = {}, {}
@@ -42,6 +42,13 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(F.col("key").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+@query
+def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, end = public_tokenizers.path("byte_bpe_50k.json"), 50256
+    rows = lm.encoded(table(spark, sf_dir, "documents"), crc_mod("doc_id", 5) != 1, path, end)
+    return lm.scored(rows, *lm.learn(rows, path, end)).select(F.col("key").alias("doc_id"), (~F.col("learns")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")

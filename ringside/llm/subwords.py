@@ -53,7 +53,7 @@ class WordIds:
         return out
 
 
-_HELD: dict[str, WordIds] = {}
+_HELD: dict[tuple[str, str], WordIds] = {}
 
 
 def width_of(size: int) -> int:
@@ -61,21 +61,27 @@ def width_of(size: int) -> int:
     return 2 if size <= 65536 else 4
 
 
-def library(path: str) -> WordIds:
-    """Ids as the library gives them without special tokens, truncation and padding; one instance a worker."""
-    if path not in _HELD:
+def library(path: str, lead: str = "") -> WordIds:
+    """Ids as the library gives them without special tokens, truncation and padding; one instance a worker.
+
+    With `lead` a space stands before every word, for vocabularies that keep white space; strings of
+    special tokens are ordinary text then.
+    """
+    if (path, lead) not in _HELD:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         model = Tokenizer.from_file(path)
         model.no_truncation()
         model.no_padding()
         pieces = model.model
+        model.encode_special_tokens = bool(lead)
+        mark = "\u0120" if lead else ""  # a space as byte-level vocabularies write it
 
         def whole(words):
-            return [e.ids for e in model.encode_batch(words, add_special_tokens=False)]
+            return [e.ids for e in model.encode_batch([lead + w for w in words], add_special_tokens=False)]
 
         def direct(word):
-            return [t.id for t in pieces.tokenize(word)]
+            return [t.id for t in pieces.tokenize(mark + word)]
 
         plain = ["a", "the", "zq", "internationalization"]  # words of a-z that reach the merges as they are, if all do
         as_they_are = whole(plain) == [direct(w) for w in plain]
@@ -87,8 +93,8 @@ def library(path: str) -> WordIds:
 
         folds = whole(["AbC", "THE"]) == whole(["abc", "the"])
         added = [t.content for t in model.get_added_tokens_decoder().values()]
-        _HELD[path] = WordIds(encode_words, width_of(model.get_vocab_size(with_added_tokens=True)), added if folds else None)
-    return _HELD[path]
+        _HELD[path, lead] = WordIds(encode_words, width_of(model.get_vocab_size(with_added_tokens=True)), added if folds else None)
+    return _HELD[path, lead]
 
 
 def encoded(docs: DataFrame, path: str, end: int | None, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
