@@ -65,6 +65,11 @@ def store(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(place)
 
 
+def spread(manifest: DataFrame) -> DataFrame:
+    """A manifest's files over as many tasks as a shuffle has, however few bytes its rows have."""
+    return manifest.repartition(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file")
+
+
 def crc_mod(column: str, n: int):
     """crc32 of a number written as text, modulo n."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ringside.llm import files
-from ringside.llm.common import blocks, mapped, new_path, store
+from ringside.llm.common import blocks, mapped, new_path, spread, store
 
 MIN_REVISIT = 100
 #: Compressed bytes after which an archive is closed.
@@ -66,10 +66,13 @@ class Members:
                     if not self.left and not self._more():
                         raise ValueError("an archive ends within a record")
                     data, self.left = self.left, b""
-                    piece = expand.decompress(data, READ_BYTES)
-                    while piece:
-                        yield piece
-                        piece = expand.decompress(expand.unconsumed_tail, READ_BYTES) if expand.unconsumed_tail else b""
+                    while not expand.eof:
+                        piece = expand.decompress(data, READ_BYTES)
+                        data = expand.unconsumed_tail
+                        if piece:
+                            yield piece
+                        elif not data:
+                            break
                     if expand.eof:
                         self.left = expand.unused_data
 
@@ -188,4 +191,4 @@ def read(folder: str, manifest: DataFrame) -> DataFrame:
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
-    return mapped(manifest.repartition("file"), run, "key bigint, url string, payload binary, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
+    return mapped(spread(manifest), run, "key bigint, url string, payload binary, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
