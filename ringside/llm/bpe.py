@@ -16,19 +16,12 @@ from pyspark.sql import DataFrame, functions as F, types as T
 import regex
 
 from ringside.llm.common import blocks, mapped
-from ringside.llm.subwords import WordIds, width_of
+from ringside.llm.subwords import WordIds, byte_characters, width_of
 
 #: What the vocabulary file's pattern calls white space.
 _WHITE = r"\t-\r \x85\xa0  -     　"
 
 
-def byte_characters() -> dict[int, str]:
-    """The printable character that stands for each byte in byte-level vocabularies."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in shown]
-    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-
-
 class Bpe:
     """A vocabulary with word ends, lower case and byte-level symbols, as its JSON file describes it."""
 

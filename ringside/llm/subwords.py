@@ -1,12 +1,13 @@
 """Subword ids of whole texts through the tokenizers library, looked up by word.
 
 White space parts words in these vocabularies and belongs to none of their tokens, so the ids of a
-text are the ids of its words in a row. A worker keeps the ids of words it has met, up to a bound.
+text are the ids of its words in a row. A worker keeps the ids of words it has met lately, up to a bound.
 """
 from __future__ import annotations
 
 from collections.abc import Callable
 import os
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +15,15 @@ from pyspark.sql import DataFrame
 
 from ringside.llm.common import blocks, mapped
 
-#: Words that a worker remembers, and the longest one that is remembered.
-REMEMBERED, LONGEST = 400_000, 64
+#: Words of a generation that a worker remembers (it holds two), and the longest one that is remembered.
+REMEMBERED, LONGEST = 300_000, 64
+
+
+def byte_characters() -> dict[int, str]:
+    """The printable character that stands for each byte in byte-level vocabularies."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
 class WordIds:
@@ -25,7 +33,11 @@ class WordIds:
     """
 
     def __init__(self, encode_words: Callable[[list[str]], list[list[int]]], width: int, whole: list[str] | None):
-        self.encode_words, self.kind, self.known = encode_words, np.dtype(f"<u{width}"), {}
+        self.encode_words, self.kind, self.known, self.older = encode_words, np.dtype(f"<u{width}"), {}, {}
+        the, zq, *parted = (tuple(ids) for ids in encode_words(["the", "zq", "the,", "the.", "zq,", "zq."]))
+        # a comma or a full stop after letters that adds the same ids to any word needs no look of its own
+        self.tails = {m: np.array(a[len(the):], self.kind).tobytes() for m, a, b in ((b",", parted[0], parted[2]), (b".", parted[1], parted[3]))
+                      if a[:len(the)] == the and b == zq + a[len(the):]}
         self.whole = None if whole is None else [w.lower().encode("utf-8") for w in whole]
 
     def _words(self, text: bytes) -> list[bytes]:
@@ -35,9 +47,16 @@ class WordIds:
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         words = [self._words(t) for t in texts]
         met = set().union(*words)
-        fresh = list(met - self.known.keys())
+        fresh = met - self.known.keys()
         if len(self.known) + len(fresh) > REMEMBERED:
-            self.known = {w: self.known[w] for w in met if w in self.known}
+            self.older, self.known, fresh = self.known, {}, met
+        again = fresh & self.older.keys()
+        self.known.update(zip(again, map(self.older.__getitem__, again)))
+        fresh -= again
+        parted = [w for w in fresh if w[-1:] in self.tails and w[:-1].isalpha()]
+        fresh.difference_update(parted)
+        stems = {w[:-1] for w in parted} - self.known.keys()
+        fresh = list(fresh | stems)
         for at in range(0, len(fresh), 20_000):
             part = fresh[at:at + 20_000]
             ids = self.encode_words([w.decode("utf-8", "replace") for w in part])
@@ -46,10 +65,12 @@ class WordIds:
             for word, row in zip(part, ids):
                 start, end = end, end + len(row) * self.kind.itemsize
                 self.known[word] = flat[start:end]
+        for word in parted:
+            self.known[word] = self.known[word[:-1]] + self.tails[word[-1:]]
         out = [b"".join(map(self.known.__getitem__, row)) for row in words]
         for word in fresh:
             if len(word) > LONGEST:
-                del self.known[word]
+                self.known.pop(word)
         return out
 
 
@@ -75,19 +96,26 @@ def library(path: str, lead: str = "") -> WordIds:
         model.no_padding()
         pieces = model.model
         model.encode_special_tokens = bool(lead)
+        letters = byte_characters()
         mark = "\u0120" if lead else ""  # a space as byte-level vocabularies write it
 
         def whole(words):
             return [e.ids for e in model.encode_batch([lead + w for w in words], add_special_tokens=False)]
 
         def direct(word):
+            if not word.isascii():
+                word = word.encode("utf-8").decode("latin-1").translate(letters)
             return [t.id for t in pieces.tokenize(mark + word)]
 
-        plain = ["a", "the", "zq", "internationalization"]  # words of a-z that reach the merges as they are, if all do
+        def lettered(word):
+            """Whether a word is lower-case letters up to U+024F alone, composed."""
+            return word.isalpha() and word.islower() and (word.isascii() or max(word) < "\u0250" and is_normalized("NFC", word))
+
+        plain = ["a", "the", "zq", "internationalization", "é", "übergrößen", "ñandú", "œuvre", "łódź"]  # such words reach the merges as they are, if these do
         as_they_are = whole(plain) == [direct(w) for w in plain]
 
         def encode_words(words):
-            out = [direct(w) if as_they_are and w.isascii() and w.isalpha() and w.islower() else None for w in words]
+            out = [direct(w) if as_they_are and lettered(w) else None for w in words]
             rest = iter(whole([w for w, ids in zip(words, out) if ids is None]))
             return [next(rest) if ids is None else ids for ids in out]
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ringside.llm import files, subwords
-from ringside.llm.common import mapped, new_path, store
+from ringside.llm.common import mapped, new_path, spread, store
 
 MAGIC = b"RSRANKS1"
 #: Ids meant for one file; a file is closed at twice as many.
@@ -137,4 +137,4 @@ def read(folder: str, manifest: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(keys[s], mask=valid[s] == 0), pa.array(first + ends[s] - counts[s]), pa.array(counts[s]),
                                                       pa.array(body, pa.binary())], names=["key", "start", "n_tokens", "ids"])
 
-    return mapped(named.repartition("file"), run, "key bigint, start bigint, n_tokens bigint, ids binary")
+    return mapped(spread(named), run, "key bigint, start bigint, n_tokens bigint, ids binary")
