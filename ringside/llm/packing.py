@@ -18,10 +18,11 @@ LENGTH = 2048
 
 def placed(tokens: DataFrame) -> DataFrame:
     """`tokens` (part, at, n_tokens, ...) with first: the ids of all rows before, in order of part and place in it."""
+    # one small row a part, never one a document: 16 bytes for each task that encoded
     parts = tokens.groupBy("part").agg(F.max(F.col("at") + F.col("n_tokens")).alias("total"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part, never one a document
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("before"))
-    return tokens.join(offsets, "part").withColumn("first", F.col("before") + F.col("at")).drop("before")
+    return tokens.join(F.broadcast(offsets), "part").withColumn("first", F.col("before") + F.col("at")).drop("before")
 
 
 def cut(tokens: DataFrame, width: int, length: int = LENGTH, key: str = "doc_id") -> DataFrame:
