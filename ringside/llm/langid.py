@@ -213,11 +213,11 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
     return mapped(rows, run, schema)
 
 
-def accepted(docs: DataFrame, model: Model, text: str = "text", most_bits: float = 7.5) -> DataFrame:
+def accepted(docs: DataFrame, model: Model, text: str = "text", most_bits: float = 8.0) -> DataFrame:
     """Whole rows whose text is in some learned language.
 
     Rejected are null texts, texts without a letter, and texts that no tree codes in fewer than
-    `most_bits` bits a byte (prose needs 2 to 4, noise about 8). Without any learned language all rows stay.
+    `most_bits` bits a byte (prose needs 2 to 4; 8 is what bytes need without any tree). Without any learned language all rows stay.
     """
     if not model.languages:
         return docs
