@@ -6,7 +6,7 @@ from ringside.checks.building import CENSUS_ROWS, PARTS
 from ringside.checks.placing import ADDRESSES, FACILITIES
 from ringside.checks.registry import check
 from ringside.checks.tables import EQUIPMENT_ORDER
-from ringside.checks.validating import EXPECTED, records as broken_records
+from ringside.checks.validating import CASES, EXPECTED, KEY, records as broken_records
 from ringside.operators import facets, overlay, publish, rollup
 from ringside.plans import coverage
 from ringside.sources import mapped, patches as patch_source
@@ -85,9 +85,12 @@ def _(t):
     return coverage.places_to_look_at(t.sites_raw.select("id", "lat", "lon"), place_elements(t), shaped, t.commune_shapes, listed)
 
 
-@check("e9_contribution_validation", f"""SELECT rule, count(*) AS n FROM ({EXPECTED} UNION ALL SELECT concat('r', lpad(c_custkey::VARCHAR, 9, '0'), '.json'), 'photo_missing', 'a.jpg'
-   FROM customer, (VALUES ('a.png'), ('a.JPEG')) f(name) WHERE c_custkey % 23 = 21) GROUP BY rule""")
+PHOTO_CASE = next(i for i, (text, _) in enumerate(CASES) if "a.png" in text)
+
+
+@check("e9_contribution_validation", f"""SELECT rule, count(*) AS n FROM ({EXPECTED} UNION ALL SELECT concat('r', lpad(c_custkey::VARCHAR, 9, '0'), '.json'), CASE WHEN c_custkey % 5 = 0 OR name = 'a.png' THEN 'photo_missing' WHEN c_custkey % 3 = 0 THEN 'photo_too_large' END, name
+   FROM customer, (VALUES ('a.png'), ('a.JPEG')) f(name) WHERE c_custkey % {len(CASES)} = {PHOTO_CASE}) WHERE rule IS NOT NULL GROUP BY rule""")
 def _(t):
-    files = t.customer.limit(0).select(F.lit("").alias("id"), F.lit("").alias("file"), F.lit(0).alias("length"))
-    errors = coverage.check_contributions(broken_records(t), files).where(c("rule") != "duplicate_id")
-    return errors.groupBy("rule").agg(F.count("*").alias("n"))
+    name = F.expr(f"concat('I', {KEY})")
+    files = t.customer.where("c_custkey % 5 <> 0").select(name.alias("id"), F.lit("a.JPEG").alias("file"), F.expr("CASE WHEN c_custkey % 3 = 0 THEN 409601 ELSE 9 END").alias("length"))
+    return coverage.check_contributions(broken_records(t), files).groupBy("rule").agg(F.count("*").alias("n"))

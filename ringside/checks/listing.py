@@ -50,7 +50,7 @@ def _(t):
         "neighbours", F.coalesce("neighbours", F.lit(0).cast("long")))
 
 
-@check("a7_department_index", "SELECT dep, coalesce(nullif(max(dep_nom), ''), max(dep)) AS dep_nom, coalesce(max(region), '') AS region, count(*) AS n FROM ready GROUP BY dep ORDER BY region, dep_nom", ["ready"])
+@check("a7_department_index", "SELECT dep, coalesce(nullif(arg_min_null(dep_nom, ROW(lower(coalesce(ville, '')), lower(coalesce(nom, '')), id)), ''), dep) AS dep_nom, coalesce(arg_min_null(region, ROW(lower(coalesce(ville, '')), lower(coalesce(nom, '')), id)), '') AS region, count(*) AS n FROM ready GROUP BY dep ORDER BY region, dep_nom", ["ready"])
 def _(t):
     return facets.department_index(t.ready).orderBy("region", "dep_nom")
 
@@ -60,7 +60,7 @@ def _(t):
     return facets.criterion_counts(t.ready)
 
 
-PER_DEP = "SELECT c.kind, c.criterion, c.dep, max(c.dep_nom) AS dep_nom, count(*) AS n FROM criteria c JOIN kept_criteria k ON k.kind = c.kind AND k.criterion = c.criterion GROUP BY c.kind, c.criterion, c.dep"
+PER_DEP = "SELECT c.kind, c.criterion, c.dep, arg_min_null(c.dep_nom, place) AS dep_nom, count(*) AS n FROM criteria c JOIN kept_criteria k ON k.kind = c.kind AND k.criterion = c.criterion GROUP BY c.kind, c.criterion, c.dep"
 
 
 @check("a9_criterion_by_department", PER_DEP + " ORDER BY n DESC, dep_nom", ["kept_criteria"])
@@ -98,7 +98,7 @@ def _(t):
     return facets.cities(facets.city_members(t.ready)).select("city", "name", F.round("lat", 8).alias("lat"), F.round("lon", 8).alias("lon"))
 
 
-DEP_INDEX = "(SELECT dep, coalesce(nullif(max(dep_nom), ''), max(dep)) AS dep_nom FROM ready GROUP BY dep)"
+DEP_INDEX = "(SELECT dep, coalesce(nullif(arg_min_null(dep_nom, ROW(lower(coalesce(ville, '')), lower(coalesce(nom, '')), id)), ''), dep) AS dep_nom FROM ready GROUP BY dep)"
 
 
 @check("w5_department_slugs", f"""SELECT dep, dep_nom, CASE WHEN row_number() OVER (PARTITION BY s ORDER BY dep) > 1 THEN s || '-' || dep ELSE s END AS slug FROM (SELECT *, coalesce(nullif({slug_sql('dep_nom')}, ''), dep) AS s FROM {DEP_INDEX})""", ["ready"])

@@ -12,14 +12,6 @@ c = F.col
 M = metres_sql
 
 
-@check("within_20_km_pairs", f"""SELECT a.k AS a, b.k AS b, round({M('a.lat', 'a.lon', 'b.lat', 'b.lon')}, 2) AS metres FROM sites_raw a JOIN sites_raw b ON a.k < b.k AND {M('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 20000""", ["sites_raw"])
-def _(t):
-    left = t.sites_raw.select(c("k").alias("a"), "lat", "lon")
-    right = t.sites_raw.select(c("k").alias("b"), c("lat").alias("lat2"), c("lon").alias("lon2"))
-    pairs = spatial.within_radius(left, right, 20000.0, right_point=("lat2", "lon2"))
-    return pairs.where("a < b").select("a", "b", F.round("metres", 2).alias("metres"))
-
-
 AROUND = f"""SELECT city, id, round(m / 1000, 6) AS km, rank FROM (SELECT t.city, v.id, round({M('t.lat', 't.lon', 'v.lat', 'v.lon')}, 3) AS m,
      row_number() OVER (PARTITION BY t.city ORDER BY round({M('t.lat', 't.lon', 'v.lat', 'v.lon')}, 3), v.id) AS rank
    FROM city_table t JOIN ready v ON {M('t.lat', 't.lon', 'v.lat', 'v.lon')} <= 20000
@@ -152,11 +144,10 @@ def _(t):
     return audit.name_from_context(t.derive(PLACES), t.derive(FACILITIES)).withColumn("metres", F.round("metres", 3))
 
 
-@check("w1_best_per_key", f"""SELECT trace_id, a_id, round(metres, 3) AS metres FROM (SELECT p.trace_id, a_id, {M('p.lat', 'p.lon', 'a_lat', 'a_lon')} AS metres, row_number() OVER (PARTITION BY p.trace_id ORDER BY {M('p.lat', 'p.lon', 'a_lat', 'a_lon')}, a_id) AS r
-   FROM ({plain(PLACES)}) p JOIN ({plain(ADDRESSES)}) a ON {M('p.lat', 'p.lon', 'a_lat', 'a_lon')} <= 30000) WHERE r = 1""", ["sites_raw", "supplier_points"])
+@check("w1_best_per_key", f"""SELECT trace_id, a_id, metres FROM (SELECT p.trace_id, a_id, round({M('p.lat', 'p.lon', 'a_lat', 'a_lon')}, 3) AS metres, row_number() OVER (PARTITION BY p.trace_id ORDER BY round({M('p.lat', 'p.lon', 'a_lat', 'a_lon')}, 3), a_id) AS r
+   FROM ({plain(PLACES)}) p, ({plain(ADDRESSES)}) a) WHERE r = 1""", ["sites_raw", "supplier_points"])
 def _(t):
-    pairs = spatial.within_radius(t.derive(PLACES), t.derive(ADDRESSES), 30000.0, right_point=("a_lat", "a_lon"))
-    return spatial.keep_first(pairs, ["trace_id"], ["metres", "a_id"]).select("trace_id", "a_id", F.round("metres", 3).alias("metres"))
+    return audit.nearest_address(t.derive(PLACES), t.derive(ADDRESSES)).select("trace_id", "a_id", "metres")
 
 
 @check("j17_nearest_address", f"""SELECT trace_id, a_id, city, street, postcode, metres FROM (SELECT p.trace_id, a.*, round({M('p.lat', 'p.lon', 'a_lat', 'a_lon')}, 3) AS metres,

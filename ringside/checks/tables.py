@@ -133,11 +133,11 @@ UNION SELECT DISTINCT concat(upper(p_name), ' ', p_type) AS author FROM {part} W
 
 SHOTS = """
 SELECT concat('I', lpad(CAST(o_custkey AS STRING), 9, '0')) AS id, concat(CASE WHEN o_orderkey % 3 = 0 THEN ' ' ELSE '' END, p_name, CASE WHEN o_orderkey % 5 = 0 THEN ' ' ELSE '' END) AS credit
-FROM {orders} JOIN {part} ON p_partkey = o_orderkey % 2000 WHERE o_orderstatus = 'F'
+FROM {orders} JOIN {part} ON p_partkey = o_custkey WHERE o_orderstatus = 'F'
 UNION ALL SELECT concat('I', lpad(CAST(o_custkey AS STRING), 9, '0')) AS id, CASE WHEN o_orderkey % 2 = 0 THEN '  ' ELSE NULL END AS credit FROM {orders} WHERE o_orderstatus = 'P'"""
 REVIEWS = """
 SELECT concat('I', lpad(CAST(o_custkey AS STRING), 9, '0')) AS id, CASE WHEN o_orderkey % 2 = 0 THEN split_part(p_name, ' ', 1) ELSE p_name END AS author
-FROM {orders} JOIN {part} ON p_partkey = o_orderkey % 1999 WHERE o_orderstatus = 'O'"""
+FROM {orders} JOIN {part} ON p_partkey = o_custkey + 1 WHERE o_orderstatus = 'O'"""
 
 TALKS = """
 SELECT conv_id AS id, turn AS seq, text AS texte, role AS auteur,
@@ -265,7 +265,7 @@ CTES["members"] = """SELECT facet, value, coalesce(d, '00') AS dep, i FROM idx,
     UNION ALL SELECT 'surface', CASE s WHEN 'synthetique' THEN 'synthetic' WHEN 'bitume' THEN 'asphalt' WHEN 'cendree' THEN 'cinder' WHEN 'sable' THEN 'sand' WHEN 'gazon' THEN 'grass' WHEN 'naturel' THEN 'natural' ELSE 'indoor' END WHERE s IS NOT NULL
     UNION ALL SELECT 'reviewed', 'true' WHERE nv > 0 UNION ALL SELECT 'free-access', 'true' WHERE al = 1
     UNION ALL SELECT 'discipline', p FROM (VALUES ('long_jump','longueur'),('triple_jump','triple'),('high_jump','hauteur'),('pole_vault','perche'),('shot_put','poids'),('discus','disque'),('hammer','marteau'),('javelin','javelot'),('steeplechase','steeple')) t(p, a) WHERE list_contains(g, a))"""
-CTES["criteria"] = """SELECT kind, criterion, dep, dep_nom, id FROM ready, LATERAL (
+CTES["criteria"] = """SELECT kind, criterion, dep, dep_nom, id, ROW(lower(coalesce(ville, '')), lower(coalesce(nom, '')), id) AS place FROM ready, LATERAL (
     SELECT 'length' AS kind, longueur_piste::VARCHAR AS criterion WHERE longueur_piste > 0
     UNION ALL SELECT 'lanes', unnest(range(2, least(coalesce(couloirs, 0), 8) + 1))::VARCHAR
     UNION ALL SELECT 'free-access', 'free-access' WHERE acces_libre
@@ -311,19 +311,11 @@ class Tables:
 
     def __getattr__(self, name):
         if name in BASE:
-            return self._spread(self.spark.read.parquet(f"{self.folder}/{name}.parquet"), name)
+            return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         if name in TEXTS:
             return self.derive(TEXTS[name])
         raise AttributeError(name)
 
-    def _spread(self, df: DataFrame, name: str) -> DataFrame:
-        """A test table is one file of one row group, so one task. Deriving from the two that
-        feed heavy expressions is shared out; a table of many files is left as it is read."""
-        cores = self.spark.sparkContext.defaultParallelism
-        if name in ("lineitem", "documents") and len(df.inputFiles()) < cores:
-            return df.repartition(cores, df.columns[0])
-        return df
-
     def derive(self, sql: str) -> DataFrame:
         used = {t: getattr(self, t) for t in (*BASE, *TEXTS) if "{" + t + "}" in sql}
         return self.spark.sql(sql, **used)

@@ -19,6 +19,7 @@ CASES = [
     ('{"id":"I@","lanes":8,"length":1}', [("unknown_key", "lanes"), ("unknown_key", "length")]),
     ('{"id":"I@","piste":1,"couvert":"oui","scolaire":null}', [("not_bool", "piste"), ("not_bool", "couvert"), ("not_bool", "scolaire")]),
     ('{"id":"I@","couloirs":"8","annee":true,"longueur_piste":400.5,"tribunes":12}', [("not_int", "couloirs"), ("not_int", "annee"), ("not_int", "longueur_piste")]),
+    ('{"id":"I@","couloirs":6,"longueur_piste":400.0}', [("not_int", "longueur_piste")]),
     ('{"id":"I@","lat":"47","lon":-1.5}', [("not_number", "lat")]),
     ('{"id":"I@","nom":5,"note":null,"ville":"x"}', [("not_string", "nom"), ("not_string", "note")]),
     ('{"id":"I@","agres":"poids","agres_probables":{},"photos":1,"avis":"x"}', [("not_list", "agres"), ("not_list", "agres_probables"), ("not_list", "photos"), ("not_list", "avis")]),

@@ -123,12 +123,7 @@ def box_sides(ring) -> Column:
 
 
 def ribbon_length(perimeter_m, area_m2, long_m, short_m, max_width=12.0, min_ratio=4.0) -> Column:
-    """Length of the straight when a closed ring is only a ribbon, else null.
-
-    The rectangle of the same area A and perimeter P is P/4 + sqrt((P/4)^2 - A) long. A lap
-    has no such rectangle; a stadium outline gives a wide one; a folded path gives one longer
-    than the diagonal of its box.
-    """
+    """Longer side of the rectangle with the ring's perimeter and area, if it is narrow and fits the ring's box; else null."""
     d = (perimeter_m / 4) * (perimeter_m / 4) - area_m2
     length = perimeter_m / 4 + F.sqrt(F.greatest(d, F.lit(0.0)))
     width = F.when(length > 0, area_m2 / length).otherwise(0.0)

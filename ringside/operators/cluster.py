@@ -18,10 +18,12 @@ from ringside.session import cut_lineage
 c = F.col
 
 
-def leader_groups(rows: DataFrame, radius_m: float, order, by=(), max_rounds=200) -> DataFrame:
+def leader_groups(rows: DataFrame, radius_m: float, order, by=()) -> DataFrame:
     """Adds `leader` (the id of the leader) to rows that have id, lat, lon and the order columns.
 
-    Rows only group with rows of the same `by` keys.
+    Rows only group with rows of the same `by` keys. Every round decides at least the first
+    undecided row, so the rounds end; there are as many as the longest chain of rows that wait for
+    one another. Where the order is free, take a hash: chains of a random order stay short.
     """
     # a cell is at most radius / sqrt(2) tall, and never wider than tall
     level = min(30, int(math.ceil(math.log2(360.0 / math.degrees(radius_m / geo.EARTH_M / math.sqrt(2))))))
@@ -33,9 +35,7 @@ def leader_groups(rows: DataFrame, radius_m: float, order, by=(), max_rounds=200
     leaders = None
     reach = F.explode(geo.cells_around(c("lat"), c("lon"), radius_m, level))
 
-    for _ in range(max_rounds):
-        if open_.isEmpty():
-            break
+    while not open_.isEmpty():
         # the first undecided row of each cell, told to every cell its own row can reach
         first = open_.groupBy(*by, "cy", "cx").agg(F.min("key").alias("first"))
         heads = open_.join(first, [*by, "cy", "cx"]).where(c("key") == c("first"))
@@ -46,8 +46,6 @@ def leader_groups(rows: DataFrame, radius_m: float, order, by=(), max_rounds=200
                           .where(c("least") == c("key")).drop("least"))
         leaders = new if leaders is None else leaders.unionByName(new)
         open_ = cut_lineage(_out_of_reach(open_, new, radius_m, reach, by))
-    else:
-        raise RuntimeError(f"grouping not finished after {max_rounds} rounds")
     if leaders is None:
         return rows.withColumn("leader", c("id")).limit(0)
 

@@ -111,7 +111,7 @@ def criterion_members(venues: DataFrame) -> DataFrame:
     every = F.concat(one, F.coalesce(lanes, F.array().cast("array<struct<kind:string,criterion:string>>")))
     return venues.withColumn("_c", F.explode(every)).select(
         c("_c.kind").alias("kind"), c("_c.criterion").alias("criterion"),
-        F.coalesce("dep", F.lit(MISSING_DEP)).alias("dep"), "dep_nom", "id")
+        F.coalesce("dep", F.lit(MISSING_DEP)).alias("dep"), "dep_nom", "id", F.struct(*list_key(), "id").alias("place"))
 
 
 def criterion_counts(venues: DataFrame, min_length=MIN_LENGTH, min_lanes=MIN_LANES) -> DataFrame:
@@ -124,7 +124,7 @@ def criterion_counts(venues: DataFrame, min_length=MIN_LENGTH, min_lanes=MIN_LAN
 def criterion_by_department(venues: DataFrame, **floors) -> DataFrame:
     """(criterion, dep, n) of every retained axis."""
     per_dep = criterion_members(venues).groupBy("kind", "criterion", "dep").agg(
-        F.count("*").alias("n"), F.max("dep_nom").alias("dep_nom"))
+        F.count("*").alias("n"), F.min_by(F.struct("dep_nom"), "place")["dep_nom"].alias("dep_nom"))
     floor = F.when(c("kind") == "length", floors.get("min_length", MIN_LENGTH)).when(
         c("kind") == "lanes", floors.get("min_lanes", MIN_LANES)).otherwise(1)
     kept = per_dep.groupBy("kind", "criterion").agg(F.sum("n").alias("_all")).where(c("_all") >= floor)
@@ -139,10 +139,14 @@ def criterion_links(per_department: DataFrame, minimum=MIN_PER_DEPARTMENT) -> Da
 
 # ---------------------------------------------------------------------------- departments
 def department_index(venues: DataFrame) -> DataFrame:
-    """Code, name, region and count; order by region then name."""
-    return venues.groupBy("dep").agg(
-        F.coalesce(F.nullif(F.max("dep_nom"), F.lit("")), F.max("dep")).alias("dep_nom"),
-        F.coalesce(F.max("region"), F.lit("")).alias("region"), F.count("*").alias("n"))
+    """Code, name, region and count; order by region then name.
+
+    Name and region are those of the department's first venue in list order.
+    """
+    first = F.min_by(F.struct("dep_nom", "region"), F.struct(*list_key(), "id"))
+    return venues.groupBy("dep").agg(first.alias("first"), F.count("*").alias("n")).select(
+        "dep", F.coalesce(F.nullif(c("first.dep_nom"), F.lit("")), "dep").alias("dep_nom"),
+        F.coalesce("first.region", F.lit("")).alias("region"), "n")
 
 
 def department_slugs(deps: DataFrame) -> DataFrame:
@@ -274,7 +278,7 @@ def url_inventory(venues: DataFrame, photos: DataFrame, langs=("fr", "en")) -> D
     """(kind, lang, key, priority, images) of every page of the site."""
     pages = lambda df, kind, key, priority, images=F.lit(0).cast("long"): df.select(
         F.lit(kind).alias("kind"), key.alias("key"), F.lit(priority).alias("priority"), images.alias("images"))
-    some = venues.limit(1)
+    some = venues.sparkSession.range(1)
     deps = department_slugs(department_index(venues))
     per_dep = criterion_by_department(venues)
     crits = per_dep.select("kind", "criterion").distinct()

@@ -134,7 +134,7 @@ def parse_query(params: dict) -> VenueQuery:
     if certainty != "declared":
         echo["certainty"] = certainty
     for name in ("city", "department"):
-        if params.get(name):
+        if params.get(name) and (name != "city" or plain_slug(params[name])):  # a city without letters is no filter
             out[name] = echo[name] = params[name]
     if "limit" in params:
         out["limit"] = min(_whole(params["limit"], "limit", f"1 to {MAX_LIMIT}"), MAX_LIMIT)
@@ -148,6 +148,11 @@ def all_of(conditions) -> Column:
     return reduce(operator.and_, conditions, F.lit(True))
 
 
+def plain_slug(typed: str) -> str:
+    """The slug of a typed text, made on the driver as `text.slug` makes a column's."""
+    return re.sub(r"[^a-z0-9]+", "-", fold_words(typed)[0]).strip("-")
+
+
 def in_city(city_text) -> Column:
     """Exact slug, or the slug followed by a dash: "lyon" catches its districts."""
     wanted = text.slug(F.lit(city_text))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ringside import vocab
 from ringside.functions import text
+from ringside.session import cut_lineage
 
 c = F.col
 MAX_REVIEW, MAX_AUTHOR, MAX_PHOTO_BYTES = 1200, 40, 400 * 1024
@@ -111,7 +112,7 @@ def record_errors(records: DataFrame) -> DataFrame:
     ident = F.when(_type(_get(r, "id", "variant")) == "STRING", _get(r, "id", "string"))
     broken, is_object = c("parse_error"), F.coalesce(kind.startswith("OBJECT"), F.lit(False))
     has_id = F.coalesce(F.length("id") > 0, F.lit(False))
-    base = records.select("file", "pos", "record", "parse_error", is_object.alias("_object"), ident.alias("id"),
+    base = records.select("file", "pos", "record", "parse_error", c("written").alias("_written"), is_object.alias("_object"), ident.alias("id"),
                           r.try_cast("map<string,variant>").alias("_map"),
                           _get(r, "lat", "double").alias("_lat"), _get(r, "lon", "double").alias("_lon"),
                           _get(r, "surface", "string").alias("_surface"), _get(r, "url", "string").alias("_url"))
@@ -122,7 +123,11 @@ def record_errors(records: DataFrame) -> DataFrame:
     inside = lambda box: lat.between(box[0], box[1]) & lon.between(box[2], box[3])
     blank = lambda key: F.coalesce(_get(c("record"), key, "string"), F.lit("")) == ""
     new = c("id").startswith("c-")
+    # 400.0 and 4e2 are whole, but not written as integers
+    points = [error("not_int", key, _is_int(_type(_get(c("record"), key, "variant"))) & c(f"_written.{key}").rlike("[.eE]"))
+              for key in vocab.PATCH_INTS]
     own = F.array_compact(F.array(
+        *points,
         error("bad_id", c("id"), ~c("id").rlike(vocab.ID_PATTERN)),
         error("unknown_surface", c("_surface"), (F.length("_surface") > 0) & ~c("_surface").isin(*vocab.SURFACES)),
         error("half_a_position", "lat/lon", lat.isNull() != lon.isNull()),
@@ -134,29 +139,31 @@ def record_errors(records: DataFrame) -> DataFrame:
     return base.select("file", "pos", "id", F.explode(errors).alias("e")).select("file", "pos", "id", "e.rule", "e.detail")
 
 
-def duplicate_ids(records: DataFrame, prefix=6) -> DataFrame:
+def duplicate_ids(records: DataFrame) -> DataFrame:
     """One row per definition after the first, naming the file of the definition before it.
 
-    records: file, pos, id. Looking one row back is done in two steps, so an id defined in very
-    many files is spread over tasks by file name prefix, which keeps the order of the names.
+    records: file, pos, id. Repeated definitions are dealt out by ranges of (id, file, pos), so an id
+    defined in very many files spreads over many ranges. The definition before a row is the row
+    before it in its range or, for a range's first row, the last row of the range before.
     """
     known = records.where(text.present(c("id"))).select("id", "file", "pos")
-    part = F.substring("file", 1, prefix)
     repeated = known.groupBy("id").agg(F.count("*").alias("_n")).where(c("_n") > 1)
-    several = known.join(repeated.select("id"), "id", "left_semi").withColumn("_part", part)
-    inner = Window.partitionBy("id", "_part").orderBy("file", "pos")
-    looked = several.withColumn("_before", F.lag("file").over(inner))
-    last = several.groupBy("id", "_part").agg(F.max("file").alias("_last"))
-    outer = Window.partitionBy("id").orderBy("_part")
-    earlier = last.select("id", "_part", F.lag("_last").over(outer).alias("_earlier"))
-    return looked.join(earlier, ["id", "_part"]).select(
-        "file", "pos", "id", F.lit("duplicate_id").alias("rule"),
-        F.coalesce("_before", "_earlier").alias("detail")).where(c("detail").isNotNull())
+    several = known.join(repeated.select("id"), "id", "left_semi")
+    ranged = cut_lineage(several.repartitionByRange("id", "file", "pos").withColumn("_range", F.spark_partition_id()))
+    here = F.struct("id", "file", "pos")
+    looked = ranged.withColumn("_before", F.lag(here).over(Window.partitionBy("_range").orderBy("id", "file", "pos")))
+    ends = ranged.groupBy("_range").agg(F.max(here).alias("_last"))      # one row per range
+    earlier = ends.select("_range", F.lag("_last").over(Window.orderBy("_range")).alias("_earlier"))
+    met = looked.join(earlier, "_range").withColumn("_met", F.coalesce("_before", "_earlier"))
+    return met.where(c("_met.id") == c("id")).select(
+        "file", "pos", "id", F.lit("duplicate_id").alias("rule"), c("_met.file").alias("detail"))
 
 
 def photo_file_errors(records: DataFrame, files: DataFrame) -> DataFrame:
     """Photos that are missing or too heavy. files: id, file, length."""
-    listed = records.where(~c("parse_error")).select(
+    ident = _get(c("record"), "id", "variant")
+    named = (_type(ident) == "STRING") & (_get(c("record"), "id", "string") != "")  # others stop at the missing id
+    listed = records.where(~c("parse_error")).where(named).select(
         c("file").alias("patch"), "pos", _get(c("record"), "id", "string").alias("id"),
         F.explode(_get(c("record"), "photos", "array<variant>")).alias("p")).select(
         "patch", "pos", "id", _get(c("p"), "fichier", "string").alias("file"))
@@ -168,10 +175,11 @@ def photo_file_errors(records: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def build_refusals(patches: DataFrame, allowed=None) -> DataFrame:
-    """Patches the build refuses: no id, or a key outside the build's own list."""
+    """Patches the build refuses: no id, a key outside the build's own list, or a value its type would lose."""
     allowed = _lit_array((allowed or vocab.PATCH_KEYS) + ["id"])
     extra = F.array_sort(F.array_except("keys", allowed))
-    return patches.select("*", extra.alias("unknown")).where((F.size("unknown") > 0) | ~text.present(c("id")))
+    return patches.select("*", extra.alias("unknown")).where(
+        (F.size("unknown") > 0) | (F.size("mistyped") > 0) | ~text.present(c("id")))
 
 
 def require_none(errors: DataFrame, what: str) -> None:

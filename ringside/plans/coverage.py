@@ -38,10 +38,11 @@ def places_to_look_at(venues: DataFrame, elements: DataFrame, features: DataFram
                       listed: DataFrame, limit=None) -> DataFrame:
     """Named places and pitches inside the communes, far from every known venue and candidate."""
     places = mapped.sporting_places(elements).unionByName(mapped.multisport_pitches(features))
-    places = places.withColumn("seq", F.struct(
-        F.when(c("source") == "BD TOPO (city-stade)", 1).otherwise(0).alias("layer"),
-        F.coalesce("osm", F.lit("")).alias("osm"), "lat", "lon", "nom"))
-    places = cut_lineage(places.withColumn("place_id", F.to_json("seq")))
+    layer = F.when(c("source") == "BD TOPO (city-stade)", 1).otherwise(0)
+    ident = F.to_json(F.struct(layer.alias("layer"), F.coalesce("osm", F.lit("")).alias("osm"), "lat", "lon", "nom"))
+    # toponyms lead before pitches; within a layer by a hash, so that chains of leaders stay short
+    places = places.withColumn("place_id", ident).withColumn("seq", F.struct(layer.alias("layer"), F.md5("place_id").alias("hash")))
+    places = cut_lineage(places)
     inside = audit.in_communes(places, mapped.commune_rings(communes))
     grouped = cluster.leader_groups(
         cut_lineage(inside.withColumnRenamed("place_id", "id")), 200.0, ["seq"]).withColumnRenamed("id", "place_id")
@@ -52,6 +53,7 @@ def places_to_look_at(venues: DataFrame, elements: DataFrame, features: DataFram
 
 def check_contributions(records: DataFrame, photo_files: DataFrame) -> DataFrame:
     """Every error of every patch; pass it to `validation.require_none` to fail a run."""
-    idents = records.select("file", "pos", F.try_variant_get("record", "$.id", "string").alias("id"))
+    is_text = F.schema_of_variant(F.try_variant_get("record", "$.id", "variant")) == "STRING"  # others have no id
+    idents = records.select("file", "pos", F.when(is_text, F.try_variant_get("record", "$.id", "string")).alias("id"))
     return (validation.record_errors(records).unionByName(validation.duplicate_ids(idents))
             .unionByName(validation.photo_file_errors(records, photo_files)))

@@ -10,7 +10,7 @@ def build_venues(equipment: DataFrame, records: DataFrame, photos: DataFrame, or
     """Rollup, overlay and review summaries; refuses unknown keys, missing ids and missing photos."""
     typed = patch_files.typed_patches(records)
     validation.require_none(records.where("parse_error").select("file"), "a patch file does not parse")
-    validation.require_none(validation.build_refusals(typed).select("file", "id", "unknown"), "a patch is refused")
+    validation.require_none(validation.build_refusals(typed).select("file", "id", "unknown", "mistyped"), "a patch is refused")
     merged = overlay.apply_patches(rollup.rollup(equipment, order), typed, order=("file", "pos"))
     venues = cut_lineage(publish.located(merged))
     entries = publish.photo_entries(venues, photos)

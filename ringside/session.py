@@ -1,6 +1,4 @@
 """Session helpers: sensible defaults for local runs, and the shared checkpoint folder."""
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -12,6 +10,7 @@ def local_session(cpus="*", memory="8g", name="ringside") -> SparkSession:
             .config("spark.sql.shuffle.partitions", str(cores))
             .config("spark.sql.adaptive.enabled", "true")
             .config("spark.sql.session.timeZone", "UTC")
+            .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
             .config("spark.ui.enabled", "false")
             .config("spark.ui.showConsoleProgress", "false")
             .config("spark.driver.bindAddress", "127.0.0.1")
@@ -20,20 +19,14 @@ def local_session(cpus="*", memory="8g", name="ringside") -> SparkSession:
 
 
 def use_checkpoints(spark: SparkSession) -> None:
-    """Point the session at the folder named in spark.checkpoint.dir.
-
-    Only a local session may fall back to a temporary folder: on a cluster it would not be
-    shared between executors, so an unset folder is an error there.
-    """
+    """Point the session at the folder named in spark.checkpoint.dir; none at all is an error on any master."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         if context.getCheckpointDir() is None:
             context.setCheckpointDir(folder)
     elif context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="ringside-checkpoint-"))
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -101,12 +101,6 @@ SHORT_KEY = {
     "url": "u", "scolaire": "sc", "source": "sr", "horaires": "h", "acces_note": "na",
     "note": "no", "photos": "ph", "avis": "av", "note_moyenne": "nt", "nb_avis": "nv",
 }
-INDEX_KEY = {
-    "i": "id", "n": "nom", "v": "ville", "d": "departement", "cp": "code_postal",
-    "y": "latitude", "x": "longitude", "p": "piste", "lp": "longueur_piste_m",
-    "lpp": "longueur_probable_m", "cl": "couloirs", "s": "revetement", "al": "acces_libre",
-    "g": "agres_declares", "gp": "agres_probables", "nv": "nb_avis", "nt": "note_moyenne",
-}
 SOURCE_CODE = {"res": 0, "res+communaute": 1, "communaute": 2}
 COMMUNITY_SOURCE = 2
 DEFAULT_FALSE = ["piste", "couvert", "eclairage", "acces_libre", "ouvert_public", "vestiaires",
@@ -146,11 +140,6 @@ DISCIPLINE_LABEL = {
            "saut_indetermine": "Jump area (type unknown)",
            "lancer_indetermine": "Throwing area (type unknown)"},
 }
-SOURCE_LABEL = {
-    "fr": ["Data ES (ministère)", "Data ES + communauté", "Contribution communautaire"],
-    "en": ["Data ES (French sports ministry)", "Data ES + community",
-           "Community contribution"],
-}
 MONTHS = {
     "fr": ["janvier", "février", "mars", "avril", "mai", "juin", "juillet", "août",
            "septembre", "octobre", "novembre", "décembre"],

@@ -1,6 +1,6 @@
 from pyspark.sql import types as T
 
-from ringside.operators import overlay, rollup
+from ringside.operators import overlay, rollup, validation
 from ringside.sources import census, patches
 
 TRACK, JUMP = "Stade d'athlétisme", "Aire de saut"
@@ -97,3 +97,22 @@ def test_new_and_deleted_venues(spark):
 def test_lists_are_replaced_not_merged(spark):
     v = patched(spark, ['{"id":"I1","agres":["poids","poids","disque"]}', '{"id":"I1","agres":null}'])["I1"]
     assert v.agres == []
+
+
+def test_mistyped_values_are_refused_not_lost(spark):
+    texts = ['{"id":"I1","couloirs":"8 lanes"}', '{"id":"I1","longueur_piste":400.6}', '{"id":"I1","avis":[{"texte":"x","note":"five"}]}',
+             '{"id":"I1","photos":["a.jpg",{"fichier":"b.jpg","legende":"l"}],"couloirs":null,"ville":"V"}', '{"id":"I1","photos":[[1]]}']
+    files = spark.createDataFrame([(f"p{i}.json", t) for i, t in enumerate(texts)], "file string, text string")
+    typed = patches.typed_patches(patches.split_records(files))
+    refused = {r.file: r.mistyped for r in validation.build_refusals(typed).collect()}
+    assert refused == {"p0.json": ["couloirs"], "p1.json": ["longueur_piste"], "p2.json": ["avis"], "p4.json": ["photos"]}
+    photos = typed.where("file = 'p3.json'").first().photos
+    assert [(p.fichier, p.legende) for p in photos] == [("a.jpg", None), ("b.jpg", "l")]
+
+
+def test_written_integers_and_ids(spark):
+    texts = ['{"id":"I1","longueur_piste":400.0}', '[{"id":"I2","couloirs":4e0},{"id":"I3","couloirs":4}]', '{"photos":[{"fichier":"a.jpg"}]}']
+    records = patches.split_records(spark.createDataFrame([(f"p{i}.json", t) for i, t in enumerate(texts)], "file string, text string"))
+    assert {(r.id, r.rule, r.detail) for r in validation.record_errors(records).collect() if r.rule == "not_int"} == {("I1", "not_int", "longueur_piste"), ("I2", "not_int", "couloirs")}
+    none = spark.createDataFrame([], "id string, file string, length long")
+    assert validation.photo_file_errors(records, none).count() == 0

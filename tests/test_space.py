@@ -1,5 +1,6 @@
 """Cell joins, nearest neighbours and groupings against brute force, on crowded fixtures."""
 import math
+import hashlib
 import random
 
 from pyspark.sql import functions as F
@@ -108,10 +109,13 @@ def test_leader_groups_equal_the_sequential_loop(spark, seed, shuffled):
     assert {r.id: r.leader for r in got.collect()} == want
 
 
-def test_grouping_stops_loudly(spark):
-    rows = [(f"p{i}", i, 47.0 + i * 0.0004, -1.5) for i in range(30)]
-    with pytest.raises(RuntimeError):
-        cluster.leader_groups(spark.createDataFrame(rows, "id string, n int, lat double, lon double"), 80.0, ["n"], max_rounds=2)
+def test_grouping_along_a_line_ends_soon_in_hash_order(spark, monkeypatch):
+    rows = [(f"p{i}", hashlib.md5(f"p{i}".encode()).hexdigest(), 47.0 + i * 0.0014, -1.5) for i in range(600)]
+    rounds, cut = [], cluster.cut_lineage
+    monkeypatch.setattr(cluster, "cut_lineage", lambda df: rounds.append(1) or cut(df))
+    got = cluster.leader_groups(spark.createDataFrame(rows, "id string, hash string, lat double, lon double"), 200.0, ["hash"])
+    assert {r.id: r.leader for r in got.collect()} == greedy([(i, (y, x)) for i, _, y, x in sorted(rows, key=lambda r: r[1])], 200.0)
+    assert len(rounds) / 2 < 12
 
 
 def test_in_rings(spark):
