@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from ringside import vocab
 from ringside.checks.registry import check
+from ringside.checks.tables import metres_sql
 from ringside.functions import geo
 from ringside.operators import audit, cluster
 from ringside.session import cut_lineage
@@ -124,7 +125,20 @@ def _(t):
     return rounded(mapped.sporting_places(place_elements(t)).unionByName(pitches(t)))
 
 
-@check("g1_trace_groups")
+def greedy_sql(rows, radius_m, out):
+    """Greedy leader grouping as a walk over `rows` (id, g, lat, lon, in order i from 1) that carries the leaders found so far."""
+    return f"""SELECT id AS {out}, leader FROM (WITH RECURSIVE o AS ({rows}), walk AS (
+       SELECT 0::BIGINT AS i, NULL::VARCHAR AS id, NULL::VARCHAR AS leader, []::STRUCT(id VARCHAR, g VARCHAR, lat DOUBLE, lon DOUBLE)[] AS leaders
+       UNION ALL SELECT i, id, coalesce(f.id, id), CASE WHEN f IS NULL THEN list_append(leaders, {{'id': id, 'g': g, 'lat': lat, 'lon': lon}}) ELSE leaders END
+       FROM (SELECT o.*, leaders, list_filter(leaders, lambda l: l.g = o.g AND {metres_sql('l.lat', 'l.lon', 'o.lat', 'o.lon')} <= {radius_m})[1] AS f FROM walk JOIN o ON o.i = walk.i + 1))
+     SELECT id, leader FROM walk WHERE i > 0)"""
+
+
+G1_ROWS = """SELECT row_number() OVER (ORDER BY m, osm) AS i, concat(osm, '#0') AS id, dep AS g, lat, lon FROM examined WHERE reason IS NULL"""
+G2_ROWS = f"SELECT row_number() OVER (ORDER BY osm) AS i, osm AS id, '' AS g, lat, lon FROM ({TOPONYMS})"
+
+
+@check("g1_trace_groups", greedy_sql(G1_ROWS, 80, "trace_id"), ["examined"])
 def _(t):
     kept = cut_lineage(audit.candidates(audit.examine_traces(mapped.audit_objects(t.elements))))
     return audit.group_traces(kept).select("trace_id", "leader")
@@ -135,7 +149,7 @@ def grouped_places(t):
     return cluster.leader_groups(cut_lineage(places), 200.0, ["seq"]).withColumnRenamed("id", "place_id")
 
 
-@check("g2_place_groups")
+@check("g2_place_groups", greedy_sql(G2_ROWS, 200, "place_id"), ["objects"])
 def _(t):
     return grouped_places(t).select("place_id", "leader")
 

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from ringside.checks.auditing import place_elements, pitches
 from ringside.checks.building import CENSUS_ROWS, PARTS
-from ringside.checks.placing import ADDRESSES, FACILITIES
+from ringside.checks.placing import ADDRESSES, FACILITIES, PATCHES
 from ringside.checks.registry import check
 from ringside.checks.tables import EQUIPMENT_ORDER
 from ringside.checks.validating import CASES, EXPECTED, KEY, records as broken_records
@@ -63,7 +63,7 @@ def _(t):
     return out
 
 
-@check("e6_lap_estimation")
+@check("e6_lap_estimation", PATCHES, ["sites_raw", "lap_ring_rows"])
 def _(t):
     venues = t.sites_raw.select("id", "lat", "lon", "longueur_piste")
     return coverage.estimate_laps(venues, t.elements, t.sites_raw.select("id", "note"))[2]

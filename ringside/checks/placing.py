@@ -76,9 +76,12 @@ def _(t):
     return _matches(t).select("id", "longueur_piste", "snapped").orderBy(F.coalesce("longueur_piste", F.lit(0)), "id")
 
 
-@check("k7_estimate_patches", f"""SELECT p.id, snapped AS longueur_probable, CASE WHEN contains(coalesce(s.note, ''), said) THEN s.note ELSE concat_ws(' ', nullif(s.note, ''), said) END AS note FROM (
+PATCHES = f"""SELECT p.id, snapped AS longueur_probable, CASE WHEN contains(coalesce(s.note, ''), said) THEN s.note ELSE concat_ws(' ', nullif(s.note, ''), said) END AS note FROM (
    SELECT id, snapped, 'Développement estimé à ' || snapped || ' m d''après le tracé de l''anneau dans OpenStreetMap (' || osm || '), non mesuré sur place.' AS said FROM ({MATCHES}) WHERE snapped IS NOT NULL AND longueur_piste IS NULL) p
-   LEFT JOIN sites_raw s ON s.id = p.id""", ["sites_raw", "lap_ring_rows"])
+   LEFT JOIN sites_raw s ON s.id = p.id"""
+
+
+@check("k7_estimate_patches", PATCHES, ["sites_raw", "lap_ring_rows"])
 def _(t):
     return audit.lap_patches(_matches(t), t.sites_raw.select("id", "note"))
 
