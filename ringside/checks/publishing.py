@@ -184,11 +184,17 @@ def _(t):
         F.coalesce(F.size(F.from_json(read("$.amenityFeature"), "array<string>")), F.lit(0)).alias("features"), read("$.aggregateRating.reviewCount").alias("reviews"))
 
 
-@check("p12_list_item_and_photo_data")
+@check("p12_list_item_and_photo_data", f"""SELECT id, '{BASE_URL}/site/' || id || '/#place' AS item_id, '{BASE_URL}/site/' || id || '/' AS item_url, id AS identifier, nullif(ville, '') AS locality,
+     CASE WHEN coalesce(ville, '') <> '' THEN coalesce(dep_nom, '') END AS region, lat, lon, '{BASE_URL}/data/photos/' || id || '/a.jpg' AS content_url, '{BASE_URL}/site/' || id || '/' AS page, 'Zoé' AS credit, 'Zoé' AS author
+   FROM sites WHERE lat IS NOT NULL AND lon IS NOT NULL""", ["sites"])
 def _(t):
     shots = publish.located(t.sites).withColumns({"f": F.concat(F.lit("data/photos/"), c("id"), F.lit("/a.jpg")), "t": F.lit(None).cast("string"),
                                                   "l": F.lit("Virage."), "c": F.lit("Zoé")})
-    return shots.select("id", publish.list_item_data(BASE_URL).alias("item"), publish.photo_data(BASE_URL).alias("photo"))
+    both = shots.select("id", publish.list_item_data(BASE_URL).alias("item"), publish.photo_data(BASE_URL).alias("photo"))
+    item, photo = (lambda path, of=of: F.get_json_object(of, path) for of in ("item", "photo"))
+    return both.select("id", item("$.@id").alias("item_id"), item("$.url").alias("item_url"), item("$.identifier").alias("identifier"), item("$.address.addressLocality").alias("locality"),
+                       item("$.address.addressRegion").alias("region"), item("$.geo.latitude").cast("double").alias("lat"), item("$.geo.longitude").cast("double").alias("lon"),
+                       photo("$.contentUrl").alias("content_url"), photo("$.acquireLicensePage").alias("page"), photo("$.creditText").alias("credit"), photo("$.author.name").alias("author"))
 
 
 @check("p13_display_tags", f"""SELECT id, array_to_string(list_filter(list_concat([{SOL('fr')}, CASE WHEN {TOUR} IS NOT NULL THEN {TOUR} || ' m' || CASE WHEN {DECL} IS NULL THEN ' ?' ELSE '' END || coalesce(' · ' || nullif(couloirs, 0) || ' couloirs', '') || CASE WHEN {DECL} IS NULL THEN '~' ELSE '' END END,
