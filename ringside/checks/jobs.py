@@ -73,7 +73,7 @@ def _(t):
 def _(t):
     box = "array(named_struct('lat', s_lat, 'lon', s_lon), named_struct('lat', s_lat, 'lon', s_lon + 3e-2), named_struct('lat', s_lat + 2e-2, 'lon', s_lon + 3e-2), named_struct('lat', s_lat + 2e-2, 'lon', s_lon), named_struct('lat', s_lat, 'lon', s_lon))"
     schools = t.supplier_points.select(c("s").cast("string").alias("school_id"), c("name").alias("school"), F.expr(box).alias("ring"))
-    out = coverage.audit_coverage(t.sites_raw.select("id", "dep", "lat", "lon"), t.elements, t.derive(FACILITIES), schools, t.derive(ADDRESSES))
+    out = coverage.audit_coverage(t.sites_raw.select("id", "nom", "ville", "dep", "lat", "lon"), t.elements, t.derive(FACILITIES), schools, t.derive(ADDRESSES))
     return out["missing"].drop("trace_id")
 
 
@@ -82,7 +82,7 @@ def _(t):
     listed = t.objects.where("k % 50 = 0").select(c("lat0").alias("lat"), c("lon0").alias("lon"))
     shaped = t.objects.select(F.lit("Petit terrain multi-sports").alias("nature"), F.lit("City").alias("nature_detaillee"),
                               F.expr("array(array(array(array(lon0 + 1e-2, lat0 + 1e-2))))").alias("coordinates"))
-    return coverage.places_to_look_at(t.sites_raw.select("id", "lat", "lon"), place_elements(t), shaped, t.commune_shapes, listed)
+    return coverage.places_to_look_at(t.sites_raw.select("id", "nom", "lat", "lon"), place_elements(t), shaped, t.commune_shapes, listed, t.derive(ADDRESSES))
 
 
 PHOTO_CASE = next(i for i, (text, _) in enumerate(CASES) if "a.png" in text)

@@ -1,6 +1,7 @@
 """Lap estimation, coverage audit, places to look at, and contribution checks."""
 from pyspark.sql import DataFrame, functions as F
 
+from ringside import vocab
 from ringside.operators import audit, cluster, validation
 from ringside.session import cut_lineage
 from ringside.sources import mapped
@@ -18,7 +19,7 @@ def audit_coverage(venues: DataFrame, elements: DataFrame, facilities: DataFrame
                    addresses: DataFrame) -> dict:
     """Missing tracks with their context, rejections by reason, and totals per department.
 
-    elements carry a dep column: the department is a key, not a loop.
+    elements carry a dep column: the department is a key, not a loop. venues: id, nom, ville, dep, lat, lon.
     """
     objects = mapped.audit_objects(elements)
     examined = cut_lineage(audit.examine_traces(objects))
@@ -28,15 +29,18 @@ def audit_coverage(venues: DataFrame, elements: DataFrame, facilities: DataFrame
     named = audit.name_from_context(missing, facilities).select("trace_id", "place")
     school = audit.schools_around(missing, schools)
     address = audit.nearest_address(missing, addresses).select("trace_id", "city", "street", "postcode")
+    known = venues.select(c("id").alias("near_id"), c("nom").alias("near_name"), c("ville").alias("near_city"))
     full = (missing.join(named, "trace_id", "left").join(school, "trace_id", "left")
-            .join(address, "trace_id", "left").orderBy(F.desc("near_m"), "trace_id"))
+            .join(address, "trace_id", "left").join(known, "near_id", "left")
+            .withColumn("url", F.concat(F.lit(vocab.OBJECT_URL), "osm")).orderBy(F.desc("near_m"), "trace_id"))
     return {"missing": full, "rejections": audit.rejection_counts(audit.rejects(examined)),
             "totals": audit.audit_totals(objects, claimed)}
 
 
 def places_to_look_at(venues: DataFrame, elements: DataFrame, features: DataFrame, communes: DataFrame,
-                      listed: DataFrame, limit=None) -> DataFrame:
-    """Named places and pitches inside the communes, far from every known venue and candidate."""
+                      listed: DataFrame, addresses: DataFrame, limit=None) -> DataFrame:
+    """Named places and pitches inside the communes, far from every known venue and candidate, with the
+    nearest venue's name and the nearest address. All names of a cluster: `audit.cluster_names`."""
     places = mapped.sporting_places(elements).unionByName(mapped.multisport_pitches(features))
     layer = F.when(c("source") == "BD TOPO (city-stade)", 1).otherwise(0)
     ident = F.to_json(F.struct(layer.alias("layer"), F.coalesce("osm", F.lit("")).alias("osm"), "lat", "lon", "nom"))
@@ -47,7 +51,10 @@ def places_to_look_at(venues: DataFrame, elements: DataFrame, features: DataFram
     grouped = cluster.leader_groups(
         cut_lineage(inside.withColumnRenamed("place_id", "id")), 200.0, ["seq"]).withColumnRenamed("id", "place_id")
     heads = audit.unknown_places(audit.cluster_heads(cut_lineage(grouped)), venues)
-    left = audit.not_already_listed(heads, listed).orderBy(F.desc("near_m"), "place_id")
+    left = cut_lineage(audit.not_already_listed(heads, listed))
+    address = audit.nearest_address(left, addresses, "place_id").select("place_id", "city", "street", "postcode")
+    known = venues.select(c("id").alias("near_id"), c("nom").alias("near_name"))
+    left = left.join(address, "place_id", "left").join(known, "near_id", "left").orderBy(F.desc("near_m"), "place_id")
     return left if limit is None else left.limit(limit)
 
 

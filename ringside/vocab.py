@@ -106,6 +106,9 @@ COMMUNITY_SOURCE = 2
 DEFAULT_FALSE = ["piste", "couvert", "eclairage", "acces_libre", "ouvert_public", "vestiaires",
                  "douches", "sanitaires", "scolaire"]
 
+# --- fixed value: address of a mapped object ---------------------------------------------
+OBJECT_URL = "https://www.openstreetmap.org/"
+
 # --- fixed values: mapped objects --------------------------------------------------------
 CONTEST_TAGS = ["long_jump", "triple_jump", "high_jump", "pole_vault", "shot_put",
                 "discus_throw", "javelin_throw", "hammer_throw"]

@@ -122,7 +122,7 @@ def test_coverage_audit(spark):
         element("way", 7, {"leisure": "track"}, None), element("way", 8, {"leisure": "track"}, ring(47.9, -1.5, oval(100, 5))),
         element("way", 9, {"leisure": "track"}, ring(47.9, -1.5, oval(2000))),
         element("relation", 10, {"leisure": "track"}, None, [("outer", ring(47.8, -1.2, oval(460))), ("inner", ring(47.8, -1.2, oval(400)))])])
-    venues = spark.createDataFrame([("I1", "44", 47.3, -1.5), ("I2", "44", 47.25, -1.55), ("I3", "49", 47.2, -1.55)], "id string, dep string, lat double, lon double")
+    venues = spark.createDataFrame([("I1", "A", "X", "44", 47.3, -1.5), ("I2", "B", "Y", "44", 47.25, -1.55), ("I3", "C", "Z", "49", 47.2, -1.55)], "id string, nom string, ville string, dep string, lat double, lon double")
     facilities = spark.createDataFrame([(2, "Parc", 47.2, -1.5501), (0, "Stade du Port", 47.2005, -1.55)], "rank int, name string, f_lat double, f_lon double")
     schools = spark.createDataFrame([("s1", "École X", ring(47.4, -1.4, [(-500, -500), (500, -500), (500, 500), (-500, 500), (-500, -500)]))], "school_id string, school string, ring array<struct<lat:double,lon:double>>")
     addresses = spark.createDataFrame([("a1", "Nantes", "Quai", "44000", 47.21, -1.55)], "a_id string, city string, street string, postcode string, a_lat double, a_lon double")
@@ -130,6 +130,7 @@ def test_coverage_audit(spark):
     missing = {r.osm: r for r in out["missing"].collect()}
     assert set(missing) == {"way/1", "way/4", "relation/10"}
     assert (missing["way/1"].loops, missing["way/1"].place, missing["way/1"].near_id, missing["way/1"].city) == (2, "Stade du Port", "I2", "Nantes")
+    assert (missing["way/1"].near_name, missing["way/1"].near_city) == ("B", "Y") and missing["way/1"].url.endswith(".org/way/1")
     assert (missing["way/4"].ribbon, missing["way/4"].loop, missing["way/4"].school) == (True, False, "École X")
     assert missing["relation/10"].perimeter == pytest.approx(400, abs=2)
     assert {r.reason: r.n for r in out["rejections"].collect()} == {"autre_sport": 1, "concours": 1, "sans_trace": 1, "trop_peu_de_points": 1, "hors_bornes": 1}
@@ -156,12 +157,14 @@ def test_places_to_look_at(spark):
     features = spark.createDataFrame([("Petit terrain multi-sports", None, [[[[-1.55, 47.2005]]]])], "nature string, nature_detaillee string, coordinates array<array<array<array<double>>>>")
     square = [[-2.0, 47.0], [-1.0, 47.0], [-1.0, 48.0], [-2.0, 48.0], [-2.0, 47.0]]
     communes = spark.createDataFrame([("44", "Polygon", [[square]])], "dep string, kind string, coordinates array<array<array<array<double>>>>")
-    venues = spark.createDataFrame([("I1", 47.2105, -1.5), ("I2", 47.25, -1.55)], "id string, lat double, lon double")
+    venues = spark.createDataFrame([("I1", "Stade A", 47.2105, -1.5), ("I2", "Stade B", 47.25, -1.55)], "id string, nom string, lat double, lon double")
+    addresses = spark.createDataFrame([("a1", "Nantes", "Quai", "44000", 47.21, -1.55)], "a_id string, city string, street string, postcode string, a_lat double, a_lon double")
     nothing = spark.createDataFrame([], "lat double, lon double")
-    (place,) = coverage.places_to_look_at(venues, found, features, communes, nothing).collect()
+    (place,) = coverage.places_to_look_at(venues, found, features, communes, nothing, addresses).collect()
     assert (place.nom, place.members, place.sources, place.near_id) == ("Gymnase", 3, ["BD TOPO (city-stade)", "OSM (equipement nomme)", "OSM (voie)"], "I1")
+    assert (place.near_name, place.city, place.postcode) == ("Stade A", "Nantes", "44000")
     listed = spark.createDataFrame([(47.2011, -1.55)], "lat double, lon double")
-    assert coverage.places_to_look_at(venues, found, features, communes, listed).count() == 0
+    assert coverage.places_to_look_at(venues, found, features, communes, listed, addresses).count() == 0
 
 
 def test_contribution_checks_fail_a_run(spark, tmp_path):

@@ -76,3 +76,8 @@ def test_filters_reach_the_scan(spark, tmp_path):
     for pushed in ("EqualTo(d,44)", "GreaterThanOrEqual(cl,4)", "GreaterThanOrEqual(y,", "LessThanOrEqual(x,"):
         assert pushed in plan
     assert "nt:double" not in plan.split("ReadSchema")[1]
+
+
+def test_a_city_without_letters_is_no_filter():
+    query = search.parse_query({"city": "---", "department": "44"})
+    assert query.city is None and "city" not in query.echo
