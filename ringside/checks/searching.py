@@ -168,6 +168,19 @@ def _(t):
     return reduce(lambda a, b: a.unionByName(b), map(one, asked))
 
 
+NEAR_PAGE = lambda q, y, x, km, test: f"""SELECT '{q}' AS q, total, 2 AS page, CASE WHEN total > 20 THEN 3 END AS next, pos - 11 AS pos, i AS id
+   FROM (SELECT i, row_number() OVER (ORDER BY km, i) AS pos, count(*) OVER () AS total FROM (SELECT *, {KM(y, x)} AS km FROM idx) WHERE km <= {km} AND {test}) WHERE pos BETWEEN 11 AND 20"""
+
+
+@check("e2_search_page", f"{NEAR_PAGE('c', 46.0, 1.5, 100, 'cl >= 2')} UNION ALL {NEAR_PAGE('e', 45.2, 0.4, 60, 'cl >= 4')}", ["idx"])
+def _(t):
+    asked = {"c": {"lat": "46.0", "lon": "1.5", "radius": "100", "lanes_min": "2", "limit": "10", "page": "2"},
+             "e": {"lat": "45.2", "lon": "0.4", "radius": "60", "lanes_min": "4", "limit": "10", "page": "2"}}
+    one = lambda k: search.search(t.index, asked[k], BASE_URL, "census", "open licence").select(
+        F.lit(k).alias("q"), "total", "page", "next", F.posexplode("results").alias("pos", "r")).select("q", "total", "page", "next", "pos", "r.id")
+    return reduce(lambda a, b: a.unionByName(b), map(one, asked))
+
+
 @check("e3_browse", f"""SELECT id, CASE WHEN {CITY} = 'lyon' THEN 0 WHEN cp = 'lyon' THEN 1 WHEN starts_with({CITY}, 'lyon') THEN 2 WHEN contains({NAME}, 'lyon') THEN 3 WHEN contains({CITY}, 'lyon') THEN 4 ELSE 6 END AS level
    FROM sites WHERE piste AND contains({HAY}, 'lyon') AND coalesce(nullif(longueur_piste, 0), nullif(longueur_probable, 0)) IS NOT NULL""", ["sites"])
 def _(t):
