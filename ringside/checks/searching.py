@@ -151,9 +151,8 @@ def _(t):
 def _(t):
     kept = t.index.where("p = 1")
     order = [F.lower(F.coalesce("v", F.lit(""))), F.lower(F.coalesce("n", F.lit(""))), c("i")]
-    total = kept.agg(F.count("*").alias("total")).withColumn("_k", F.lit(1))
-    page = search.page_of(kept, order, 50, 3).withColumn("_k", F.lit(1))
-    return page.join(total, "_k").select("i", "total", (c("total") > 150).alias("more"))
+    total = kept.agg(F.count("*").alias("total")).scalar()
+    return search.page_of(kept, order, 50, 3).select("i", total.alias("total")).withColumn("more", c("total") > 150)
 
 
 @check("e2_search", f"""SELECT 'a' AS q, count(*) AS total FROM idx WHERE d = '13' AND al IS NULL AND cl >= 2

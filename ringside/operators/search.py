@@ -259,8 +259,8 @@ def envelope(results: DataFrame, total: DataFrame, echo: dict, source: str, lice
     """
     packed = results.agg(F.count("*").alias("count"), F.collect_list(F.struct(*results.columns)).alias("results"))
     said = F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in echo.items()])) if echo else F.lit("{}")
-    return packed.withColumn("_k", F.lit(1)).join(total.withColumn("_k", F.lit(1)), "_k").select(
-        said.alias("query"), "count", "total", F.lit(source).alias("source"),
+    return packed.select(
+        said.alias("query"), "count", total.scalar().alias("total"), F.lit(source).alias("source"),
         F.lit(licence).alias("license"), "results")
 
 
