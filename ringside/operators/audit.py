@@ -99,8 +99,7 @@ def lap_patches(matches: DataFrame, current: DataFrame) -> DataFrame:
 
     current: id, note of the patches already there. Other keys are left alone.
     """
-    said = F.format_string("Développement estimé à %d m d'après le tracé de l'anneau dans "
-                           "OpenStreetMap (%s), non mesuré sur place.", c("snapped"), c("osm"))
+    said = F.format_string(vocab.ESTIMATE_NOTE, c("snapped"), c("osm"))
     new = matches.where(c("snapped").isNotNull() & c("longueur_piste").isNull()).select(
         "id", c("snapped").alias("longueur_probable"), said.alias("_said"))
     met = new.join(current.select("id", "note"), "id", "left")

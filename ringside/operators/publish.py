@@ -256,8 +256,7 @@ def name_of(lang="fr") -> Column:
 def description(lang="fr") -> Column:
     """Salient facts, cut to 160 characters at the last space."""
     tour = lap(c("longueur_piste"), c("longueur_probable"))
-    say = {"fr": ("Piste ", "Piste d'athlétisme", " couloirs", "éclairée", "accès libre", " : "),
-           "en": ("Track ", "Running track", " lanes", "floodlit", "free access", " — ")}[lang]
+    say = vocab.DESCRIPTION_WORDS[lang]
     bits = F.concat_ws(", ", F.concat(tour["metres"].cast("string"), F.when(
         tour["declared"], F.lit(" m")).otherwise(F.lit(" m ?"))),
         text.label_of(F.nullif("surface", F.lit("")), vocab.SURFACE_LABEL[lang], c("surface")),
@@ -275,40 +274,33 @@ def description(lang="fr") -> Column:
 
 def summary(lang="fr") -> Column:
     """Introductory sentences, as plain text. An estimated lap never enters the prose."""
-    fr = lang == "fr"
-    pick = lambda f, e: F.lit(f if fr else e)
+    pick = lambda key: F.lit(vocab.SENTENCES[key][lang])
     place = F.concat(F.coalesce("ville", F.lit("")), F.when(
         text.present(c("dep_nom")), F.concat(F.lit(" ("), c("dep_nom"), F.lit(")"))).otherwise(F.lit("")))
     region = text.present(c("region"))
-    intro = F.concat(name_of(lang), pick(" est un équipement d'athlétisme situé à ",
-                                         " is an athletics venue in "), place,
-                     F.when(region, F.concat(pick(", en ", ", "), c("region"), pick(".", ", France.")))
-                     .otherwise(pick(".", ", France.")))
+    intro = F.concat(name_of(lang), pick("is_in"), place,
+                     F.when(region, F.concat(pick("in_region"), c("region"), pick("end")))
+                     .otherwise(pick("end")))
     metres = numbers.nonzero(c("longueur_piste")).cast("string")
     sol = F.lower(text.label_of(F.nullif("surface", F.lit("")), vocab.SURFACE_LABEL[lang], c("surface")))
     lanes = numbers.nonzero(c("couloirs")).cast("string")
     maybe = lambda before, value, after="": F.coalesce(
         F.concat(F.lit(before), value, F.lit(after)), F.lit(""))
-    if fr:
-        track = F.concat(F.lit("Il dispose d'une piste"), maybe(" de ", metres, " m"),
-                         maybe(" en ", sol), maybe(", à ", lanes, " couloirs"), F.lit("."))
-    else:
-        track = F.concat(F.lit("It has a"), F.coalesce(F.concat(F.lit(" "), metres, F.lit(" m")), F.lit("n")),
-                         maybe(" ", sol), F.lit(" running track"),
-                         maybe(" with ", lanes, " lanes"), F.lit("."))
+    has, of, no_length, made, what, numbered, count = vocab.TRACK_WORDS[lang]
+    track = F.concat(F.lit(has), F.coalesce(F.concat(F.lit(of), metres, F.lit(" m")), F.lit(no_length)),
+                     maybe(made, sol), F.lit(what), maybe(numbered, lanes, count), F.lit("."))
     kit = F.transform(_labels(c("agres"), lang), lambda x: F.lower(x))
-    offers = F.when(F.size(kit) > 0, F.concat(pick("On y trouve ", "It also offers "),
+    offers = F.when(F.size(kit) > 0, F.concat(pick("offers"),
                                               text.natural_list(kit, lang), F.lit(".")))
     services = F.array_compact(F.array(
-        F.when(c("eclairage"), pick("l'éclairage", "floodlighting")),
-        F.when(c("couvert"), pick("une piste couverte", "an indoor track")),
-        F.when(c("vestiaires"), pick("des vestiaires", "changing rooms")),
-        F.when(c("douches"), pick("des douches", "showers"))))
+        F.when(c("eclairage"), pick("floodlighting")),
+        F.when(c("couvert"), pick("indoor")),
+        F.when(c("vestiaires"), pick("changing_rooms")),
+        F.when(c("douches"), pick("showers"))))
     served = F.when(F.size(services) > 0, F.concat(
-        pick("Le site propose ", "The venue provides "), text.natural_list(services, lang), F.lit(".")))
-    access = (F.when(c("acces_libre"), pick("L'accès est libre.", "Access is free and unrestricted."))
-              .when(c("ouvert_public"), pick("Le site est ouvert au public sur certains horaires.",
-                                             "The venue is open to the public at set times.")))
+        pick("provides"), text.natural_list(services, lang), F.lit(".")))
+    access = (F.when(c("acces_libre"), pick("free"))
+              .when(c("ouvert_public"), pick("public")))
     return F.concat_ws(" ", intro, F.when(c("piste"), track), offers, served, access)
 
 
@@ -322,12 +314,12 @@ def photo_alt(caption, lang="fr") -> Column:
 
 def display_tags(lang="fr") -> Column:
     """array<struct<label, uncertain>> in display order; counts only without named equipment."""
-    fr = lang == "fr"
     tour = lap(c("longueur_piste"), c("longueur_probable"))
     tag = lambda label, unsure=False: F.when(label.isNotNull(), F.struct(
         label.alias("label"), (F.lit(unsure) if isinstance(unsure, bool) else unsure).alias("uncertain")))
-    said = lambda cond, f, e: F.when(cond, F.lit(f if fr else e))
-    lanes = F.concat(numbers.nonzero(c("couloirs")).cast("string"), F.lit(" couloirs" if fr else " lanes"))
+    words = vocab.TAG_WORDS[lang]
+    said = lambda cond, key: F.when(cond, F.lit(words[key]))
+    lanes = F.concat(numbers.nonzero(c("couloirs")).cast("string"), F.lit(words["lanes"]))
     round_ = F.concat(tour["metres"].cast("string"), F.lit(" m"),
                       F.when(tour["declared"], F.lit("")).otherwise(F.lit(" ?")),
                       F.coalesce(F.concat(F.lit(" · "), lanes), F.lit("")))
@@ -339,14 +331,12 @@ def display_tags(lang="fr") -> Column:
     head = F.array(
         tag(text.label_of(F.nullif("surface", F.lit("")), vocab.SURFACE_LABEL[lang], c("surface"))),
         tag(round_, ~tour["declared"]), tag(F.when(tour["metres"].isNull(), lanes)),
-        tag(said(c("acces_libre"), "Accès libre", "Free access")),
-        tag(said(c("couvert"), "Couverte", "Indoor")))
+        tag(said(c("acces_libre"), "free")),
+        tag(said(c("couvert"), "indoor")))
     tail = F.array(
-        tag(many(c("nb_sautoirs"), *((" aire de saut", " aires de saut") if fr
-                                     else (" jump area", " jump areas"))), True),
-        tag(many(c("nb_aires_lancer"), *((" aire de lancer", " aires de lancer") if fr
-                                         else (" throwing area", " throwing areas"))), True),
-        tag(said(c("scolaire"), "Site scolaire", "School venue")))
+        tag(many(c("nb_sautoirs"), *words["jumps"]), True),
+        tag(many(c("nb_aires_lancer"), *words["throws"]), True),
+        tag(said(c("scolaire"), "school")))
     return F.array_compact(F.concat(head, named, tail))
 
 
@@ -367,14 +357,13 @@ def structured_data(url_base: str, updated: str, lang="fr") -> Column:
     lit = lambda v, name: F.lit(v).alias(name)
     feature = lambda label: F.struct(lit("LocationFeatureSpecification", "@type"), label.alias("name"),
                                      F.lit(True).alias("value"))
-    extra = {"fr": ("Éclairage", "Vestiaires", "Douches", "Sanitaires", "Couverte / indoor"),
-             "en": ("Floodlighting", "Changing rooms", "Showers", "Toilets", "Covered / indoor")}[lang]
+    extra = vocab.SERVICE_NAMES[lang]
     services = F.array_compact(F.array(*[F.when(c(flag), feature(F.lit(label))) for flag, label in
                                          zip(("eclairage", "vestiaires", "douches", "sanitaires",
                                               "couvert"), extra)]))
     kit = F.transform(display_order(c("agres")), lambda a: feature(
         text.label_of(a, vocab.DISCIPLINE_LABEL[lang], a)))
-    names = {"fr": ("Revêtement", "Développement", "Couloirs"), "en": ("Surface", "Lap length", "Lanes")}[lang]
+    names = vocab.PROPERTY_NAMES[lang]
     value = lambda name, v: F.when(v.isNotNull(), F.struct(lit("PropertyValue", "@type"),
                                                            lit(name, "name"), v.cast("string").alias("value")))
     facts = F.array_compact(F.array(

@@ -106,6 +106,34 @@ COMMUNITY_SOURCE = 2
 DEFAULT_FALSE = ["piste", "couvert", "eclairage", "acces_libre", "ouvert_public", "vestiaires",
                  "douches", "sanitaires", "scolaire"]
 
+# --- fixed values: words of published sentences, tags and records -------------------------
+SENTENCES = {
+    "is_in": {"fr": " est un équipement d'athlétisme situé à ", "en": ' is an athletics venue in '},
+    "in_region": {"fr": ', en ', "en": ', '},
+    "end": {"fr": '.', "en": ', France.'},
+    "offers": {"fr": 'On y trouve ', "en": 'It also offers '},
+    "floodlighting": {"fr": "l'éclairage", "en": 'floodlighting'},
+    "indoor": {"fr": 'une piste couverte', "en": 'an indoor track'},
+    "changing_rooms": {"fr": 'des vestiaires', "en": 'changing rooms'},
+    "showers": {"fr": 'des douches', "en": 'showers'},
+    "provides": {"fr": 'Le site propose ', "en": 'The venue provides '},
+    "free": {"fr": "L'accès est libre.", "en": 'Access is free and unrestricted.'},
+    "public": {"fr": 'Le site est ouvert au public sur certains horaires.', "en": 'The venue is open to the public at set times.'},
+}
+# what it has, before its length, without a length, before its surface, what it is, before and after its lanes
+TRACK_WORDS = {"fr": ("Il dispose d'une piste", " de ", "", " en ", "", ", à ", " couloirs"),
+               "en": ("It has a", " ", "n", " ", " running track", " with ", " lanes")}
+DESCRIPTION_WORDS = {"fr": ("Piste ", "Piste d'athlétisme", " couloirs", "éclairée", "accès libre", " : "),
+                     "en": ("Track ", "Running track", " lanes", "floodlit", "free access", " — ")}
+TAG_WORDS = {"fr": {"free": "Accès libre", "indoor": "Couverte", "school": "Site scolaire", "lanes": " couloirs",
+                    "jumps": (" aire de saut", " aires de saut"), "throws": (" aire de lancer", " aires de lancer")},
+             "en": {"free": "Free access", "indoor": "Indoor", "school": "School venue", "lanes": " lanes",
+                    "jumps": (" jump area", " jump areas"), "throws": (" throwing area", " throwing areas")}}
+SERVICE_NAMES = {"fr": ("Éclairage", "Vestiaires", "Douches", "Sanitaires", "Couverte / indoor"),
+                 "en": ("Floodlighting", "Changing rooms", "Showers", "Toilets", "Covered / indoor")}
+PROPERTY_NAMES = {"fr": ("Revêtement", "Développement", "Couloirs"), "en": ("Surface", "Lap length", "Lanes")}
+ESTIMATE_NOTE = "Développement estimé à %d m d'après le tracé de l'anneau dans OpenStreetMap (%s), non mesuré sur place."
+
 # --- fixed value: address of a mapped object ---------------------------------------------
 OBJECT_URL = "https://www.openstreetmap.org/"
 

@@ -168,9 +168,9 @@ def test_places_to_look_at(spark):
 
 
 def test_contribution_checks_fail_a_run(spark, tmp_path):
-    folder = write_patches(tmp_path / "p", {"I1.json": {"id": "I352380090", "couloirs": "8"}, "I2.json": {"id": "I352380090", "photos": [{"fichier": "a.jpg"}]}})
+    folder = write_patches(tmp_path / "p", {"I1.json": {"id": "I000000042", "couloirs": "8"}, "I2.json": {"id": "I000000042", "photos": [{"fichier": "a.jpg"}]}})
     errors = coverage.check_contributions(patches.split_records(patches.read_patch_files(spark, folder)),
-                                          spark.createDataFrame([("I352380090", "a.jpg", 500000)], "id string, file string, length int"))
+                                          spark.createDataFrame([("I000000042", "a.jpg", 500000)], "id string, file string, length int"))
     assert sorted((r.file, r.rule, r.detail) for r in errors.collect()) == [("I1.json", "not_int", "couloirs"), ("I2.json", "duplicate_id", "I1.json"), ("I2.json", "photo_too_large", "a.jpg")]
     with pytest.raises(validation.InvalidPatches):
         validation.require_none(errors, "contributions")
