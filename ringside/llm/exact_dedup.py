@@ -167,5 +167,6 @@ def distinct(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """Whole rows, one of each group of equal texts: that of smallest key."""
     rows = keyed(docs, "exact", digest=digest(docs[f"`{text}`"]))
     narrow = rows.select("rid", "digest", F.col(f"row.`{key}`").alias("id"))
-    winners = verdicts(narrow, lower_half(narrow, "id"), F.struct(F.col("id").isNull().alias("unkeyed"), F.col("id").alias("id"), F.col("rid")))
-    return rows.join(winners.select(F.col("winner.rid").alias("rid")), "rid", "left_semi").select("row.*")
+    found = assign(narrow, lower_half(narrow, "id"), "id")
+    gone = store(found.where(~F.col("kept")).select("rid"), "gone")  # written first, so that the join knows its size
+    return rows.join(gone, "rid", "left_anti").select("row.*")

@@ -30,7 +30,7 @@ COMPONENTS, BANDS, ROWS = 128, 25, 5
 #: Members that meet one copy of their leader's text.
 MEMBERS = 400
 #: Leaders of a bucket in the first rounds; in each later one there are MORE times as many.
-LEADERS, MORE = (1, 1), 8
+LEADERS, MORE = (1, 1), 64
 #: Bits of a set's parity sketch.
 PARITIES = 2048
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -189,13 +189,13 @@ def classes(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     signatures = store(signed(rows), "signatures")
     marked = signatures.select("rid", "digest", "n_shingles").join(rows.select("rid", "id"), "rid")
     order = F.struct(F.col("id").isNull().alias("unkeyed"), F.col("id").alias("id"), F.col("rid").alias("rid"))
-    sets = store(signatures.join(rows.select("rid", "id"), "rid").groupBy("digest").agg(F.min(F.struct("rid", "bands", "n_shingles", "odd")).alias("first"), F.min(order).alias("winner"), F.count(F.lit(1)).alias("n"))
-                 .select("digest", F.col("first.rid").alias("rid"), F.col("first.bands").alias("bands"), F.col("first.n_shingles").alias("n_shingles"), F.col("first.odd").alias("odd"), "winner", "n"), "sets")
-    keys = sets.select("rid", F.explode("bands").alias("key"))
+    sets = store(marked.groupBy("digest").agg(F.min("rid").alias("rid"), F.min(order).alias("winner"), F.count(F.lit(1)).alias("n")).select("digest", "rid", "winner", "n"), "sets")
+    # one row stands for all of its shingle set
+    keys = signatures.select("rid", "bands").join(sets.select("rid"), "rid", "left_semi").select("rid", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     members = store(keys.join(shared, "key", "left_semi").select("key", "rid"), "buckets")
     texts = store(rows.select("rid", "text").join(members.select("rid").distinct(), "rid", "left_semi"), "candidates")
-    joined = linked(members, sets.select("rid", "n_shingles", "odd"), texts, threshold)
+    joined = linked(members, signatures.select("rid", "n_shingles", "odd"), texts, threshold)
     whole = sets.select("digest", "rid", "winner", "n")
     if joined is None:
         whole = whole.withColumn("class", F.col("rid"))
@@ -216,5 +216,6 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 def distinct(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Whole rows, one of each class of near-duplicates: that of smallest key."""
     rows = keyed(docs, "near")
-    kept = classes(rows.select("rid", F.col(f"row.`{key}`").alias("id"), F.coalesce(F.col(f"row.`{text}`"), F.lit("")).alias("text"))).where("kept").select("rid")
-    return rows.join(kept, "rid", "left_semi").select("row.*")
+    found = classes(rows.select("rid", F.col(f"row.`{key}`").alias("id"), F.coalesce(F.col(f"row.`{text}`"), F.lit("")).alias("text")))
+    gone = store(found.where(~F.col("kept")).select("rid"), "gone")  # written first, so that the join knows its size
+    return rows.join(gone, "rid", "left_anti").select("row.*")
