@@ -70,7 +70,7 @@ def write(docs: DataFrame, path: str, end: int = 1, key: str = "doc_id", text: s
     """
     spark, width = docs.sparkSession, subwords.id_width(path)
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.monotonically_increasing_id().alias("rid"), docs[f"`{text}`"].alias("text"))
-    tokens = store(subwords.encoded(rows, path, end, "text", ("key", "rid")).drop("part", "at"), "ids")
+    tokens = store(subwords.encoded(rows, path, end, "text", ("key", "rid")).drop("part", "at"), "ids", "zstd")
     order = frequency_order(tokens, width)
     folder = new_path(spark, "token-files")
     files.make_folder(folder)
