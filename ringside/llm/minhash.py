@@ -1,9 +1,9 @@
-"""Near-duplicate documents: ProbMinHash signatures of weighted shingles, bands, verification, classes.
+"""Near-duplicate documents: ProbMinHash signatures of shingle sets, bands, verification, classes.
 
-A shingle that occurs c times in a text has weight 1 + ln c. Each shingle sends the arrivals of a
-Poisson process of that rate to random components of the signature, which keep their earliest
-arrival; a shingle stops as soon as its next arrival is later than all of them. Two components agree
-with the probability Jaccard similarity of the weighted sets.
+Each shingle sends the arrivals of a Poisson process to random components of the signature, which keep
+their earliest arrival; a shingle stops as soon as its next arrival is later than all of them. Two
+components agree with the probability Jaccard similarity of the weighted sets. Every shingle has weight 1
+however often a text repeats it, so that this is the plain Jaccard similarity that makes a link.
 
 BANDS bands of ROWS components give the buckets; texts that share a bucket are candidates, and a pair
 is a link if the plain Jaccard similarity of the whole shingle sets reaches the threshold. Classes
@@ -83,12 +83,12 @@ def signed(rows: DataFrame) -> DataFrame:
         known: dict[bytes, np.ndarray] = {}
         for block, texts in blocks(batches):
             digests, sizes, keys, odd = [], [], [], []
-            for elements, counts in shingle_sets(texts, WORDS):
+            for elements, _ in shingle_sets(texts, WORDS):
                 digest = hashlib.blake2b(elements.tobytes(), digest_size=16).digest()
                 if digest not in known:
                     if len(known) >= 5000:
                         known.clear()
-                    known[digest] = band_keys(signature(elements, 1 + np.log(counts))) if len(elements) else np.zeros(0, np.int64)
+                    known[digest] = band_keys(signature(elements, np.ones(len(elements)))) if len(elements) else np.zeros(0, np.int64)
                 digests.append(digest)
                 sizes.append(len(elements))
                 keys.append(known[digest])

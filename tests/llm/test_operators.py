@@ -172,6 +172,17 @@ def test_near_duplicates_against_all_pairs(spark):
     assert all(r.kept == (r.doc_id == r.class_id) for r in found.values())
 
 
+def test_near_duplicates_with_a_repeated_passage(spark):
+    rows = []
+    for i in range(12):  # one copy alone repeats a passage: shingle sets are alike at 0.83, weighted ones at less than 0.6
+        words = [f"w{i}-{j}" for j in range(404)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words + [f"p{i}-{j}" for j in range(80)] * 100))]
+    sets = [s for s, _ in shingles.shingle_sets([t.encode() for _, t in rows])]
+    assert all(shingles.jaccard(a, b) >= 0.8 for a, b in zip(sets[::2], sets[1::2]))
+    found = {r.doc_id: r.class_id for r in minhash.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {i: i - i % 2 for i, _ in rows}
+
+
 def test_near_duplicates_on_awkward_rows(docs, nothing):
     kept = minhash.distinct(docs)
     assert kept.columns == docs.columns
