@@ -443,6 +443,16 @@ def test_lm_scores(docs, nothing):
     assert {r["n_known"] for r in shown(lm.scored(untaught, *lm.learn(untaught, BYTES, 50256)))} == {0}
 
 
+def test_lm_scores_whatever_is_held(docs, monkeypatch):
+    found = []
+    for edges in (lm.EDGES, 5):  # rarer ways on are joined, not left to shorter contexts
+        monkeypatch.setattr(lm, "EDGES", edges)
+        rows = lm.encoded(docs, F.col("doc_id") != 11, BYTES, 50256)
+        found.append(sorted((r["key"] is None, r["key"], r["n_tokens"], r["score"]) if r["key"] is not None else (True, 0, r["n_tokens"], r["score"]) for r in shown(lm.scored(rows, *lm.learn(rows, BYTES, 50256)))))
+    assert [x[:3] for x in found[0]] == [x[:3] for x in found[1]]
+    assert [x[3] for x in found[0]] == pytest.approx([x[3] for x in found[1]], rel=1e-3)
+
+
 def lowered(text):
     return [w.decode() for w in (text or "").encode().lower().split()]
 
