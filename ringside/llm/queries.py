@@ -9,7 +9,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ringside.llm import bpe, exact_dedup, langid, lm, minhash, neighbours, packing, ring, syncmers, token_counts, token_files, warc
+from ringside.llm import bpe, collocations, exact_dedup, langid, lm, minhash, neighbours, packing, ring, syncmers, token_counts, token_files, warc
 from ringside.llm.common import crc_mod, mapped, store, table
 
 QUERIES, ORACLES = {}, {}
@@ -137,3 +137,25 @@ def op6_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counted(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_collocations"] = r"""
+    WITH pieces AS (SELECT lang, trim(piece, e' \t') AS piece FROM (SELECT coalesce(lang, 'und') AS lang,
+           unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+    words AS (SELECT lang, string_split_regex(piece, '[\x20\x09]+') AS w FROM pieces WHERE piece <> ''),
+    placed AS (SELECT lang, w, s, unnest(range(1, len(w) - s + 2)) AS i FROM words, range(1, 4) AS sizes(s)),
+    f AS (SELECT lang, s, array_to_string(w[i:i + s - 1], ' ') AS phrase, count(*) AS n FROM placed GROUP BY ALL HAVING n >= 10),
+    totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+    cuts AS (SELECT lang, s, phrase, n AS a, string_split(phrase, ' ') AS w, unnest(range(1, s)) AS k FROM f WHERE s >= 2),
+    scores AS (SELECT c.lang, c.s, c.phrase, c.a, c.k, h.n AS l, t.n AS r, (1000000::HUGEINT * c.a * c.a) // (h.n::HUGEINT * t.n) AS score FROM cuts c
+      JOIN f h ON h.lang = c.lang AND h.phrase = array_to_string(c.w[1:k], ' ') JOIN f t ON t.lang = c.lang AND t.phrase = array_to_string(c.w[k + 1:], ' ')),
+    least AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    longer AS (SELECT lang, phrase, max(n) AS n FROM (SELECT lang, n, array_to_string(string_split(phrase, ' ')[i:i + 1], ' ') AS phrase FROM f, (VALUES (1), (2)) v(i) WHERE s = 3) GROUP BY ALL),
+    kept AS (SELECT least.* FROM least LEFT JOIN longer USING (lang, phrase) WHERE longer.n IS NULL OR 100 * longer.n < 50 * a)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, totals.n, score::BIGINT AS score
+    FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000"""
