@@ -9,7 +9,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ringside.llm import bpe, collocations, exact_dedup, langid, lm, minhash, neighbours, packing, ring, syncmers, token_counts, token_files, warc
+from ringside.llm import bpe, collocations, exact_dedup, langid, lm, minhash, neighbours, packing, ring, spelling, syncmers, token_counts, token_files, warc
 from ringside.llm.common import crc_mod, mapped, store, table
 
 QUERIES, ORACLES = {}, {}
@@ -134,6 +134,11 @@ def op6_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.with_next(table(spark, sf_dir, "documents"), run, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 @query
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counted(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
