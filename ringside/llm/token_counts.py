@@ -23,7 +23,7 @@ from ringside.llm.subwords import byte_characters
 #: Rows of the sample, pre-tokens of the table, and the longest one (in characters) that is held anywhere.
 SAMPLE_DOCS, TABLE, LONGEST = 2000, 50_000, 64
 #: Bytes of misses that a worker remembers, about; beyond them it starts anew.
-MISSES = 24 << 20
+MISSES = 64 << 20
 #: What parts a text into pre-tokens, as the byte-level scheme of these vocabularies fixes it.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -48,7 +48,8 @@ class Lengths(dict):
         self.pieces = regex.compile(pattern).findall
         added = [t.content for t in self.model.get_added_tokens_decoder().values()]
         self.special = regex.compile("|".join(map(regex.escape, added))) if added else None
-        self.odd = regex.compile(f"[{odd}]") if odd else None
+        self.odd = frozenset(odd)
+        self.high = regex.compile(f"[{min(odd)}-\U0010ffff]") if odd else None
 
     def __missing__(self, piece: str) -> int:
         n = len(self.merges.tokenize(piece.encode("utf-8").decode("latin-1").translate(self.letters)))
@@ -63,7 +64,7 @@ class Lengths(dict):
 
     def count(self, text: str) -> int:
         """Tokens of a whole text; special strings in it count one each."""
-        if self.odd is not None and not text.isascii() and self.odd.search(text):
+        if self.high is not None and self.high.search(text) and not self.odd.isdisjoint(text):
             return len(self.model.encode(text, add_special_tokens=False).ids)
         if self.special is None or "<" not in text:
             return sum(map(self.__getitem__, self.pieces(text)))
@@ -72,8 +73,7 @@ class Lengths(dict):
 
 
 def odd_characters(path: str) -> str:
-    """Code points that the library's character tables class otherwise than ours, as the inside of a character
-    set; texts with one of them go through the library whole."""
+    """Characters that the library's tables class otherwise than ours; texts with one of them go through the library whole."""
     from tokenizers import Tokenizer
     split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
     every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
@@ -82,7 +82,7 @@ def odd_characters(path: str) -> str:
         of_class = regex.findall(ours, every)
         if len(split("".join(of_class))) > 1:  # characters of one class in a row are one piece
             odd += [c for c in of_class if len(split(lead + c)) > 1]
-    return "".join(f"\\U{ord(c):08x}" for c in odd)
+    return "".join(odd)
 
 
 def frequent(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> dict[str, int]:
