@@ -4,8 +4,8 @@ Input splits are dealt to SHARDS shards. A phrase with `support` occurrences in
 ceil(support / SHARDS) in some shard, so the union of what the shards find at that local support misses none.
 Shards are mined level by level (words, pairs, triples; a phrase is looked at only where both its shorter
 parts were found). A task counts 64-bit keys of its phrases in numpy and sends each bucket of keys its sorted
-share; a bucket's reducer adds a shard's shares up. What a level finds becomes a bit map of fixed size (bit:
-the key's top BITS bits), the same however large the corpus is. Keys that share a bit only add candidates.
+share; a bucket's reducer adds a shard's shares up. What a level finds becomes a bit map (bit: the key's
+top bits) of 32 MB at most, however large the corpus is. Keys that share a bit only add candidates.
 
 Then all texts are read again: every phrase on the maps is counted as a string over all shards, exactly, and
 those below the support go. Scores, the rule about longer phrases and ranks are DataFrame work on the counts.
@@ -24,8 +24,8 @@ from ringside.llm.common import blocks, mapped, mixed, random_words, store
 
 #: Shards, and the longest phrase.
 SHARDS, LONGEST = 3, 3
-#: A level's bit map has 2^BITS bits.
-BITS = 28
+#: A level's bit map has 2^BITS bits at most; fewer where the texts have fewer than eight times as many bytes.
+BITS, LEAST_BITS = 28, 20
 #: Phrases that a task holds before it sends their counts on, and text bytes meant for one bucket of keys.
 HELD, BUCKET_BYTES = 3_000_000, 4 << 20
 #: Distinct strings that a task holds in the exact count.
@@ -89,7 +89,7 @@ class Words:
 
 def listed(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Which keys have their bit set."""
-    at = keys >> np.uint64(64 - BITS)
+    at = keys >> np.uint64(65 - (8 * len(bits)).bit_length())
     return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
@@ -122,7 +122,7 @@ def _map(held) -> np.ndarray:
     return _MAPS[name]
 
 
-def mine(rows: DataFrame, maps: list, least: int, bucket_bits: int):
+def mine(rows: DataFrame, maps: list, least: int, bits: int, bucket_bits: int):
     """The bit map of phrases one word longer than `maps` cover that occur at least `least` times in some shard."""
     kind = np.dtype(np.uint8 if least < 256 else "<u8")
 
@@ -155,7 +155,7 @@ def mine(rows: DataFrame, maps: list, least: int, bucket_bits: int):
             yield from flush()
 
     def reduce(group: pa.Table) -> pa.Table:
-        width = BITS - bucket_bits
+        width = bits - bucket_bits
         out = np.zeros(1 << width, bool)
         shard_of = group.column("shard").to_numpy()
         high, low, n = (group.column(c) for c in ("high", "low", "n"))
@@ -167,13 +167,13 @@ def mine(rows: DataFrame, maps: list, least: int, bucket_bits: int):
             keys = keys[order]
             first = np.concatenate([[True], keys[1:] != keys[:-1]]).nonzero()[0]
             total = np.add.reduceat(join(n, kind)[order].astype(np.int64), first)
-            out[((keys[first[total >= least]] >> np.uint64(48 - BITS)) & np.uint64((1 << width) - 1)).astype(np.int64)] = True
+            out[((keys[first[total >= least]] >> np.uint64(48 - bits)) & np.uint64((1 << width) - 1)).astype(np.int64)] = True
         return pa.table({"bucket": [group.column("bucket")[0].as_py()], "bits": pa.array([zlib.compress(np.packbits(out, bitorder="little").tobytes(), 1)], pa.binary())})
 
     shares = mapped(rows, count, "bucket bigint, shard int, high binary, low binary, n binary")
-    found = np.zeros((1 << BITS) // 8, np.uint8)
-    width = (1 << BITS - bucket_bits) // 8
-    for r in shares.groupBy("bucket").applyInArrow(reduce, "bucket bigint, bits binary").collect():  # 2^BITS bits in all
+    found = np.zeros((1 << bits) // 8, np.uint8)
+    width = (1 << bits - bucket_bits) // 8
+    for r in shares.groupBy("bucket").applyInArrow(reduce, "bucket bigint, bits binary").collect():  # 2^bits bits in all
         found[r.bucket * width:(r.bucket + 1) * width] = np.frombuffer(zlib.decompress(r.bits), np.uint8)
     return uuid.uuid4().hex, rows.sparkSession.sparkContext.broadcast(found.tobytes())
 
@@ -221,10 +221,11 @@ def mined(docs: DataFrame, support: int = 10, text: str = "text", lang: str = "l
     all words of a language (size 0, empty phrase)."""
     rows = _columns(docs, text, lang)
     total = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    bucket_bits = min(BITS - 3, max(6, (int(total) // BUCKET_BYTES).bit_length()))
+    bits = min(BITS, max(LEAST_BITS, int(total).bit_length() - 3))
+    bucket_bits = min(bits - 3, max(6, (int(total) // BUCKET_BYTES).bit_length()))
     maps = []
     for _ in range(LONGEST):
-        maps.append(mine(rows, maps, -(-support // SHARDS), bucket_bits))
+        maps.append(mine(rows, maps, -(-support // SHARDS), bits, bucket_bits))
     return store(counts(rows, maps).where((F.col("n") >= support) | (F.col("size") == 0)), "phrases")
 
 
