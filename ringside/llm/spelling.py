@@ -180,8 +180,8 @@ def _dealt(vocabulary: DataFrame) -> DataFrame:
             holds = length.between(max(least - 1, SHORTEST), most + 1)
             roles.append(F.when(holds, F.struct(F.lit(2 * i + turned).alias("role"), F.lit(turned).alias("turned"), s.alias("s"), F.right(s, F.lit(wide)).alias("end"), length.between(least, most).alias("asks"))))
     rows = vocabulary.select(F.explode(F.array_compact(F.array(*roles))).alias("r"), "n").select("r.*", "n")
-    sizes = rows.groupBy("role", "end").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > BLOCK)
-    rows = rows.join(sizes, ["role", "end"], "left").withColumn("blocks", F.ceil(F.coalesce("size", F.lit(1)) / BLOCK))
+    sizes = rows.groupBy("role", "end").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > BLOCK)  # a BLOCK-th of the rows at most
+    rows = rows.join(F.broadcast(sizes), ["role", "end"], "left").withColumn("blocks", F.ceil(F.coalesce("size", F.lit(1)) / BLOCK))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("s"), "blocks")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("holds", F.col("block") == F.col("own")).where(F.col("asks") | F.col("holds"))
     places = max(1, -(-vocabulary.count() // BLOCK))
