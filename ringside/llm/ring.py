@@ -23,7 +23,9 @@ CELL_BITS = 12
 
 def places(spark: SparkSession, shards: int, replicas: int = REPLICAS) -> DataFrame:
     """(arc, position, shard) of all places, in ring order; arc 0 comes again as the last one, for keys beyond the last place."""
-    ring = spark.range(shards * replicas).select((F.col("id") % shards).cast("int").alias("shard"), F.xxhash64(F.lit("place"), "id").alias("position"))
+    # a place is its shard's own: adding a shard adds places and moves none
+    ring = spark.range(shards * replicas).select((F.col("id") % shards).cast("int").alias("shard"), F.floor(F.col("id") / shards).alias("replica"))
+    ring = ring.select("shard", F.xxhash64(F.lit("place"), "shard", "replica").alias("position"))
     ring = ring.select((F.row_number().over(Window.orderBy("position", "shard")) - 1).alias("arc"), "position", "shard")
     return ring.union(ring.where("arc = 0").select(F.lit(shards * replicas), F.lit(None).cast("bigint"), "shard"))
 
@@ -84,11 +86,13 @@ def assign(rows: DataFrame, shards: int, key: str = "doc_id", load: float = 1.0,
     """`rows` with shard and slot (gapless from 0 in a shard, for load 1 and more).
 
     Null keys have one place on the ring; rows of one key lie side by side in the order read. An empty
-    table gives no rows. `rows` must have no columns named like ring_*, shard or slot.
+    table gives no rows. Columns may have any name; given ones called shard or slot make way for the result's.
     """
     spark = rows.sparkSession
     ring = store(places(spark, shards, replicas), "ring")
-    placed = rows.withColumn("ring_rid", F.monotonically_increasing_id()).withColumn("ring_position", F.xxhash64(F.lit("key"), F.col(key)))
+    kept = [c for c in rows.columns if c not in ("shard", "slot")]
+    placed = rows.select(F.struct(*[rows[f"`{c}`"] for c in rows.columns]).alias("ring_row"), F.monotonically_increasing_id().alias("ring_rid"),
+                         F.xxhash64(F.lit("key"), rows[f"`{key}`"]).alias("ring_position"))
     cell = F.broadcast(cells(ring).select(F.col("cell").alias("ring_cell"), "inside", "before"))  # 2^CELL_BITS rows
     placed = placed.withColumn("ring_cell", F.shiftright("ring_position", 64 - CELL_BITS)).join(cell, "ring_cell")
     placed = placed.withColumn("ring_arc", (F.col("before") + F.size(F.filter("inside", lambda p: p < F.col("ring_position")))).cast("int")).drop("inside", "before", "ring_cell")
@@ -105,4 +109,4 @@ def assign(rows: DataFrame, shards: int, key: str = "doc_id", load: float = 1.0,
     both = placed.join(offsets, "ring_part").join(F.broadcast(arcs), "ring_arc")  # shards x replicas rows
     into = F.when(rank < F.col("ring_keep"), F.struct(F.col("ring_shard").alias("shard"), (F.col("ring_slot") + rank).alias("slot"))).otherwise(
         F.struct(move.shard.alias("shard"), (move.slot + nth_out - move["from"]).alias("slot")))
-    return both.withColumn("ring_into", into).select(*[F.col(f"`{c}`") for c in rows.columns], F.col("ring_into.shard").cast("int").alias("shard"), F.col("ring_into.slot").cast("long").alias("slot"))
+    return both.withColumn("ring_into", into).select(*[F.col("ring_row").getField(c).alias(c) for c in kept], F.col("ring_into.shard").cast("int").alias("shard"), F.col("ring_into.slot").cast("long").alias("slot"))
