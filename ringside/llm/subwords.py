@@ -16,7 +16,9 @@ from pyspark.sql import DataFrame
 from ringside.llm.common import blocks, mapped
 
 #: Words of a generation that a worker remembers (it holds two), and the longest one that is remembered.
-REMEMBERED, LONGEST = 300_000, 64
+REMEMBERED, LONGEST = 500_000, 64
+#: Marks that mostly follow a word's letters.
+MARKS = ",.!?:;"
 
 
 def byte_characters() -> dict[int, str]:
@@ -34,29 +36,34 @@ class WordIds:
 
     def __init__(self, encode_words: Callable[[list[str]], list[list[int]]], width: int, whole: list[str] | None):
         self.encode_words, self.kind, self.known, self.older = encode_words, np.dtype(f"<u{width}"), {}, {}
-        the, zq, *parted = (tuple(ids) for ids in encode_words(["the", "zq", "the,", "the.", "zq,", "zq."]))
-        # a comma or a full stop after letters that adds the same ids to any word needs no look of its own
-        self.tails = {m: np.array(a[len(the):], self.kind).tobytes() for m, a, b in ((b",", parted[0], parted[2]), (b".", parted[1], parted[3]))
+        # a mark after letters that adds the same ids to any word needs no look of its own
+        the, zq, *ended = encode_words(["the", "zq", *(w + m for m in MARKS for w in ("the", "zq"))])
+        self.tails = {m.encode(): np.array(a[len(the):], self.kind).tobytes() for m, a, b in zip(MARKS, ended[0::2], ended[1::2])
                       if a[:len(the)] == the and b == zq + a[len(the):]}
         self.whole = None if whole is None else [w.lower().encode("utf-8") for w in whole]
 
-    def _words(self, text: bytes) -> list[bytes]:
+    def _cased(self, text: bytes) -> bytes:
         low = text.lower()  # A-Z alone
-        return (text if self.whole is None or any(w in low for w in self.whole) else low).split()
-
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        words = [self._words(t) for t in texts]
-        met = set().union(*words)
-        fresh = met - self.known.keys()
+        return text if self.whole is None or any(w in low for w in self.whole) else low
+
+    def _marked(self, word: bytes) -> bool:
+        """Whether a word is letters up to U+024F with a mark after them."""
+        if word[-1:] not in self.tails:
+            return False
+        stem = word[:-1].decode("utf-8", "replace")
+        return stem.isalpha() and (stem.isascii() or max(stem) < "\u0250")
+
+    def _ids_of(self, words: list[bytes]) -> list[bytes]:
+        """Ids of distinct words, remembered or encoded now."""
+        fresh = [w for w in words if w not in self.known]
         if len(self.known) + len(fresh) > REMEMBERED:
-            self.older, self.known, fresh = self.known, {}, met
-        again = fresh & self.older.keys()
+            self.older, self.known, fresh = self.known, {}, words
+        again = [w for w in fresh if w in self.older]
         self.known.update(zip(again, map(self.older.__getitem__, again)))
-        fresh -= again
-        parted = [w for w in fresh if w[-1:] in self.tails and w[:-1].isalpha()]
+        fresh = set(fresh).difference(again)
+        parted = [w for w in fresh if self._marked(w)]
         fresh.difference_update(parted)
-        stems = {w[:-1] for w in parted} - self.known.keys()
-        fresh = list(fresh | stems)
+        fresh = list(fresh | ({w[:-1] for w in parted} - self.known.keys()))
         for at in range(0, len(fresh), 20_000):
             part = fresh[at:at + 20_000]
             ids = self.encode_words([w.decode("utf-8", "replace") for w in part])
@@ -67,12 +74,37 @@ class WordIds:
                 self.known[word] = flat[start:end]
         for word in parted:
             self.known[word] = self.known[word[:-1]] + self.tails[word[-1:]]
-        out = [b"".join(map(self.known.__getitem__, row)) for row in words]
+        out = list(map(self.known.__getitem__, words))
         for word in fresh:
             if len(word) > LONGEST:
                 self.known.pop(word)
         return out
 
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        """Words are cut out and numbered in Arrow, looked up once a block, and their ids put in a row by offsets."""
+        parts = [self._cased(t) for t in texts]
+        data = np.frombuffer(b"\n".join([b"", *parts, b""]), np.uint8)
+        inside = ~_WHITE[data]
+        edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        starts, ends = edges[0::2], edges[1::2]
+        if not len(starts):
+            return [b""] * len(texts)
+        offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+        cut = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])]).dictionary_encode()
+        known = self._ids_of(cut.dictionary.to_pylist())
+        flat, at = np.frombuffer(b"".join(known), self.kind), cut.indices.to_numpy()
+        size = np.fromiter(map(len, known), np.int64, len(known)) // self.kind.itemsize
+        first, length = (np.cumsum(size) - size)[at], size[at]
+        before = np.cumsum(length) - length
+        out = flat[np.repeat(first - before, length) + np.arange(int(length.sum()))]
+        words = np.searchsorted(starts, 1 + np.cumsum([len(p) + 1 for p in parts]))  # words up to the end of each text
+        stops = np.append(before, len(out))[words].tolist()
+        return [out[a:b].tobytes() for a, b in zip([0, *stops], stops)]
+
+
+#: White space of the ASCII range, which parts words.
+_WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
 
 _HELD: dict[tuple[str, str], WordIds] = {}
 
