@@ -3,8 +3,9 @@
 Input splits are dealt to SHARDS shards. A phrase with `support` occurrences in all has at least
 ceil(support / SHARDS) in some shard, so the union of what the shards find at that local support misses none.
 Shards are mined level by level (words, pairs, triples; a phrase is looked at only where both its shorter
-parts were found). A task counts 64-bit keys of its phrases in numpy and sends each bucket of keys its sorted
-share; a bucket's reducer adds a shard's shares up. What a level finds becomes a bit map (bit: the key's
+parts were found). A task counts keys of its phrases in numpy and sends each bucket of keys its sorted
+share; a bucket's reducer adds a shard's shares up. A phrase that some shard finds but that all shards together
+don't bring to the support is no candidate either. What a level finds becomes a bit map (bit: the key's
 top bits) of 32 MB at most, however large the corpus is. Keys that share a bit only add candidates.
 
 Then all texts are read again: every phrase on the maps is counted as a string over all shards, exactly, and
@@ -27,9 +28,9 @@ SHARDS, LONGEST = 3, 3
 #: A level's bit map has 2^BITS bits at most; fewer where the texts have fewer than eight times as many bytes.
 BITS, LEAST_BITS = 28, 20
 #: Phrases that a task holds before it sends their counts on, and text bytes meant for one bucket of keys.
-HELD, BUCKET_BYTES = 3_000_000, 4 << 20
+HELD, BUCKET_BYTES = 2_500_000, 4 << 20
 #: Distinct strings that a task holds in the exact count.
-STRINGS = 300_000
+STRINGS = 200_000
 
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 UNKNOWN = "und"
@@ -122,9 +123,14 @@ def _map(held) -> np.ndarray:
     return _MAPS[name]
 
 
-def mine(rows: DataFrame, maps: list, least: int, bits: int, bucket_bits: int):
-    """The bit map of phrases one word longer than `maps` cover that occur at least `least` times in some shard."""
-    kind = np.dtype(np.uint8 if least < 256 else "<u8")
+def mine(rows: DataFrame, maps: list, support: int, bits: int, bucket_bits: int, width: int):
+    """The bit map of phrases one word longer than `maps` cover that are frequent in some shard.
+
+    Keys are sent by their first `width` bytes, byte plane by byte plane: sorted, the first planes of a bucket
+    are runs, which the shuffle's compression folds.
+    """
+    least = -(-support // SHARDS)
+    kind = np.dtype(np.uint8 if support < 256 else "<u8")
 
     def count(batches):
         from pyspark import TaskContext
@@ -132,17 +138,16 @@ def mine(rows: DataFrame, maps: list, least: int, bits: int, bucket_bits: int):
         found = [_map(m) for m in maps]
 
         def flush():
-            keys, counts = np.unique(np.concatenate(kept), return_counts=True)
-            counts = np.minimum(counts, least).astype(kind)
-            bucket = (keys >> np.uint64(64 - bucket_bits)).astype(np.int64)
+            keys, counts = np.unique(np.concatenate(kept) >> np.uint64(64 - 8 * width), return_counts=True)
+            counts = np.minimum(counts, support).astype(kind)
+            bucket = (keys >> np.uint64(8 * width - bucket_bits)).astype(np.int64)
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(keys)]]).tolist()
-            # sorted: the high halves are nearly constant in a bucket and cost next to nothing in the shuffle
-            high, low = (keys >> np.uint64(32)).astype("<u4"), ((keys >> np.uint64(16)) & np.uint64(0xFFFF)).astype("<u2")
+            planes = keys.astype("<u8").view(np.uint8).reshape(-1, 8)
             for at in range(0, len(cuts) - 1, 256):
                 spans = [(a, b) for a, b in zip(cuts[at:at + 256], cuts[at + 1:at + 257])]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([int(bucket[a]) for a, _ in spans], pa.int64()), pa.array([shard] * len(spans), pa.int32()), pa.array([high[a:b].tobytes() for a, b in spans], pa.binary()),
-                    pa.array([low[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([counts[a:b].tobytes() for a, b in spans], pa.binary())], names=["bucket", "shard", "high", "low", "n"])
+                    pa.array([int(bucket[a]) for a, _ in spans], pa.int64()), pa.array([shard] * len(spans), pa.int32()),
+                    pa.array([planes[a:b, :width].T.tobytes() for a, b in spans], pa.binary()), pa.array([counts[a:b].tobytes() for a, b in spans], pa.binary())], names=["bucket", "shard", "keys", "n"])
 
         for _, words in _blocks(batches):
             keys, _ = words.phrases(found)
@@ -154,30 +159,46 @@ def mine(rows: DataFrame, maps: list, least: int, bits: int, bucket_bits: int):
         if n:
             yield from flush()
 
+    def parts(group, column, kind, at):
+        return [np.frombuffer(group.column(column)[int(i)].as_py(), kind) for i in at]
+
     def reduce(group: pa.Table) -> pa.Table:
-        width = bits - bucket_bits
-        out = np.zeros(1 << width, bool)
-        shard_of = group.column("shard").to_numpy()
-        high, low, n = (group.column(c) for c in ("high", "low", "n"))
+        inside = bits - bucket_bits
+        shard_of, keys, frequent = group.column("shard").to_numpy(), [], []
+        totals = []
         for shard in np.unique(shard_of):
             at = np.flatnonzero(shard_of == shard)
-            join = lambda c, kind: np.frombuffer(b"".join(c[int(i)].as_py() for i in at), kind)
-            keys = join(high, "<u4").astype(np.uint64) << np.uint64(16) | join(low, "<u2")
-            order = np.argsort(keys, kind="stable")
-            keys = keys[order]
-            first = np.concatenate([[True], keys[1:] != keys[:-1]]).nonzero()[0]
-            total = np.add.reduceat(join(n, kind)[order].astype(np.int64), first)
-            out[((keys[first[total >= least]] >> np.uint64(48 - bits)) & np.uint64((1 << width) - 1)).astype(np.int64)] = True
+            sent = []
+            for p in parts(group, "keys", np.uint8, at):
+                whole = np.zeros((len(p) // width, 8), np.uint8)
+                whole[:, :width] = p.reshape(width, -1).T
+                sent.append(whole.view("<u8").ravel())
+            total, key = _summed(np.concatenate(sent), np.concatenate(parts(group, "n", kind, at)).astype(np.int64))
+            keys.append(key)
+            totals.append(total)
+            frequent.append(key[total >= least])
+        total, key = _summed(np.concatenate(keys), np.concatenate(totals))
+        enough = np.intersect1d(key[total >= support], np.concatenate(frequent))
+        out = np.zeros(1 << inside, bool)
+        out[((enough >> np.uint64(8 * width - bits)) & np.uint64((1 << inside) - 1)).astype(np.int64)] = True
         return pa.table({"bucket": [group.column("bucket")[0].as_py()], "bits": pa.array([zlib.compress(np.packbits(out, bitorder="little").tobytes(), 1)], pa.binary())})
 
-    shares = mapped(rows, count, "bucket bigint, shard int, high binary, low binary, n binary")
+    shares = mapped(rows, count, "bucket bigint, shard int, keys binary, n binary")
     found = np.zeros((1 << bits) // 8, np.uint8)
-    width = (1 << bits - bucket_bits) // 8
+    size = (1 << bits - bucket_bits) // 8
     for r in shares.groupBy("bucket").applyInArrow(reduce, "bucket bigint, bits binary").collect():  # 2^bits bits in all
-        found[r.bucket * width:(r.bucket + 1) * width] = np.frombuffer(zlib.decompress(r.bits), np.uint8)
+        found[r.bucket * size:(r.bucket + 1) * size] = np.frombuffer(zlib.decompress(r.bits), np.uint8)
     return uuid.uuid4().hex, rows.sparkSession.sparkContext.broadcast(found.tobytes())
 
 
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Total and key of each distinct key, in order."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return np.add.reduceat(n[order], first), keys[first]
+
+
 def counts(rows: DataFrame, maps: list) -> DataFrame:
     """lang, size, phrase and n of every phrase of 1 to len(maps) words on the maps, and of all words together
     (size 0), counted over all rows."""
@@ -223,9 +244,10 @@ def mined(docs: DataFrame, support: int = 10, text: str = "text", lang: str = "l
     total = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     bits = min(BITS, max(LEAST_BITS, int(total).bit_length() - 3))
     bucket_bits = min(bits - 3, max(6, (int(total) // BUCKET_BYTES).bit_length()))
+    width = min(8, max(4, 1 + -(-(int(total).bit_length() + 2) // 8)))  # keys with some 2^8 to 2^16 times as many values as there are phrases
     maps = []
     for _ in range(LONGEST):
-        maps.append(mine(rows, maps, -(-support // SHARDS), bits, bucket_bits))
+        maps.append(mine(rows, maps, support, bits, bucket_bits, width))
     return store(counts(rows, maps).where((F.col("n") >= support) | (F.col("size") == 0)), "phrases")
 
 
@@ -258,6 +280,13 @@ def collocations(docs: DataFrame, support: int = 10, top: int | None = 2000, tex
     inside = inside.groupBy("lang", "phrase").agg(F.max("of_longer").alias("of_longer"))
     kept = scored(found).join(inside, ["lang", "phrase"], "left").where(F.col("of_longer").isNull() | (F.col("of_longer") * 100 < F.col("a") * 50))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
+    if top is not None:
+        # scores in a thousand steps: of each language only the steps that hold its first ones are ranked
+        kept = store(kept, "kept")
+        steps = kept.groupBy("lang", F.expr("score div 1000").alias("step")).agg(F.count(F.lit(1)).alias("rows"))
+        above = F.sum("rows").over(Window.partitionBy("lang").orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, -1))
+        last = steps.withColumn("above", F.coalesce(above, F.lit(0))).where(F.col("above") < top).groupBy("lang").agg(F.min("step").alias("last"))
+        kept = kept.join(last, "lang").where(F.expr("score div 1000") >= F.col("last")).drop("last")
     ranked = kept.withColumn("rank", F.row_number().over(order).cast("long"))
     if top is not None:
         ranked = ranked.where(F.col("rank") <= top)
