@@ -19,7 +19,9 @@ AROUND = f"""SELECT city, id, round(m / 1000, 6) AS km, rank FROM (SELECT t.city
 
 
 def _around(t):
-    found = facets.around_cities(facets.cities(facets.city_members(t.ready)), t.ready)
+    ready = cut_lineage(t.ready.select("id", "nom", "ville", "dep", "lat", "lon"))      # read by four steps
+    members = cut_lineage(facets.city_members(ready))
+    found = facets.around_cities(facets.cities(members), ready, members=members)
     return found.select("city", "id", F.round("km", 6).alias("km"), "rank")
 
 

@@ -128,9 +128,13 @@ def _(t):
     return t.sites_raw.select("id", "ville", "nom").orderBy(*facets.list_key(), "id")
 
 
-@check("o3_french_order")
+# base letters first; words that differ in case alone: the small letter before the capital, wherever they first differ
+CASES = lambda x: f"regexp_replace(regexp_replace(strip_accents(coalesce({x}, '')), '[A-Z]', '~', 'g'), '[^~]', ' ', 'g')"
+
+
+@check("o3_french_order", f"SELECT id, row_number() OVER (ORDER BY {fold_sql('ville')}, {CASES('ville')}, {fold_sql('nom')}, {CASES('nom')}, id) - 1 AS position FROM sites_raw", ["sites_raw"])
 def _(t):
-    return t.sites_raw.select("id", "ville", "nom").orderBy(*search.french_order("ville", "nom"), "id")
+    return search.french_positions(t.sites_raw, ("ville", "nom"))
 
 
 @check("o4_distance_order", f"SELECT i FROM (SELECT i, {KM(45.0, 1.0)} AS km FROM idx) ORDER BY km, i LIMIT 100", ["idx"])

@@ -219,3 +219,40 @@ def _cells(rows, cols, n) -> Column:
 def degree_cell(coordinate, step) -> Column:
     """Grid key of the published cells: round half even of coordinate / step."""
     return F.bround(coordinate / F.lit(float(step)), 0).cast("int")
+
+
+# ------------------------------------------------------------------------- order and boxes
+CURVE_BITS = 26
+
+
+def _spread(cell) -> Column:
+    """The bits of a cell number, a zero bit after each."""
+    out = cell.cast("bigint")
+    for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+        out = out.bitwiseOR(F.shiftleft(out, shift)).bitwiseAND(F.lit(mask))
+    return out
+
+
+def along_curve(lat, lon) -> Column:
+    """Place of a point on the Z-order curve: points of one grid cell, of any level, are one run of it."""
+    return F.shiftleft(_spread(cell_row(lat, CURVE_BITS)), 1).bitwiseOR(_spread(cell_col(lon, CURVE_BITS)))
+
+
+def on_sphere(lat, lon) -> list[Column]:
+    """x, y, z of a point on the unit sphere: boxes and bounds there know neither poles nor an antimeridian."""
+    return [F.cos(F.radians(lat)) * F.cos(F.radians(lon)), F.cos(F.radians(lat)) * F.sin(F.radians(lon)), F.sin(F.radians(lat))]
+
+
+def chord_of(metres) -> Column:
+    """The straight line under a great-circle distance, in radii."""
+    return F.sin(F.least(metres / (2 * EARTH_M), F.lit(math.pi / 2))) * 2
+
+
+def chords_to_box(point, low, high) -> tuple[Column, Column]:
+    """Least and greatest straight distance of a point to a box given by its corners, in radii."""
+    near, far = F.lit(0.0), F.lit(0.0)
+    for p, a, b in zip(point, low, high):
+        gap = F.greatest(a - p, p - b, F.lit(0.0))
+        reach = F.greatest(F.abs(p - a), F.abs(p - b))
+        near, far = near + gap * gap, far + reach * reach
+    return F.sqrt(near), F.sqrt(far)

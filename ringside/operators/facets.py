@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ringside import vocab
 from ringside.functions import geo, text
-from ringside.operators import spatial
+from ringside.operators import ranking, spatial
 from ringside.operators.publish import MISSING_DEP
 from ringside.session import cut_lineage
 
@@ -197,13 +197,16 @@ def cities(members: DataFrame) -> DataFrame:
 
 
 def around_cities(cities_: DataFrame, venues: DataFrame, within_km=20.0, k=12,
-                  parents=PARENT_CITIES) -> DataFrame:
+                  parents=PARENT_CITIES, members=None) -> DataFrame:
     """The nearest venues within 20 km of a city's centroid that are not in the city.
 
+    members: `city_members` of the venues, if at hand.
+
     Search cells cover the exact radius at any latitude. Candidates at one coordinate and in
     one city are folded to the k first ids before the search, which cannot change the answer.
     """
-    membership = city_members(venues, parents).select(
+    members = city_members(venues, parents) if members is None else members
+    membership = members.select(
         "id", F.concat_ws("/", "slug", "dep").alias("_city"))
     homes = membership.groupBy("id").agg(F.array_sort(F.collect_set("_city")).alias("homes"))  # one or two
     spots = venues.select("id", "lat", "lon").join(homes, "id", "left").withColumn(
@@ -229,7 +232,7 @@ def neighbours(venues: DataFrame, k=6) -> DataFrame:
     smallest ids of a coordinate can ever be among anyone's nearest.
     """
     at = ["dep", "lat", "lon"]
-    base = located_rows(venues)
+    base = cut_lineage(located_rows(venues).select("id", *at))
     spots = base.select(*at).distinct().withColumn("q_id", F.concat_ws("/", *at))
     few = spatial.keep_first(base.select("id", *at), at, ["id"], k + 1)
     candidates = few.select(c("id").alias("c_id"), c("lat").alias("c_lat"), c("lon").alias("c_lon"), "dep")
@@ -254,24 +257,17 @@ def list_positions(members: DataFrame, keys, first=200) -> DataFrame:
 def list_headings(venues: DataFrame, keys=("dep",)) -> DataFrame:
     """City break headings of lists sorted by (lower city, lower name): (keys, heading, first id).
 
-    A heading opens wherever the city as written differs from the row before. Rows with
-    different lower-case cities always differ, so one spelling opens once, at its first row -
-    a plain min_by. Only cities written in several ways need to look at the row before.
+    A heading opens wherever the city as written, or the list, differs from the row before in the
+    order of all lists; a city written in very many ways spreads over the parts of that order.
     """
-    place = venues.withColumn("_city", F.lower(F.coalesce("ville", F.lit("")))).withColumn(
-        "_at", F.struct(F.lower(F.coalesce("nom", F.lit(""))).alias("n"), c("id")))
-    group = [*keys, "_city"]
-    spelled = place.groupBy(*group).agg(
-        F.min(F.coalesce("ville", F.lit(""))).alias("lo"), F.max(F.coalesce("ville", F.lit(""))).alias("hi"),
-        F.min("_at").alias("_at"))
-    single = spelled.where(c("lo") == c("hi")).select(*keys, c("lo").alias("heading"), c("_at.id").alias("id"))
-    several = spelled.where(c("lo") != c("hi")).select(*group)
-    w = Window.partitionBy(*group).orderBy("_at")
     written = F.coalesce("ville", F.lit(""))
-    before = F.lag(written).over(w)
-    mixed = place.join(several, group, "left_semi").withColumn("_before", before).where(
-        c("_before").isNull() | (c("_before") != written)).select(*keys, written.alias("heading"), "id")
-    return single.unionByName(mixed)
+    order = [*keys, F.lower(written), F.lower(F.coalesce("nom", F.lit(""))), "id"]
+    slim = venues.select(*keys, "ville", "nom", "id")
+    seen = ranking.with_previous(slim, order, F.struct(*keys, written.alias("heading")))
+    same = F.coalesce(c("before.heading") == written, F.lit(False))
+    for k in keys:
+        same = same & c(f"before.{k}").eqNullSafe(c(k))
+    return seen.where(~same).select(*keys, written.alias("heading"), "id")
 
 
 def url_inventory(venues: DataFrame, photos: DataFrame, langs=("fr", "en")) -> DataFrame:

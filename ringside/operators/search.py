@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ringside import vocab
 from ringside.functions import geo, text
+from ringside.operators import ranking
 from ringside.operators.publish import full_rows, lap
 
 c = F.col
@@ -246,6 +247,13 @@ def french_order(*columns):
     return [F.collate(F.coalesce(c(x), F.lit("")), "FR") for x in columns]
 
 
+def french_positions(rows: DataFrame, columns, ident="id") -> DataFrame:
+    """(ident, position): every row's place from 0 in French order, ties by ident. The order as a column: it can be
+    stored, joined and paged by comparison, and no task sees more than its range."""
+    slim = rows.select(ident, *columns)
+    return ranking.placed(slim, [*french_order(*columns), ident]).select(ident, "position")
+
+
 def page_of(rows: DataFrame, order, limit=DEFAULT_LIMIT, page=1) -> DataFrame:
     """One page of a ranking: a top-k plan, no total sort."""
     ordered = rows.orderBy(*order)

@@ -8,8 +8,8 @@ before they get here wherever the answer allows it.
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ringside.functions import geo
-
-LEVELS = tuple(range(0, geo.FINEST_LEVEL + 1, 2))
+from ringside.operators import ranking
+from ringside.session import cut_lineage
 
 
 def _with_cell(points, level, lat, lon):
@@ -77,8 +77,51 @@ def keep_first(pairs: DataFrame, keys, order, k=1, rank="rank") -> DataFrame:
     return pairs.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
-def nearest(queries: DataFrame, candidates: DataFrame, k: int, *, by=(), within_m=None,
-            need=None, exclude=None, levels=LEVELS) -> DataFrame:
+class Packed:
+    """Points sorted along a space-filling curve and packed into a tree of boxes by rank.
+
+    LEAF points in curve order are a leaf, FAN nodes in a row a node of the next level. Places follow from
+    ranks by division, so however the points crowd together every leaf and node is equally full: no
+    cell is hot, and a dense spot has small boxes where a grid would have one crowded cell. Points under
+    the same `by` keys are one run of ranks.
+
+    points: `rank` and `_node` (the leaf) beside the given columns. levels, leaves first: the nodes of a level, by
+    their low and high corners on the unit sphere, in one row (_node, kids) for each node above, so FAN in a
+    row at most. runs: (by, _lo, _hi), ranks from _lo up to _hi, without it; none without keys.
+    """
+    LEAF, FAN = 8, 64
+
+    def __init__(self, points: DataFrame, lat: str, lon: str, order, by=()):
+        by = list(by)
+        rows = points.dropna(subset=[*by, lat, lon])
+        rows = ranking.placed(rows, [*by, geo.along_curve(F.col(lat), F.col(lon)), *order], "rank")
+        self.size = rows.count()
+        self.points = rows.withColumn("_node", F.floor(F.col("rank") / self.LEAF).cast("bigint"))
+        run = [F.min("rank").alias("_lo"), (F.max("rank") + 1).alias("_hi")]
+        self.runs = self.points.groupBy(*by).agg(*run) if by else None
+        spot = geo.on_sphere(F.col(lat), F.col(lon))
+        leaves = self.points.select("_node", *[x.alias(f"{n}{i}") for x, n in zip(spot, "xyz") for i in (0, 1)])
+        self.levels, nodes = [], -(-self.size // self.LEAF)
+        boxes = self._boxes(leaves, F.col("_node"))
+        while True:
+            kids = F.struct(F.col("_node").alias("kid"), *[f"{x}{i}" for i in (0, 1) for x in "xyz"])
+            above = F.floor(F.col("_node") / self.FAN).cast("bigint")
+            self.levels.append(cut_lineage(boxes.groupBy(above.alias("_node")).agg(F.collect_list(kids).alias("kids"))))
+            if nodes <= self.FAN:
+                break
+            nodes = -(-nodes // self.FAN)
+            boxes = self._boxes(self.levels[-1].select("_node", F.inline("kids")), F.col("_node"))
+
+    @staticmethod
+    def _boxes(nodes, key):
+        return nodes.groupBy(key.alias("_node")).agg(*[f(f"{x}{i}").alias(f"{x}{i}") for i, f in ((0, F.min), (1, F.max)) for x in "xyz"])
+
+    def held(self, level: int) -> int:
+        """Points of a full node of a level."""
+        return self.LEAF * self.FAN ** level
+
+
+def nearest(queries: DataFrame, candidates: DataFrame, k: int, *, by=(), within_m=None, need=None, exclude=None) -> DataFrame:
     """The k nearest candidates of each query point, exactly, without a radius given up front.
 
     queries: q_id, q_lat, q_lon, the `by` keys and any column `exclude` needs.
@@ -86,80 +129,64 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int, *, by=(), within_
     Returns the query columns with c_id, metres (to the millimetre) and rank; ties go to the
     smaller c_id.
 
-    1. Count candidates per cell on nested levels. A query picks the finest level where its
-       own cell holds at least `need` candidates (k, plus those it will exclude).
-    2. The k-th distance inside that one cell bounds the true k-th distance. Few queries can
-       share such a cell without having picked a finer one, so these pairs stay linear in
-       the input even when the points crowd together.
-    3. Search that exact radius through the cells it touches, and rank.
+    The candidates are packed into a tree of boxes (`Packed`); all queries go down it level by level. On each
+    level a query knows how many points its boxes hold and how far each box reaches at most, which
+    bounds the distance of the `need`-th candidate (k, plus those it will exclude); boxes that begin beyond
+    the bound are left out. A query so meets the points of a few leaves, also beside a spot where
+    very many lie together. Levels are as many as the logarithm of the input.
 
-    A query with fewer than `need` candidates under its keys searches all of them. `exclude`
-    is a predicate over both sides' columns; `need` is then an upper bound column. Queries
-    sharing a coordinate should be folded into one by the caller.
+    A query with fewer than `need` candidates under its keys searches all of them. `exclude` is a predicate
+    over both sides' columns; `need` is then an upper bound column. Queries sharing a
+    coordinate should be folded into one by the caller; queries without a position or key find nothing.
     """
-    by = list(by)
-    c = candidates.select("c_id", "c_lat", "c_lon", *by, *[
-        x for x in candidates.columns if x not in ("c_id", "c_lat", "c_lon", *by)])
-    extra = [x for x in c.columns if x not in ("c_id", "c_lat", "c_lon", *by)]
-    need = F.lit(k) if need is None else need
-    finest = max(levels)
-    level_list = F.array(*[F.lit(x) for x in sorted(levels)])
-    shift = lambda v: F.call_function("shiftright", F.col(v), F.lit(finest) - F.col("_lvl"))
-
-    def on_levels(df, lat, lon):
-        fine = _with_cell(df, finest, lat, lon).withColumn("_lvl", F.explode(level_list))
-        return fine.withColumn("_cy", shift("_cy")).withColumn("_cx", shift("_cx"))
-
-    placed = on_levels(c, "c_lat", "c_lon")
-    counts = placed.groupBy(*by, "_lvl", "_cy", "_cx").agg(F.count("*").alias("_n")).where(
-        F.col("_n") >= k)
-
-    asked = queries.withColumn("_need", need.cast("long"))
-    spots = _with_cell(asked, finest, "q_lat", "q_lon").select(
-        *by, "_need", F.col("_cy").alias("_fy"), F.col("_cx").alias("_fx")).distinct()
-    spots_on = spots.withColumn("_lvl", F.explode(level_list)).withColumn(
-        "_cy", F.call_function("shiftright", F.col("_fy"), F.lit(finest) - F.col("_lvl"))
-    ).withColumn("_cx", F.call_function("shiftright", F.col("_fx"),
-                                        F.lit(finest) - F.col("_lvl")))
-    chosen = (spots_on.join(counts, [*by, "_lvl", "_cy", "_cx"])
-              .where(F.col("_n") >= F.col("_need"))
-              .groupBy(*by, "_need", "_fy", "_fx").agg(F.max("_lvl").alias("_own")))
-    located = _with_cell(asked, finest, "q_lat", "q_lon").withColumnsRenamed(
-        {"_cy": "_fy", "_cx": "_fx"}).join(chosen, [*by, "_need", "_fy", "_fx"], "left")
-
-    # bound: the k-th distance inside the query's own cell
-    gap = F.round(geo.haversine(F.col("q_lat"), F.col("q_lon"), F.col("c_lat"), F.col("c_lon")), 3)
-    own = located.where("_own IS NOT NULL").select(
-        *queries.columns, F.col("_own").alias("_lvl"),
-        F.call_function("shiftright", F.col("_fy"), F.lit(finest) - F.col("_own")).alias("_cy"),
-        F.call_function("shiftright", F.col("_fx"), F.lit(finest) - F.col("_own")).alias("_cx"))
-    met = own.join(placed, [*by, "_lvl", "_cy", "_cx"])
-    if exclude is not None:
-        met = met.where(~exclude)
-    met = met.select("q_id", *by, gap.alias("metres"))
-    bound = keep_first(met, ["q_id", *by], ["metres"], k).where(F.col("rank") == k).select(
-        "q_id", *by, F.col("metres").alias("_bound"))
-
-    world = math_half_turn()
-    limit = F.coalesce(F.col("_bound") + 0.01, F.lit(world))
-    if within_m is not None:
-        limit = F.least(limit, F.lit(float(within_m) + 0.01))
-    aimed = queries.join(bound, ["q_id", *by], "left").withColumn("_radius", limit)
-    step = sorted(levels)[1] - sorted(levels)[0]
-    aimed = aimed.withColumn("_lvl", geo.level_of(F.col("_radius"), finest, step))
-    spread = aimed.withColumn("_cell", F.explode(geo.cells_around(
-        F.col("q_lat"), F.col("q_lon"), F.col("_radius"), F.col("_lvl"))))
-    spread = spread.select(*queries.columns, "_radius", "_lvl", F.col("_cell.cy").alias("_cy"),
-                           F.col("_cell.cx").alias("_cx"))
-    pairs = spread.join(placed, [*by, "_lvl", "_cy", "_cx"]).withColumn("metres", gap)
-    pairs = pairs.where(F.col("metres") <= (F.col("_radius") if within_m is None else
-                                            F.least(F.col("_radius"), F.lit(float(within_m)))))
+    pairs = pairs_met(queries, candidates, k, by=by, within_m=within_m, need=need)
     if exclude is not None:
         pairs = pairs.where(~exclude)
-    pairs = pairs.select(*queries.columns, "c_id", *extra, "metres")
-    return keep_first(pairs, ["q_id", *by], ["metres", "c_id"], k)
-
-
-def math_half_turn() -> float:
-    """Half the circumference of the earth in metres: the radius that reaches everything."""
-    return 3.1415926536 * geo.EARTH_M
+    return keep_first(pairs, ["_q"], ["metres", "c_id"], k).drop("_q")
+
+
+def pairs_met(queries, candidates, k, *, by=(), within_m=None, need=None) -> DataFrame:
+    """The pairs `nearest` ranks: every query with the points of the leaves it could not leave out, as far as
+    its bound; _q numbers the queries."""
+    by, c = list(by), F.col
+    tree = Packed(candidates, "c_lat", "c_lon", ["c_id"], by)
+    need = (F.lit(k) if need is None else need).cast("long")
+    asked = queries.dropna(subset=["q_id", "q_lat", "q_lon", *by]).withColumn("_need", need)
+    asked = asked.join(tree.runs, by) if by else asked.withColumns({"_lo": F.lit(0).cast("long"), "_hi": F.lit(tree.size).cast("long")})
+    asked = cut_lineage(asked.withColumn("_q", F.monotonically_increasing_id()))
+    slack = 3e-9    # two centimetres, in radii: more than rounding to millimetres and doubles can shift
+    limit = F.lit(2.0 + slack) if within_m is None else geo.chord_of(F.lit(float(within_m))) + slack
+    held = ["_q", "_need", "_lo", "_hi", "_x", "_y", "_z"]
+    # few bytes, much work: dealt to a stated number of tasks, which adaptive execution doesn't fold into one
+    tasks = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    down = asked.select(*held[:4], *[x.alias(n) for x, n in zip(geo.on_sphere(c("q_lat"), c("q_lon")), held[4:])]).repartition(tasks, "_q").withColumns(
+        {"_bound": limit, "_node": F.lit(0).cast("bigint")})
+    for level in range(len(tree.levels) - 1, -1, -1):
+        kids = tree.levels[level]
+        kids = F.broadcast(kids) if level + 1 == len(tree.levels) else kids     # the root's: one row of FAN boxes
+        size = tree.held(level)
+
+        def seen(kid):
+            first = kid["kid"] * size
+            own = F.least(c("_hi"), first + size) - F.greatest(c("_lo"), first)     # of the query's own run
+            near, far = geo.chords_to_box([c("_x"), c("_y"), c("_z")], [kid[x] for x in ("x0", "y0", "z0")], [kid[x] for x in ("x1", "y1", "z1")])
+            return F.struct(kid["kid"].alias("_node"), own.alias("_own"), near.alias("_from"), (far + slack).alias("_upto"))
+
+        overlaps = lambda kid: (kid["kid"] * size < c("_hi")) & ((kid["kid"] + 1) * size > c("_lo"))
+        met = down.join(kids, "_node").select(*held, "_bound", F.transform(F.filter("kids", overlaps), seen).alias("seen"))
+        # a box with all that is needed bounds the rest before they become rows
+        full = F.array_min(F.transform(F.filter("seen", lambda s: s["_own"] >= c("_need")), lambda s: s["_upto"]))
+        met = met.withColumn("_bound", F.least("_bound", full))
+        met = met.select(*held, "_bound", F.inline(F.filter("seen", lambda s: s["_from"] <= c("_bound"))))
+        of = Window.partitionBy("_q")
+        so_far = F.sum("_own").over(of.orderBy("_upto").rangeBetween(Window.unboundedPreceding, 0))
+        met = met.withColumn("_so_far", so_far).withColumn("_bound", F.least("_bound", F.min(F.when(c("_so_far") >= c("_need"), c("_upto"))).over(of)))
+        down = met.where(c("_from") <= c("_bound")).select(*held, "_bound", "_node")
+    reach = F.asin(F.least(c("_bound") / 2, F.lit(1.0))) * (2 * geo.EARTH_M) + 0.01
+    down = down.select("_q", "_lo", "_hi", "_node", (reach if within_m is None else F.least(reach, F.lit(float(within_m)))).alias("_reach"))
+    whole = asked.drop("_need", "_lo", "_hi")
+    down = down.join(whole, "_q")
+    gap = F.round(geo.haversine(c("q_lat"), c("q_lon"), c("c_lat"), c("c_lon")), 3)
+    pairs = down.join(tree.points.drop(*by), "_node").where((c("rank") >= c("_lo")) & (c("rank") < c("_hi")))
+    pairs = pairs.drop("rank", "_lo", "_hi", "_node").withColumn("metres", gap).where(c("metres") <= c("_reach"))
+    return pairs.select("_q", *queries.columns, "c_id", *[x for x in candidates.columns if x not in ("c_id", "c_lat", "c_lon", *by)], "metres")

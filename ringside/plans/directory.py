@@ -2,6 +2,7 @@
 from pyspark.sql import DataFrame
 
 from ringside.operators import facets, publish
+from ringside.session import cut_lineage
 from ringside.sources import published
 
 
@@ -16,12 +17,12 @@ def build_facets(venues: DataFrame, out: str, url_base: str) -> None:
 
 def build_neighbourhood(venues: DataFrame, out: str) -> None:
     """Nearest venues, cities with what surrounds them, departments, criteria."""
-    ready = publish.publishable(venues)
-    members = facets.city_members(ready)
+    ready = cut_lineage(publish.publishable(venues))
+    members = cut_lineage(facets.city_members(ready))
     towns = facets.cities(members)
     tables = {
         "neighbours": facets.neighbours(ready), "cities": towns,
-        "around_cities": facets.around_cities(towns, ready), "departments": facets.department_index(ready),
+        "around_cities": facets.around_cities(towns, ready, members=members), "departments": facets.department_index(ready),
         "criteria": facets.criterion_counts(ready),
         "criteria_by_department": facets.criterion_links(facets.criterion_by_department(ready))}
     for name, table in tables.items():

@@ -1,4 +1,6 @@
 """Session helpers: sensible defaults for local runs, and the shared checkpoint folder."""
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -30,6 +32,15 @@ def use_checkpoints(spark: SparkSession) -> None:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise a frame in the shared checkpoint folder."""
-    use_checkpoints(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write a frame to the shared checkpoint folder and go on from there.
+
+    A written table is computed once (an eager checkpoint computes it twice) and tells Spark its size, so that
+    small sides are broadcast. It is deleted when the session's JVM ends.
+    """
+    spark = df.sparkSession
+    use_checkpoints(spark)
+    place = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    df.write.parquet(place)
+    return spark.read.schema(df.schema).parquet(place)

@@ -52,6 +52,19 @@ def test_french_order_puts_accents_where_a_dictionary_does(spark):
     assert ids(index(spark).where("d = '44'").orderBy(*search.french_order("v", "n"))) == ["c", "b", "a"]
 
 
+ACCENTED = ["", "abbé", "abbesse", "Abbeville", "côte", "Côte", "coté", "cote", "côté", "Cote", "Évian", "évian", "Evian", "Évry", "Evry 2", "Evry-2", "evry 10", "Île", "ile", "L'Aigle",
+            "Laon", "Œuilly", "Oetre", "of", "pêche", "péché", "pêché", "Zed", "zède", None]
+
+
+def test_french_positions(spark):
+    """Thirty names: base letters, then accents, then small before capital; blanks first; parts of any number alike."""
+    rows = spark.createDataFrame([(f"i{n:02}", name) for n, name in enumerate(ACCENTED)], "id string, ville string")
+    got = [ACCENTED[int(r.id[1:])] or "" for r in search.french_positions(rows, ["ville"]).orderBy("position").collect()]
+    assert got == ["", "", "abbé", "abbesse", "Abbeville", "cote", "Cote", "coté", "côte", "Côte", "côté", "Evian", "évian", "Évian", "Évry", "evry 10", "Evry 2", "Evry-2", "ile", "Île",
+                   "L'Aigle", "Laon", "Oetre", "Œuilly", "of", "péché", "pêche", "pêché", "Zed", "zède"]
+    assert sorted(r.position for r in search.french_positions(rows, ["ville"]).collect()) == list(range(30))
+
+
 def test_answer_holds_page_total_and_next(spark):
     answer = search.search(index(spark), {"limit": "2"}, "https://x", "census", "open").first()
     assert (answer["count"], answer.total, answer.page, answer.next, [r.id for r in answer.results]) == (2, 5, 1, 2, ["c", "b"])

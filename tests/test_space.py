@@ -1,4 +1,5 @@
 """Cell joins, nearest neighbours and groupings against brute force, on crowded fixtures."""
+import collections
 import math
 import hashlib
 import random
@@ -65,6 +66,46 @@ def test_nearest_is_exact(spark, k, within):
     assert got == sorted(want)
 
 
+def test_queries_beside_a_dense_spot_meet_few_points(spark):
+    """5,000 points in 50 m, a thousand queries a few hundred metres away, and one far point that keeps the spot's cell company."""
+    r = random.Random(12)
+    dense = [(47.2 + r.uniform(0, 4.5e-4), -1.55 + r.uniform(0, 6.6e-4)) for _ in range(5000)] + [(47.9, -1.0)]
+    asked = [(47.2 + r.uniform(-3e-3, 3e-3), -1.557 + r.uniform(-3e-3, 3e-3)) for _ in range(1000)]
+    queries, candidates = frame(spark, asked, "q").withColumnRenamed("q", "q_id"), frame(spark, dense, "c").withColumnRenamed("c", "c_id")
+    met = spatial.pairs_met(queries, candidates, 6)
+    most = met.groupBy("q_id").count().agg(F.max("count"), F.min("count")).first()
+    assert most[0] <= 2000 and most[1] >= 6
+    got = {(x.q_id, x["rank"]): x.c_id for x in spatial.nearest(queries, candidates, 6).collect()}
+    for i in range(0, 1000, 50):
+        near = sorted((round(metres(asked[i], p), 3), f"c{j:04}") for j, p in enumerate(dense))[:6]
+        assert [got[f"q{i:04}", k] for k in range(1, 7)] == [ident for _, ident in near]
+
+
+def test_the_tree_has_levels_and_every_key_its_run(spark, monkeypatch):
+    monkeypatch.setattr(spatial.Packed, "FAN", 16)
+    r = random.Random(13)
+    points = [(f"p{i}", "abc"[i % 3], r.uniform(-90, 90), r.uniform(-180, 180)) for i in range(9000)]
+    tree = spatial.Packed(spark.createDataFrame(points, "p string, dep string, lat double, lon double"), "lat", "lon", ["p"], ["dep"])
+    assert len(tree.levels) == 3 and tree.size == 9000
+    assert {x.dep: x["_hi"] - x["_lo"] for x in tree.runs.collect()} == {"a": 3000, "b": 3000, "c": 3000}
+    assert tree.points.groupBy("_node").count().where(f"count > {tree.LEAF}").isEmpty()
+
+
+def test_nearest_under_keys_around_the_globe(spark):
+    r = random.Random(14)
+    spots = lambda n: [("ab"[r.randrange(2)], r.choice([90.0, -90.0, 0.0, r.uniform(-90, 90)]), r.choice([180.0, -180.0, 0.0, r.uniform(-180, 180)])) for _ in range(n)]
+    q, cands = spots(60), spots(300)
+    queries = spark.createDataFrame([(f"q{i:04}", *map(lambda x: x, s)) for i, s in enumerate(q)] + [("none", None, 1.0, 1.0), ("lost", "a", None, 1.0), ("other", "z", 1.0, 1.0)], "q_id string, dep string, q_lat double, q_lon double")
+    candidates = spark.createDataFrame([(f"c{i:04}", *s) for i, s in enumerate(cands)], "c_id string, dep string, c_lat double, c_lon double")
+    got = collections.defaultdict(list)
+    for x in spatial.nearest(queries, candidates, 5, by=["dep"]).collect():
+        got[x.q_id].append((x["rank"], x.metres, x.c_id))
+    for i, (dep, y, x) in enumerate(q):
+        near = sorted((round(metres((y, x), c_[1:]), 2)) for c_ in cands if c_[0] == dep)[:5]
+        assert [round(m, 2) for _, m, _ in sorted(got[f"q{i:04}"])] == pytest.approx(near, abs=0.02)
+    assert len(got) == len(q)
+
+
 def test_fewer_candidates_than_asked(spark):
     q, cands = frame(spark, [(10.0, 10.0), (-60.0, 100.0)], "q"), frame(spark, [(0.0, 0.0), (50.0, -170.0)], "c")
     found = spatial.nearest(q.withColumnRenamed("q", "q_id"), cands.withColumnRenamed("c", "c_id"), 3)
