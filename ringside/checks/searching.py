@@ -196,3 +196,51 @@ def _(t):
 def _(t):
     ordered = t.sites_raw.where("lat IS NOT NULL").orderBy(*facets.list_key(), "id")
     return search.result_box(ordered).select(*[F.round(x, 7).alias(x) for x in ("south", "west", "north", "east")])
+
+
+# ---------------------------------------------------------------------------- parameters
+# requests made of events: each parameter is there for some of them, with good and bad values
+PARAMS = {
+    "free_access": "CASE event_id % 9 WHEN 0 THEN 'false' WHEN 1 THEN 'maybe' WHEN 2 THEN 'Unknown' WHEN 3 THEN 'YES' END",
+    "lat": "CASE user_id % 11 WHEN 0 THEN 'x' WHEN 1 THEN '91' WHEN 2 THEN ' 47.5 ' WHEN 3 THEN '-12.25' WHEN 4 THEN '1e1' END",
+    "lon": "CASE WHEN user_id % 11 < 5 AND event_id % 13 <> 0 OR event_id % 17 = 0 THEN CASE event_id % 5 WHEN 0 THEN '181' WHEN 1 THEN '' ELSE '-1.5' END END",
+    "radius": "CASE event_id % 8 WHEN 0 THEN '0' WHEN 1 THEN '101' WHEN 2 THEN 'far' WHEN 3 THEN '2.5' WHEN 4 THEN '100' END",
+    "track_length": "CASE event_id % 10 WHEN 0 THEN '4-' WHEN 1 THEN '300-400' WHEN 2 THEN '250' WHEN 3 THEN 'abc' END",
+    "lanes_min": "CASE event_id % 12 WHEN 0 THEN '2.5' WHEN 1 THEN '0' WHEN 2 THEN '6' WHEN 3 THEN '8.0' END",
+    "surface": "CASE event_id % 14 WHEN 0 THEN 'moon' WHEN 1 THEN 'Grass' WHEN 2 THEN 'bitume' END",
+    "has_reviews": "CASE event_id % 15 WHEN 0 THEN 'some' WHEN 1 THEN 'no' WHEN 2 THEN '1' END",
+    "certainty": "CASE event_id % 16 WHEN 0 THEN 'sure' WHEN 1 THEN 'any' WHEN 2 THEN '' END",
+    "shot_put": "CASE event_id % 18 WHEN 0 THEN 'false' WHEN 1 THEN 'true' END",
+    "limit": "CASE event_id % 19 WHEN 0 THEN '0' WHEN 1 THEN '9999' WHEN 2 THEN '20' END",
+    "page": "CASE event_id % 21 WHEN 0 THEN '-1' WHEN 1 THEN '3' END"}
+REQUESTS = "SELECT event_id, " + ", ".join(f"{sql} AS {k}" for k, sql in PARAMS.items()) + " FROM {events}"
+NUM_OF = lambda k: f"(CASE WHEN trim({k}) = '' THEN 0 ELSE TRY_CAST(trim({k}) AS DOUBLE) END)"
+WHOLE_OF = lambda k: f"({k} IS NOT NULL AND NOT coalesce({NUM_OF(k)} >= 1 AND {NUM_OF(k)} = floor({NUM_OF(k)}), false))"
+GIVEN = lambda k: f"lower(coalesce({k}, ''))"
+REFUSED = f"""CASE WHEN {GIVEN('free_access')} IN ('false', '0', 'no') THEN 'free_access' WHEN {GIVEN('free_access')} NOT IN ('', 'true', '1', 'yes', 'unknown') THEN 'free_access'
+   WHEN (lat IS NULL) <> (lon IS NULL) THEN CASE WHEN lat IS NULL THEN 'lat' ELSE 'lon' END
+   WHEN lat IS NOT NULL AND NOT coalesce(abs({NUM_OF('lat')}) <= 90 AND abs({NUM_OF('lon')}) <= 180, false) THEN 'lat/lon'
+   WHEN lat IS NOT NULL AND radius IS NOT NULL AND NOT coalesce({NUM_OF('radius')} > 0 AND {NUM_OF('radius')} <= 100, false) THEN 'radius'
+   WHEN track_length <> '' AND NOT regexp_full_match(track_length, '[0-9]+(-[0-9]+)?') THEN 'track_length' WHEN {WHOLE_OF('lanes_min')} THEN 'lanes_min'
+   WHEN surface IS NOT NULL AND {GIVEN('surface')} NOT IN ('grass', 'bitume') THEN 'surface' WHEN has_reviews IS NOT NULL AND {GIVEN('has_reviews')} NOT IN ('true', '1', 'yes', 'false', '0', 'no') THEN 'has_reviews'
+   WHEN {GIVEN('certainty')} NOT IN ('', 'declared', 'probable', 'any') THEN 'certainty' WHEN {GIVEN('shot_put')} NOT IN ('', 'true', '1', 'yes') THEN 'shot_put'
+   WHEN {WHOLE_OF('limit_')} THEN 'limit' WHEN {WHOLE_OF('page')} THEN 'page' END""".replace("limit_", '"limit"')
+
+
+@check("f15_parameter_checks", f"""SELECT event_id, parameter, CASE WHEN parameter = 'radius' AND {NUM_OF('radius')} > 100 THEN 413 WHEN parameter IS NOT NULL THEN 400 END AS status,
+     CASE WHEN parameter IS NULL AND lat IS NOT NULL THEN {NUM_OF('lat')} END AS lat, CASE WHEN parameter IS NULL AND lat IS NOT NULL THEN {NUM_OF('lon')} END AS lon,
+     CASE WHEN parameter IS NULL THEN CASE WHEN lat IS NOT NULL AND radius IS NOT NULL THEN {NUM_OF('radius')} ELSE 10 END END AS radius,
+     CASE WHEN parameter IS NULL THEN CAST(string_split(track_length, '-')[1] AS INTEGER) END AS low, CASE WHEN parameter IS NULL THEN CAST(string_split(track_length, '-')[-1] AS INTEGER) END AS high,
+     CASE WHEN parameter IS NULL THEN CAST({NUM_OF('lanes_min')} AS BIGINT) END AS lanes_min, CASE WHEN parameter IS NULL THEN CASE lower(surface) WHEN 'grass' THEN 'gazon' ELSE lower(surface) END END AS surface,
+     CASE WHEN parameter IS NULL THEN has_reviews = '1' END AS has_reviews, CASE WHEN parameter IS NULL THEN coalesce(nullif(lower(certainty), ''), 'declared') END AS certainty,
+     CASE WHEN parameter IS NULL AND free_access IS NOT NULL THEN CASE WHEN lower(free_access) = 'unknown' THEN 'unknown' ELSE 'true' END END AS free_access,
+     CASE WHEN parameter IS NULL THEN CASE WHEN shot_put IS NULL THEN '' ELSE 'poids' END END AS disciplines,
+     CASE WHEN parameter IS NULL THEN CAST(least(coalesce({NUM_OF('"limit"')}, 50), 500) AS INTEGER) END AS "limit", CASE WHEN parameter IS NULL THEN CAST(coalesce({NUM_OF('page')}, 1) AS BIGINT) END AS page
+   FROM (SELECT *, {REFUSED} AS parameter FROM ({REQUESTS.replace('{events}', 'events').replace('AS limit', 'AS "limit"')}))""")
+def _(t):
+    rows = t.derive(REQUESTS)
+    entries = F.filter(F.array(*[F.struct(F.lit(k).alias("key"), c(k).alias("value")) for k in PARAMS]), lambda e: e["value"].isNotNull())
+    found = search.checked(rows.select("event_id", F.map_from_entries(entries).alias("params")))
+    q = lambda k: c(f"query.{k}").alias(k)
+    return found.select("event_id", "refusal.parameter", "refusal.status", *[q(k) for k in ("lat", "lon", "radius")], "query.length.low", "query.length.high",
+                        *[q(k) for k in ("lanes_min", "surface", "has_reviews", "certainty", "free_access")], F.array_join("query.disciplines", ",").alias("disciplines"), q("limit"), q("page"))

@@ -144,6 +144,60 @@ def parse_query(params: dict) -> VenueQuery:
     return VenueQuery(**out, echo=echo)
 
 
+def checked(requests: DataFrame, params="params") -> DataFrame:
+    """`requests` with what `parse_query` makes of each map of parameters, as columns: `refusal` (parameter, hint,
+    status) of the first rule that a request breaks, or null; `query` (its understood fields) where nothing is refused.
+    """
+    raw = lambda k: F.try_element_at(c(params), F.lit(k))
+    has = lambda k: F.coalesce(F.map_contains_key(c(params), k), F.lit(False))
+    given = lambda k: F.lower(F.coalesce(raw(k), F.lit("")))
+    refuse = lambda when, name, hint, status=400: F.when(when, F.struct(
+        (name if isinstance(name, Column) else F.lit(name)).alias("parameter"), F.lit(hint).alias("hint"), F.lit(status).alias("status")))
+
+    def number(k):
+        typed = F.trim(F.coalesce(raw(k), F.lit("")))
+        plain = typed.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$")
+        value = F.when(typed == "", 0.0).when(plain, typed.try_cast("double"))
+        return F.when(F.abs(value) != float("inf"), value)
+
+    def whole(k):
+        value = number(k)
+        return F.when((value == F.floor(value)) & (value >= 1), value.try_cast("long"))
+
+    lat, lon, radius = number("lat"), number("lon"), number("radius")
+    span = F.coalesce(F.nullif(raw("track_length"), F.lit("")), F.nullif(raw("length"), F.lit("")))
+    ends = lambda group: F.regexp_extract(span, "^([0-9]+)(?:-([0-9]+))?$", group)
+    code_of = F.create_map(*[F.lit(x) for pair in [*((e, k) for k, e in vocab.SURFACE_ENGLISH.items()), *((k, k) for k in vocab.SURFACES)] for x in pair])
+    surface = F.try_element_at(code_of, given("surface"))
+    certainty = F.coalesce(F.nullif(given("certainty"), F.lit("")), F.lit("declared"))
+    asked = [(k, given(k)) for k in vocab.DISCIPLINE_OF_PARAM]
+    rules = [
+        refuse(given("free_access").isin(*FALSE), "free_access", "use true, or unknown for the venues that say nothing"),
+        refuse(~given("free_access").isin("", "unknown", *TRUE), "free_access", "true | unknown"),
+        refuse(has("lat") != has("lon"), F.when(has("lat"), "lon").otherwise("lat"), "give both or none"),
+        refuse(has("lat") & (lat.isNull() | lon.isNull() | (F.abs(lat) > 90) | (F.abs(lon) > 180)), "lat/lon", "WGS84 degrees"),
+        refuse(has("lat") & has("radius") & (radius.isNull() | (radius <= 0)), "radius", "kilometres"),
+        refuse(has("lat") & has("radius") & (radius > MAX_RADIUS_KM), "radius", "filter the index yourself", 413),
+        refuse(span.isNotNull() & (ends(1) == ""), "track_length", "400 or 300-400"),
+        refuse(has("lanes_min") & whole("lanes_min").isNull(), "lanes_min", "positive integer"),
+        refuse(has("surface") & surface.isNull(), "surface", " | ".join(vocab.SURFACE_ENGLISH.values())),
+        refuse(has("has_reviews") & ~given("has_reviews").isin(*TRUE, *FALSE), "has_reviews", "true | false"),
+        refuse(~certainty.isin("declared", "probable", "any"), "certainty", "declared | probable | any"),
+        *[refuse(~value.isin("", *TRUE), k, f"{k}=true") for k, value in asked],
+        refuse(has("limit") & whole("limit").isNull(), "limit", f"1 to {MAX_LIMIT}"),
+        refuse(has("page") & whole("page").isNull(), "page", "from 1")]
+    optional = lambda k, value: F.when(has(k), value).alias(k)
+    query = F.struct(
+        F.when(given("free_access") != "", F.when(given("free_access") == "unknown", "unknown").otherwise("true")).alias("free_access"),
+        optional("lat", lat), optional("lon", lon), F.when(has("lat") & has("radius"), radius).otherwise(DEFAULT_RADIUS_KM).alias("radius"),
+        F.when(ends(1) != "", F.struct(ends(1).try_cast("int").alias("low"), F.coalesce(F.nullif(ends(2), F.lit("")), ends(1)).try_cast("int").alias("high"))).alias("length"),
+        optional("lanes_min", whole("lanes_min")), optional("surface", surface), optional("has_reviews", given("has_reviews").isin(*TRUE)),
+        certainty.alias("certainty"), F.array_compact(F.array(*[F.when(value != "", vocab.DISCIPLINE_OF_PARAM[k]) for k, value in asked])).alias("disciplines"),
+        F.when(text.slug(raw("city")) != "", raw("city")).alias("city"), F.nullif(raw("department"), F.lit("")).alias("department"),
+        F.least(F.coalesce(whole("limit"), F.lit(DEFAULT_LIMIT)), F.lit(MAX_LIMIT)).cast("int").alias("limit"), F.coalesce(whole("page"), F.lit(1)).cast("long").alias("page"))
+    return requests.withColumn("refusal", F.coalesce(*rules)).withColumn("query", F.when(c("refusal").isNull(), query))
+
+
 # -------------------------------------------------------------------- filters of the index
 def all_of(conditions) -> Column:
     return reduce(operator.and_, conditions, F.lit(True))

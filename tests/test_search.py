@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 
@@ -39,6 +40,33 @@ def test_what_was_understood():
     assert q.echo == {"free_access": True, "lat": 47.0, "lon": -1.5, "radius": 10.0, "track_length": "300-400", "surface": "gazon", "pole_vault": True, "certainty": "any"}
 
 
+def test_checked_requests_equal_the_parser(spark):
+    """Every rule on a table of requests says what the parser of one request says."""
+    values = {"free_access": ["false", "maybe", "unknown", "TRUE", ""], "lat": ["47", "x", "91", "", " 3.5 ", "nan", "inf"], "lon": ["1", "-181", "1e1", "y"],
+              "radius": ["0", "5", "100", "101", "wide"], "track_length": ["400", "4-", "300-400", ""], "length": ["250", "x"], "lanes_min": ["2", "2.5", "0", "a", "4.0"],
+              "surface": ["Grass", "gazon", "moon"], "has_reviews": ["yes", "0", "some"], "certainty": ["any", "sure", ""], "shot_put": ["true", "false", "1"], "pole_vault": ["yes", "maybe"],
+              "city": ["Lyon", "---"], "department": ["69", ""], "limit": ["10", "0", "9999", "x"], "page": ["2", "-1"]}
+    pick, asked = random.Random(3), []
+    for i in range(700):
+        asked.append({k: pick.choice(v) for k, v in values.items() if pick.random() < (0.12 if i % 2 else 0.3)})
+    found = search.checked(spark.createDataFrame([(i, p) for i, p in enumerate(asked)], "i int, params map<string,string>")).orderBy("i").collect()
+    refused = 0
+    for row, params in zip(found, asked):
+        try:
+            q = search.parse_query(params)
+        except search.BadParameter as e:
+            refused += 1
+            assert (row.refusal.parameter, row.refusal.hint, row.refusal.status, row.query) == (e.parameter, e.hint, e.status, None), params
+            continue
+        assert row.refusal is None, params
+        got = row.query
+        access = {None: None, "true": True, "unknown": "unknown"}[got.free_access]
+        assert (access, got.lat, got.lon, got.radius, got.length and tuple(got.length), got.lanes_min, got.surface, got.has_reviews, got.certainty, tuple(got.disciplines),
+                got.city, got.department, got.limit, got.page) == (q.free_access, q.lat, q.lon, q.radius, q.length, q.lanes_min, q.surface, q.has_reviews, q.certainty, q.disciplines,
+                                                                   q.city, q.department, q.limit, q.page), params
+    assert 100 < refused < 600
+
+
 @pytest.mark.parametrize("params,want", [
     ({}, "abcde"), ({"department": "69"}, "de"), ({"city": "Lyon"}, "d"), ({"free_access": "true"}, "a"), ({"free_access": "unknown"}, "bcde"),
     ({"track_length": "250"}, "b"), ({"lanes_min": "1"}, "a"), ({"has_reviews": "true"}, "b"), ({"has_reviews": "0"}, "acde"),
