@@ -1,10 +1,13 @@
 """Facets, cells, criteria, cities, departments, pages."""
 from pyspark.sql import functions as F
 
-from ringside.checks.publishing import _listed_photos
+from ringside import vocab
+from ringside.checks.publishing import BASE_URL, PHOTO_SQL, _listed_photos
 from ringside.checks.registry import check
 from ringside.checks.tables import slug_sql
-from ringside.operators import facets, spatial
+from ringside.operators import facets, publish, spatial
+from ringside.session import new_folder
+from ringside.sources import published
 
 c = F.col
 LISTS = "(SELECT facet, value, dep, i FROM members UNION ALL SELECT facet, value, NULL, i FROM members WHERE facet NOT IN ('department', 'city'))"
@@ -118,11 +121,18 @@ def _(t):
     return facets.list_headings(t.ready)
 
 
+PARAM_SQL = "CASE criterion " + " ".join(f"WHEN '{code}' THEN '{param.replace('_', '-')}'" for param, code in vocab.DISCIPLINE_OF_PARAM.items()) + " END"
+SURFACE_SQL = "CASE criterion " + " ".join(f"WHEN '{code}' THEN '{name}'" for code, name in vocab.SURFACE_ENGLISH.items()) + " END"
+CRITERION_KEY = f"""CASE kind WHEN 'length' THEN criterion || 'm' WHEN 'lanes' THEN criterion || CASE lang WHEN 'fr' THEN '-couloirs' ELSE '-lanes' END
+   WHEN 'free-access' THEN CASE lang WHEN 'fr' THEN 'acces-libre' ELSE 'free-access' END WHEN 'discipline' THEN CASE lang WHEN 'fr' THEN criterion ELSE {PARAM_SQL} END
+   ELSE CASE lang WHEN 'fr' THEN criterion ELSE {SURFACE_SQL} END END"""
+LANGS = "(VALUES ('fr'), ('en')) l(lang)"
 URLS = f"""SELECT * FROM (SELECT 'home' AS kind, '' AS key, '1.0' AS priority, 0 AS images UNION ALL SELECT 'departments', '', '0.8', 0 UNION ALL SELECT 'contributors', '', '0.7', 0
-   UNION ALL SELECT 'department', dep, '0.7', 0 FROM {DEP_INDEX} UNION ALL SELECT 'criterion', kind || '/' || criterion, '0.6', 0 FROM kept_criteria
-   UNION ALL SELECT 'criterion-department', kind || '/' || criterion || '/' || slug, '0.5', 0 FROM ({PER_DEP}) p JOIN
-     (SELECT dep, CASE WHEN row_number() OVER (PARTITION BY s ORDER BY dep) > 1 THEN s || '-' || dep ELSE s END AS slug FROM (SELECT *, coalesce(nullif({slug_sql('dep_nom')}, ''), dep) AS s FROM {DEP_INDEX})) d ON d.dep = p.dep WHERE n >= 3
-   UNION ALL SELECT 'city', city, '0.6', 0 FROM city_table UNION ALL SELECT 'venue', id, '0.6', coalesce(n_photos, 0) FROM ready), (VALUES ('fr'), ('en')) l(lang)"""
+   UNION ALL SELECT 'department', dep, '0.7', 0 FROM {DEP_INDEX}
+   UNION ALL SELECT 'city', city, '0.6', 0 FROM city_table UNION ALL SELECT 'venue', id, '0.6', coalesce(n_photos, 0) FROM ready), {LANGS}
+   UNION ALL SELECT 'criterion', {CRITERION_KEY}, '0.6', 0, lang FROM kept_criteria, {LANGS}
+   UNION ALL SELECT 'criterion-department', {CRITERION_KEY} || '/' || slug, '0.5', 0, lang FROM ({PER_DEP}) p JOIN
+     (SELECT dep, CASE WHEN row_number() OVER (PARTITION BY s ORDER BY dep) > 1 THEN s || '-' || dep ELSE s END AS slug FROM (SELECT *, coalesce(nullif({slug_sql('dep_nom')}, ''), dep) AS s FROM {DEP_INDEX})) d ON d.dep = p.dep, {LANGS} WHERE n >= 3"""
 
 
 @check("k8_url_inventory", URLS, ["kept_criteria", "city_table"])
@@ -135,3 +145,22 @@ def _(t):
 def _(t):
     venues, _files = _listed_photos(t)
     return facets.url_inventory(t.ready, venues.select("id", F.explode("photos"))).groupBy("lang", "kind").agg(F.count("*").alias("pages"))
+
+
+UNNAMED = {lang: name.replace("'", "''") for lang, name in publish.UNNAMED.items()}
+
+
+@check("k8_image_entries", f"""SELECT lang, id, '{BASE_URL}/' || f AS loc, name AS title, CASE WHEN l IS NOT NULL THEN l || ' — ' || place ELSE place END AS caption FROM (
+   SELECT lang, p.id, f, l, name, concat_ws(', ', name, nullif(ville, '')) AS place FROM ({PHOTO_SQL}) p
+   JOIN (SELECT *, coalesce(nullif(nom, ''), CASE lang WHEN 'fr' THEN '{UNNAMED["fr"]}' ELSE '{UNNAMED["en"]}' END) AS name FROM ready, {LANGS}) v ON v.id = p.id)""", ["ready"])
+def _(t):
+    return facets.image_entries(t.ready, publish.photo_entries(*_listed_photos(t)), BASE_URL)
+
+
+@check("s10_file_manifest", "SELECT CAST(page_id AS VARCHAR) AS id, 'txt' AS kind, CAST(strlen(coalesce(html, '')) + 1 AS BIGINT) AS length FROM pages")
+def _(t):
+    """Pages written as files and listed again: the manifest reads names and sizes, never contents."""
+    root = new_folder(t.spark, "files")
+    published.write_texts(t.pages.select(c("page_id").alias("id"), c("html").alias("text")), root)
+    files = published.photo_manifest(t.spark, root)
+    return files.select(F.regexp_replace("id", "^id=", "").alias("id"), F.regexp_extract("file", "[.]([a-z]+)$", 1).alias("kind"), "length")

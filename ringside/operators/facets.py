@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ringside import vocab
 from ringside.functions import geo, text
-from ringside.operators import ranking, spatial
+from ringside.operators import publish, ranking, spatial
 from ringside.operators.publish import MISSING_DEP
 from ringside.session import cut_lineage
 
@@ -270,10 +270,24 @@ def list_headings(venues: DataFrame, keys=("dep",)) -> DataFrame:
     return seen.where(~same).select(*keys, written.alias("heading"), "id")
 
 
+def criterion_slug(lang="fr") -> Column:
+    """Address of a criterion's page in a language, from (kind, criterion). Addresses are public and fixed."""
+    english = {code: param.replace("_", "-") for param, code in vocab.DISCIPLINE_OF_PARAM.items()}
+    if lang == "fr":
+        named = F.when(c("kind") == "free-access", "acces-libre").otherwise(c("criterion"))
+    else:
+        named = (F.when(c("kind") == "discipline", text.label_of(c("criterion"), english))
+                 .when(c("kind") == "surface", text.label_of(c("criterion"), vocab.SURFACE_ENGLISH)).otherwise(c("criterion")))
+    return (F.when(c("kind") == "length", F.concat("criterion", F.lit("m")))
+            .when(c("kind") == "lanes", F.concat("criterion", F.lit("-couloirs" if lang == "fr" else "-lanes"))).otherwise(named))
+
+
 def url_inventory(venues: DataFrame, photos: DataFrame, langs=("fr", "en")) -> DataFrame:
-    """(kind, lang, key, priority, images) of every page of the site."""
+    """(kind, lang, key, priority, images) of every page of the site. Keys of criteria differ by language; the
+    images of a venue's page, here only counted, are rows of `image_entries`."""
     pages = lambda df, kind, key, priority, images=F.lit(0).cast("long"): df.select(
-        F.lit(kind).alias("kind"), key.alias("key"), F.lit(priority).alias("priority"), images.alias("images"))
+        F.lit(kind).alias("kind"), F.array(*[F.struct(F.lit(x).alias("lang"), (key(x) if callable(key) else key).alias("key")) for x in langs]).alias("each"),
+        F.lit(priority).alias("priority"), images.alias("images"))
     some = venues.sparkSession.range(1)
     deps = department_slugs(department_index(venues))
     per_dep = criterion_by_department(venues)
@@ -285,9 +299,18 @@ def url_inventory(venues: DataFrame, photos: DataFrame, langs=("fr", "en")) -> D
              .unionByName(pages(some, "departments", F.lit(""), "0.8"))
              .unionByName(pages(some, "contributors", F.lit(""), "0.7"))
              .unionByName(pages(deps, "department", c("dep"), "0.7"))
-             .unionByName(pages(crits, "criterion", F.concat_ws("/", "kind", "criterion"), "0.6"))
-             .unionByName(pages(both, "criterion-department",
-                                F.concat_ws("/", "kind", "criterion", "slug"), "0.5"))
+             .unionByName(pages(crits, "criterion", criterion_slug, "0.6"))
+             .unionByName(pages(both, "criterion-department", lambda x: F.concat_ws("/", criterion_slug(x), "slug"), "0.5"))
              .unionByName(pages(cities(city_members(venues)), "city", c("city"), "0.6"))
              .unionByName(pages(sites, "venue", c("id"), "0.6", F.coalesce("images", F.lit(0).cast("long")))))
-    return every.withColumn("lang", F.explode(F.array(*[F.lit(x) for x in langs])))
+    return every.select("kind", F.inline("each"), "priority", "images")
+
+
+def image_entries(venues: DataFrame, photos: DataFrame, url_base: str, langs=("fr", "en")) -> DataFrame:
+    """(lang, id, loc, title, caption): the images that the page of a venue declares, in each language.
+
+    photos: id, f (path), l (legend), as `publish.photo_entries` gives them. One row an image, however many a venue has.
+    """
+    shown = photos.select("id", "f", "l").join(venues.select("id", "nom", "ville"), "id")
+    each = F.array(*[F.struct(F.lit(x).alias("lang"), publish.name_of(x).alias("title"), publish.photo_alt(F.coalesce("l", F.lit("")), x).alias("caption")) for x in langs])
+    return shown.select("id", F.concat(F.lit(url_base), F.lit("/"), c("f")).alias("loc"), F.inline(each))

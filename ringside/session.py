@@ -31,16 +31,21 @@ def use_checkpoints(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
 
 
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A new place in the shared checkpoint folder, deleted when the session's JVM ends."""
+    use_checkpoints(spark)
+    place = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return place
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write a frame to the shared checkpoint folder and go on from there.
 
     A written table is computed once (an eager checkpoint computes it twice) and tells Spark its size, so that
-    small sides are broadcast. It is deleted when the session's JVM ends.
+    small sides are broadcast.
     """
-    spark = df.sparkSession
-    use_checkpoints(spark)
-    place = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/table-{uuid.uuid4().hex}"
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    place = new_folder(df.sparkSession, "table")
     df.write.parquet(place)
-    return spark.read.schema(df.schema).parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
