@@ -3,9 +3,9 @@ from pyspark.sql import functions as F
 
 from ringside.checks.auditing import place_elements, pitches
 from ringside.checks.building import CENSUS_ROWS, PARTS
-from ringside.checks.placing import ADDRESSES, FACILITIES, PATCHES
+from ringside.checks.placing import ADDRESSES, AUDIT, CLAIM_NEEDS, FACILITIES, MISSING, PATCHES, plain
 from ringside.checks.registry import check
-from ringside.checks.tables import EQUIPMENT_ORDER
+from ringside.checks.tables import CTES, EQUIPMENT_ORDER, metres_sql
 from ringside.checks.validating import CASES, EXPECTED, KEY, records as broken_records
 from ringside.operators import facets, overlay, publish, rollup
 from ringside.plans import coverage
@@ -69,11 +69,24 @@ def _(t):
     return coverage.estimate_laps(venues, t.elements, t.sites_raw.select("id", "note"))[2]
 
 
-@check("e7_coverage_audit")
+AT = metres_sql
+WHOLE_OBJECTS = f"({CTES['objects']})"
+NEAREST_ADDRESS = lambda rows, key: f"""(SELECT p.{key}, a.city, a.street, a.postcode FROM {rows} p, ({plain(ADDRESSES)}) a
+   QUALIFY row_number() OVER (PARTITION BY p.{key} ORDER BY round({AT('p.lat', 'p.lon', 'a_lat', 'a_lon')}, 3), a_id) = 1)"""
+# groups, claims and context of the missing tracks in one text
+E7 = f"""SELECT m.* EXCLUDE (trace_id), v.nom AS near_name, v.ville AS near_city, 'https://www.openstreetmap.org/' || m.osm AS url, f.place, s.school, a.city, a.street, a.postcode
+   FROM missing_rows m LEFT JOIN sites_raw v ON v.id = m.near_id
+   LEFT JOIN (SELECT trace_id, f.name AS place FROM missing_rows p JOIN ({FACILITIES.replace('{objects}', WHOLE_OBJECTS)}) f ON {AT('p.lat', 'p.lon', 'f_lat', 'f_lon')} <= 200
+      QUALIFY row_number() OVER (PARTITION BY trace_id ORDER BY f.rank, {AT('p.lat', 'p.lon', 'f_lat', 'f_lon')}, f.name) = 1) f ON f.trace_id = m.trace_id
+   LEFT JOIN (SELECT trace_id, arg_min(q.name, CAST(q.s AS VARCHAR)) AS school FROM missing_rows p JOIN supplier_points q ON lat >= s_lat AND lat < s_lat + 2e-2 AND lon >= s_lon AND lon < s_lon + 3e-2 GROUP BY trace_id) s ON s.trace_id = m.trace_id
+   LEFT JOIN {NEAREST_ADDRESS('missing_rows', 'trace_id')} a ON a.trace_id = m.trace_id"""
+
+
+@check("e7_coverage_audit", E7, [*CLAIM_NEEDS, "supplier_points", "missing_rows"], **AUDIT, missing_rows=MISSING)
 def _(t):
     box = "array(named_struct('lat', s_lat, 'lon', s_lon), named_struct('lat', s_lat, 'lon', s_lon + 3e-2), named_struct('lat', s_lat + 2e-2, 'lon', s_lon + 3e-2), named_struct('lat', s_lat + 2e-2, 'lon', s_lon), named_struct('lat', s_lat, 'lon', s_lon))"
     schools = t.supplier_points.select(c("s").cast("string").alias("school_id"), c("name").alias("school"), F.expr(box).alias("ring"))
-    out = coverage.audit_coverage(t.sites_raw.select("id", "nom", "ville", "dep", "lat", "lon"), t.elements, t.derive(FACILITIES), schools, t.derive(ADDRESSES))
+    out = coverage.audit_coverage(t.sites_raw.select("id", "nom", "ville", "dep", "lat", "lon"), t.twin_elements, t.derive(FACILITIES), schools, t.derive(ADDRESSES))
     return out["missing"].drop("trace_id")
 
 

@@ -2,9 +2,11 @@
 from pyspark.sql import functions as F
 
 from ringside.checks.registry import check
-from ringside.checks.tables import metres_sql
+from ringside.checks.auditing import G1_ROWS, greedy_sql
+from ringside.checks.tables import TWIN_TABLES, metres_sql
 from ringside.functions import geo
 from ringside.operators import audit, facets, spatial
+from ringside.plans import coverage
 from ringside.session import cut_lineage
 from ringside.sources import mapped
 
@@ -93,46 +95,58 @@ TRACES = "SELECT k, concat(osm, '#', CASE WHEN role = 'outer' OR role = 'inner'
 INSIDE = """SELECT t.trace_id, min(v.id) AS venue_id FROM traces t JOIN sites_raw v ON v.dep = t.dep AND t.loop AND v.lat BETWEEN t.lat - 0.01 AND t.lat + 0.01
    AND (SELECT count(*) % 2 = 1 FROM (SELECT lat AS y1, lon AS x1, lead(lat) OVER (ORDER BY i) AS y2, lead(lon) OVER (ORDER BY i) AS x2 FROM vertices w WHERE w.k = t.k AND w.role = t.role)
         WHERE y2 IS NOT NULL AND (y1 > v.lat) <> (y2 > v.lat) AND v.lon < x1 + (v.lat - y1) * (x2 - x1) / (y2 - y1)) GROUP BY t.trace_id"""
-CLAIMS = f"""SELECT t.trace_id AS leader, t.dep, coalesce(i.venue_id, n.venue_id) AS venue_id, CASE WHEN i.venue_id IS NOT NULL THEN {M('t.lat', 't.lon', 'v.lat', 'v.lon')} ELSE n.metres END AS metres,
-     i.venue_id IS NOT NULL OR coalesce(n.metres <= 150, false) AS certain
-   FROM traces t LEFT JOIN inside i ON i.trace_id = t.trace_id LEFT JOIN sites_raw v ON v.id = i.venue_id
+# a venue inside any loop of a group is certain (that of the shortest such loop), else the nearest venue to its leader claims it
+CLAIMS = f"""SELECT h.trace_id AS leader, h.dep, coalesce(s.venue_id, n.venue_id) AS venue_id, coalesce(s.metres, n.metres) AS metres, s.venue_id IS NOT NULL OR coalesce(n.metres <= 150, false) AS certain
+   FROM traces h JOIN grouped g ON g.trace_id = h.trace_id AND g.leader = h.trace_id
+   LEFT JOIN (SELECT g.leader, arg_min(i.venue_id, ROW(t.m, t.trace_id)) AS venue_id, arg_min({M('t.lat', 't.lon', 'v.lat', 'v.lon')}, ROW(t.m, t.trace_id)) AS metres
+      FROM grouped g JOIN traces t ON t.trace_id = g.trace_id JOIN inside i ON i.trace_id = t.trace_id JOIN sites_raw v ON v.id = i.venue_id GROUP BY g.leader) s ON s.leader = h.trace_id
    LEFT JOIN (SELECT t.trace_id, s.id AS venue_id, round({M('t.lat', 't.lon', 's.lat', 's.lon')}, 3) AS metres FROM traces t JOIN sites_raw s ON s.dep = t.dep AND s.lat IS NOT NULL
-      QUALIFY row_number() OVER (PARTITION BY t.trace_id ORDER BY round({M('t.lat', 't.lon', 's.lat', 's.lon')}, 3), s.id) = 1) n ON n.trace_id = t.trace_id"""
-AUDIT = dict(traces=TRACES, inside=INSIDE, claimed=CLAIMS)
-CLAIM_NEEDS = ["sites_raw", "examined", "vertices", "traces", "inside", "claimed"]
+      QUALIFY row_number() OVER (PARTITION BY t.trace_id ORDER BY round({M('t.lat', 't.lon', 's.lat', 's.lon')}, 3), s.id) = 1) n ON n.trace_id = h.trace_id"""
+AUDIT = dict(TWIN_TABLES, traces=TRACES, inside=INSIDE, grouped=greedy_sql(G1_ROWS, 80, "trace_id"), claimed=CLAIMS)
+CLAIM_NEEDS = ["sites_raw", "examined", "vertices", "traces", "inside", "grouped", "claimed"]
+
+
+def groups_of(t):
+    """Traces of objects that lie three to a place, grouped."""
+    kept = cut_lineage(audit.candidates(audit.examine_traces(mapped.audit_objects(t.twin_elements))))
+    return cut_lineage(audit.group_traces(kept))
 
 
 def alone(t):
     """Every kept trace as a group of its own, so claims can be told in SQL."""
-    kept = audit.candidates(audit.examine_traces(mapped.audit_objects(t.elements)))
+    kept = audit.candidates(audit.examine_traces(mapped.audit_objects(t.twin_elements)))
     return cut_lineage(kept.withColumn("leader", c("trace_id")))
 
 
 @check("j8_claims", "SELECT leader, dep, venue_id, round(metres, 3) AS metres, certain FROM claimed", CLAIM_NEEDS, **AUDIT)
 def _(t):
-    return audit.claims(alone(t), t.sites_raw.select("id", "dep", "lat", "lon")).select("leader", "dep", "venue_id", F.round("metres", 3).alias("metres"), "certain")
+    return audit.claims(groups_of(t), t.sites_raw.select("id", "dep", "lat", "lon")).select("leader", "dep", "venue_id", F.round("metres", 3).alias("metres"), "certain")
 
 
-@check("x11_point_in_ring", "SELECT trace_id, venue_id FROM inside", CLAIM_NEEDS[:-1], **AUDIT)
+@check("x11_point_in_ring", "SELECT trace_id, venue_id FROM inside", CLAIM_NEEDS[:-2], **AUDIT)
 def _(t):
     loops = alone(t).where("loop").select("trace_id", "dep", "ring")
     points = t.sites_raw.select("id", "dep", "lat", "lon")
     return spatial.in_rings(points, loops, level=15, by=["dep"]).groupBy("trace_id").agg(F.min("id").alias("venue_id"))
 
 
-@check("o8_missing_tracks", """SELECT t.osm, t.dep, round_even(t.lat, 5) AS lat, round_even(t.lon, 5) AS lon, round_even(t.m, 1) AS perimeter, t.pts AS points, t.loop, t.ribbon, t.lanes, t.surface, t.name, c.venue_id AS near_id, CAST(round_even(c.metres, 0) AS INTEGER) AS near_m
-   FROM claimed c JOIN traces t ON t.trace_id = c.leader WHERE NOT certain ORDER BY near_m DESC""", CLAIM_NEEDS, **AUDIT)
+MISSING = """SELECT h.dep, h.osm, h.trace_id, round_even(h.lat, 5) AS lat, round_even(h.lon, 5) AS lon, round_even(h.m, 1) AS perimeter, h.pts AS points, h.loop, h.ribbon,
+     CAST(round_even(h.long_m, 0) AS INTEGER) AS long_m, CAST(round_even(h.short_m, 0) AS INTEGER) AS short_m, h.lanes, h.surface, h.name, (SELECT count(*) FROM grouped g WHERE g.leader = c.leader) AS loops,
+     c.venue_id AS near_id, CAST(round_even(c.metres, 0) AS INTEGER) AS near_m FROM claimed c JOIN traces h ON h.trace_id = c.leader WHERE NOT certain"""
+
+
+@check("o8_missing_tracks", f"""SELECT m.* EXCLUDE (trace_id), v.nom AS near_name, v.ville AS near_city, 'https://www.openstreetmap.org/' || m.osm AS url FROM ({MISSING}) m LEFT JOIN sites_raw v ON v.id = m.near_id ORDER BY near_m DESC, m.trace_id""", CLAIM_NEEDS, **AUDIT)
 def _(t):
-    groups = alone(t)
+    groups = groups_of(t)
     missing = audit.missing_tracks(groups, audit.claims(groups, t.sites_raw.select("id", "dep", "lat", "lon")))
-    return missing.select("osm", "dep", "lat", "lon", "perimeter", "points", "loop", "ribbon", "lanes", "surface", "name", "near_id", "near_m").orderBy(F.desc("near_m"), "osm")
+    return coverage.with_nearest_venue(missing, t.sites_raw).orderBy(F.desc("near_m"), "trace_id").drop("trace_id")
 
 
 @check("a20_audit_totals", """SELECT o.dep, objects, coalesce(groups, 0) AS groups, coalesce(known, 0) AS known, coalesce(missing, 0) AS missing FROM (SELECT dep, count(*) AS objects FROM audit_objects GROUP BY dep) o
    LEFT JOIN (SELECT dep, count(*) AS groups, count(*) FILTER (WHERE certain) AS known, count(*) FILTER (WHERE NOT certain) AS missing FROM claimed GROUP BY dep) g ON g.dep = o.dep""", CLAIM_NEEDS, **AUDIT)
 def _(t):
-    groups = alone(t)
-    return audit.audit_totals(mapped.audit_objects(t.elements), audit.claims(groups, t.sites_raw.select("id", "dep", "lat", "lon")))
+    groups = groups_of(t)
+    return audit.audit_totals(mapped.audit_objects(t.twin_elements), audit.claims(groups, t.sites_raw.select("id", "dep", "lat", "lon")))
 
 
 # ------------------------------------------------------------------------------ context

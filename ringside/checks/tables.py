@@ -123,6 +123,11 @@ SELECT p_partkey AS k, CASE WHEN p_partkey % 9 = 4 THEN 'relation' ELSE 'way' EN
   {LAT.format(k='p_partkey')} + (p_partkey % 7) * 4e-4 AS lat0, {LON.format(k='p_partkey')} AS lon0
 FROM {{part}}"""
 
+# the same objects three to a place, some 35 m apart, so that traces group and any of them can be a venue's
+TWINS = f"""
+SELECT k, type, leisure, sport, athletics, highway, name, leisure2, lanes, surface, no_trace, is_ribbon, is_open, n, r,
+  {LAT.format(k='(k - k % 3)')} + (k % 3) * 3e-4 AS lat0, {LON.format(k='(k - k % 3)')} AS lon0 FROM ({OBJECTS})"""
+
 SUPPLIER_POINTS = """
 SELECT s_suppkey AS s, s_name AS name, 44e0 + ((s_suppkey * 31337) % 30000) / 1e4 AS s_lat,
   -1e0 + ((s_suppkey * 7477) % 40000) / 1e4 AS s_lon, CAST(s_suppkey % 4 AS INT) AS rank FROM {supplier}"""
@@ -241,6 +246,7 @@ CTES["examined"] = """SELECT o.k, concat(o.type, '/', o.k) AS osm, coalesce(CAST
          WHEN NOT coalesce(straight, perimeter) BETWEEN 60 AND 600 THEN 'hors_bornes' END AS reason,
     coalesce(straight, perimeter) AS m, closed AND straight IS NULL AS loop, straight IS NOT NULL AS ribbon, long_m, short_m, sport, athletics, lanes, surface, name
   FROM audit_objects o LEFT JOIN audit_traces t ON o.k = t.k"""
+TWIN_TABLES = {"objects": TWINS.format(**{t: t for t in BASE}), "located_objects": "SELECT o.*, coalesce(s.dep, '0') AS dep FROM objects o LEFT JOIN sites_raw s ON s.k = o.k - o.k % 3"}
 CTES["located_objects"] = "SELECT o.*, coalesce(s.dep, '0') AS dep FROM objects o LEFT JOIN sites_raw s ON s.k = o.k"
 CTES["audit_objects"] = """SELECT * FROM located_objects WHERE leisure = 'track' OR (leisure = 'pitch' AND regexp_matches(sport, 'athletics|running')) OR athletics IS NOT NULL"""
 CTES["lap_objects"] = """SELECT * FROM located_objects WHERE (leisure IN ('track', 'pitch') AND regexp_matches(sport, 'athletics|running')) OR athletics IS NOT NULL"""
@@ -340,9 +346,19 @@ class Tables:
     @cached_property
     def elements(self) -> DataFrame:
         """Mapped objects with their tags as a map and their traces as geometry or members."""
+        return self.elements_of(self.objects.join(self.sites_raw.select("k", "dep"), "k", "left"))
+
+    @cached_property
+    def twin_elements(self) -> DataFrame:
+        """Objects three to a place, in the department of the venue there."""
+        at = self.sites_raw.select(F.col("k").alias("_k"), "dep")
+        twins = self.derive(TWINS)
+        return self.elements_of(twins.join(at, F.col("k") - F.col("k") % 3 == F.col("_k"), "left").drop("_k"))
+
+    def elements_of(self, objects: DataFrame) -> DataFrame:
         tags = F.map_filter(F.create_map(*[x for t in ("leisure", "sport", "athletics", "highway", "name", "lanes", "surface")
                                            for x in (F.lit(t), F.col(t))]), lambda k, v: v.isNotNull())
-        objects = self.objects.join(self.sites_raw.select("k", "dep"), "k", "left").withColumn("dep", F.coalesce("dep", F.lit("0")))
+        objects = objects.withColumn("dep", F.coalesce("dep", F.lit("0")))
         last = F.expr("(CASE WHEN is_ribbon THEN 4 ELSE n END) - CASE WHEN is_open THEN 1 ELSE 0 END")
 
         def ring(grow):

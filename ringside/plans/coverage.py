@@ -29,14 +29,18 @@ def audit_coverage(venues: DataFrame, elements: DataFrame, facilities: DataFrame
     named = audit.name_from_context(missing, facilities).select("trace_id", "place")
     school = audit.schools_around(missing, schools)
     address = audit.nearest_address(missing, addresses).select("trace_id", "city", "street", "postcode")
-    known = venues.select(c("id").alias("near_id"), c("nom").alias("near_name"), c("ville").alias("near_city"))
-    full = (missing.join(named, "trace_id", "left").join(school, "trace_id", "left")
-            .join(address, "trace_id", "left").join(known, "near_id", "left")
-            .withColumn("url", F.concat(F.lit(vocab.OBJECT_URL), "osm")).orderBy(F.desc("near_m"), "trace_id"))
+    full = (with_nearest_venue(missing, venues).join(named, "trace_id", "left").join(school, "trace_id", "left")
+            .join(address, "trace_id", "left").orderBy(F.desc("near_m"), "trace_id"))
     return {"missing": full, "rejections": audit.rejection_counts(audit.rejects(examined)),
             "totals": audit.audit_totals(objects, claimed)}
 
 
+def with_nearest_venue(missing: DataFrame, venues: DataFrame) -> DataFrame:
+    """Missing tracks with the name and city of the nearest known venue, and the mapped object's address."""
+    known = venues.select(c("id").alias("near_id"), c("nom").alias("near_name"), c("ville").alias("near_city"))
+    return missing.join(known, "near_id", "left").withColumn("url", F.concat(F.lit(vocab.OBJECT_URL), "osm"))
+
+
 def places_to_look_at(venues: DataFrame, elements: DataFrame, features: DataFrame, communes: DataFrame,
                       listed: DataFrame, addresses: DataFrame, limit=None) -> DataFrame:
     """Named places and pitches inside the communes, far from every known venue and candidate, with the
