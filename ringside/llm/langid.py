@@ -9,7 +9,8 @@ through two tables. Texts are cut into lanes that walk side by side; ORDER bytes
 lane into the exact context, so cutting changes no code length.
 
 Learning reads a bounded sample of labelled rows: for each language the SAMPLE_DOCS distinct texts
-of smallest hash, up to SAMPLE_BYTES of each. Everything else reads every byte of every text.
+of smallest hash, whole, as many of them in the order of their hashes as fit into SAMPLE_BYTES (the first in
+any case). Everything else reads every byte of every text.
 """
 from __future__ import annotations
 
@@ -17,16 +18,18 @@ from dataclasses import dataclass
 import io
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ringside.llm.common import blocks, mapped, ship
 
 ORDER, MIN_COUNT = 4, 2
-SAMPLE_DOCS, SAMPLE_BYTES = 160, 8192
+SAMPLE_DOCS, SAMPLE_BYTES = 160, 1 << 20
+SALTS = 16
 #: Lanes that walk side by side, and the least bytes of one.
 LANES, LEAST_LANE = 4096, 256
+#: Bytes of text that are walked at once.
+BLOCK = 1 << 20
 UNKNOWN = "und"
 
 
@@ -60,21 +63,27 @@ def learn(docs: DataFrame, text: str = "text", label: str = "lang", seen: Column
     a table without labelled rows gives a model of no language."""
     rows = docs.where(seen if seen is not None else F.lit(True)).select(F.col(text).alias("text"), F.col(label).cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & (F.octet_length("text") > 0)).withColumn("h", F.xxhash64("text"))
+    # the first of each salt, then the first of those: a language's rows never meet in one task but for the last few
+    salt = F.pmod(F.xxhash64("h", F.lit(7)), F.lit(SALTS))
+    per_salt = Window.partitionBy("lang", "salt").orderBy("h")
+    first = rows.groupBy("lang", "h", salt.alias("salt")).agg(F.min(F.octet_length("text").cast("long")).alias("size"))
+    first = first.withColumn("place", F.row_number().over(per_salt)).where(F.col("place") <= SAMPLE_DOCS)
     by_hash = Window.partitionBy("lang").orderBy("h")
-    last = (rows.groupBy("lang", "h").agg(F.lit(1).alias("one")).withColumn("place", F.row_number().over(by_hash))
-            .where(F.col("place") <= SAMPLE_DOCS).groupBy("lang").agg(F.max("h").alias("last")).orderBy("lang").collect())
+    first = first.withColumn("place", F.row_number().over(by_hash)).withColumn("bytes", F.sum("size").over(by_hash))
+    last = first.where((F.col("place") == 1) | (F.col("place") <= SAMPLE_DOCS) & (F.col("bytes") <= SAMPLE_BYTES)).groupBy("lang").agg(F.max("h").alias("last")).orderBy("lang").collect()
     if not last:
         return Model([], [])
     admitted = F.lit(False)
     for r in last:
         admitted = admitted | ((F.col("lang") == r.lang) & (F.col("h") <= r["last"]))
-    sample = rows.where(admitted).groupBy("lang", "h").agg(F.first(F.substring(F.encode("text", "utf-8"), 1, SAMPLE_BYTES)).alias("text"))
+    sample = rows.where(admitted).groupBy("lang", "h").agg(F.first(F.encode("text", "utf-8")).alias("text"))
 
-    def tree(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"lang": [pdf.lang.iloc[0]], "tree": [count_tree([bytes(t) for t in pdf.sort_values("h").text])]})
+    def tree(group: pa.Table) -> pa.Table:
+        texts = [t for _, t in sorted(zip(group.column("h").to_pylist(), group.column("text").to_pylist()))]
+        return pa.table({"lang": [group.column("lang")[0].as_py()], "tree": pa.array([count_tree(texts)], pa.binary())})
 
     ship(docs.sparkSession)
-    found = sample.groupBy("lang").applyInPandas(tree, "lang string, tree binary").orderBy("lang").collect()
+    found = sample.groupBy("lang").applyInArrow(tree, "lang string, tree binary").orderBy("lang").collect()
     return Model([r.lang for r in found], [bytes(r.tree) for r in found])
 
 
@@ -82,7 +91,7 @@ class Walker:
     """Code-length and next-context tables of all languages of a model, and the walk through them."""
 
     def __init__(self, model: Model):
-        trees = [np.load(io.BytesIO(t)) for t in model.trees]
+        trees = [dict(np.load(io.BytesIO(t))) for t in model.trees]
         used = np.unique(np.concatenate([t["codes0"] & 255 for t in trees]))
         self.novel, self.reset, self.width = len(used), len(used) + 1, len(used) + 2
         self.column = np.full(256, self.novel, np.int16)
@@ -91,10 +100,15 @@ class Walker:
         for t in trees:
             cost, following = self._tables(t)
             self.roots.append(at)
-            costs.append(cost)
-            nexts.append(following + at)
+            following += at
+            following *= self.width
+            costs.append(cost.ravel())
+            nexts.append(following.ravel())
             at += len(cost)
-        self.cost, self.next = np.concatenate(costs).ravel(), (np.concatenate(nexts) * self.width).astype(np.int32).ravel()
+            t.clear()  # one language's counts at a time
+        self.cost = np.concatenate(costs)
+        costs.clear()
+        self.next = np.concatenate(nexts)
         self.roots = (np.array(self.roots) * self.width).astype(np.int32)
 
     def _tables(self, tree) -> tuple[np.ndarray, np.ndarray]:
@@ -102,8 +116,8 @@ class Walker:
         contexts = [np.unique(tree[f"codes{k}"] >> 8) for k in range(ORDER + 1)]
         starts = np.cumsum([0] + [len(c) for c in contexts])
         total = int(starts[-1])
-        counts, rest = np.zeros((total, width), np.float32), np.zeros((total, width), np.float64)
-        cost, following = np.zeros((total, width), np.float32), np.zeros((total, width), np.int64)
+        counts, rest = np.zeros((total, width), np.float32), np.zeros((total, width), np.float32)
+        cost, following = np.zeros((total, width), np.float32), np.zeros((total, width), np.int32)
         for k in range(ORDER + 1):
             lo, hi = starts[k], starts[k + 1]
             if lo == hi:
@@ -115,16 +129,17 @@ class Walker:
             seen = own > 0
             if k:
                 shorter = starts[k - 1] + np.searchsorted(contexts[k - 1], contexts[k] & ((1 << 8 * (k - 1)) - 1))
-                below = counts[shorter].astype(np.float64)
+                below = counts[shorter]
                 below[seen] = 0
-                n, u = below.sum(1, keepdims=True), (below > 0).sum(1, keepdims=True)
-                escape = np.where(n > 0, u / np.maximum(n + u, 1), 1.0)
-                rest[lo:hi] = np.where(counts[shorter] > 0, below / np.maximum(n + u, 1), escape * rest[shorter])
+                n, u = below.sum(1, keepdims=True, dtype=np.float64), (below > 0).sum(1, keepdims=True)
+                escape = np.where(n > 0, u / np.maximum(n + u, 1), 1.0).astype(np.float32)
+                below /= np.maximum(n + u, 1).astype(np.float32)
+                rest[lo:hi] = np.where(counts[shorter] > 0, below, escape * rest[shorter])
             else:
                 rest[lo:hi] = 1 / max(1, 256 - int(seen.sum()))
             n, u = own.sum(1, keepdims=True, dtype=np.float64), seen.sum(1, keepdims=True)
-            p = np.where(seen, own / (n + u), u / (n + u) * rest[lo:hi])
-            cost[lo:hi] = -np.log2(np.maximum(p, 1e-30))
+            p = np.where(seen, own / (n + u).astype(np.float32), (u / (n + u)).astype(np.float32) * rest[lo:hi])
+            cost[lo:hi] = -np.log2(np.maximum(p, np.float32(1e-30)))
         # the next context is the longest one held that ends the context and the byte: the shorter context's, unless there is a longer
         for k in range(ORDER + 1):
             lo, hi = starts[k], starts[k + 1]
@@ -200,12 +215,12 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
     A null text, or one without a letter, is UNKNOWN with score 0. Equal texts get equal answers; ties
     go to the language that comes first. Nothing but the text is read for an answer.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)  # at most languages x SAMPLE_DOCS x SAMPLE_BYTES x orders
+    held = docs.sparkSession.sparkContext.broadcast(model)  # counts of at most SAMPLE_BYTES, or one text, a language
     rows = docs.select(*[docs[f"`{c}`"] for c in keep], docs[text].alias("_text"), F.coalesce(docs[text].rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
     schema = rows.drop("_text", "_letters").schema.add("lang_pred", "string").add("score", "double").add("bits_per_byte", "double")
 
     def run(batches):
-        for block, texts in blocks(batches, "_text"):
+        for block, texts in blocks(batches, "_text", BLOCK):
             names, score, rate = judge(held.value, texts, block.column("_letters").to_pylist())
             yield pa.RecordBatch.from_arrays([*[block.column(i) for i in range(len(keep))], pa.array(names, pa.string()), pa.array(score), pa.array(rate)],
                                              names=[*keep, "lang_pred", "score", "bits_per_byte"])
@@ -227,7 +242,7 @@ def accepted(docs: DataFrame, model: Model, text: str = "text", most_bits: float
     rows = rows.withColumn("letters", F.coalesce(rows[f"c{place}"].rlike(r"\p{L}"), F.lit(False)))
 
     def run(batches):
-        for block, texts in blocks(batches, f"c{place}"):
+        for block, texts in blocks(batches, f"c{place}", BLOCK):
             names, _, rate = judge(held.value, texts, block.column(block.num_columns - 1).to_pylist())
             yield pa.RecordBatch.from_arrays(block.columns[:-1], names=block.schema.names[:-1]).filter(
                 pa.array([n != UNKNOWN and r < most_bits for n, r in zip(names, rate)], pa.bool_()))
