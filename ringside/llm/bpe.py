@@ -81,7 +81,7 @@ class Bpe:
             ids = met.get(piece)
             if ids is None:
                 ids = self.merge(piece.encode("utf-8"))
-                if len(met) < 100_000 and len(piece) < 32:
+                if len(met) < 20_000 and len(piece) < 32:  # whole words are remembered by WordIds
                     met[piece] = ids
             out += ids
         return out
@@ -96,11 +96,23 @@ class Bpe:
         return out
 
     def decode(self, ids: list[int]) -> str:
-        """Vocabulary strings in a row, parted by a space as the library does where a file names no decoder."""
-        return " ".join(map(self.strings.__getitem__, ids))
+        return joined(self.strings, ids)
+
+
+def joined(strings: list[str], ids: list[int]) -> str:
+    """Vocabulary strings in a row, parted by a space as the library does where a file names no decoder."""
+    return " ".join(map(strings.__getitem__, ids))
 
 
 _HELD: dict[str, tuple[Bpe, WordIds]] = {}
+_STRINGS: dict[str, list[str]] = {}
+
+
+def strings(path: str) -> list[str]:
+    """The strings of all ids alone, for workers that only decode."""
+    if path not in _STRINGS:
+        _STRINGS[path] = Bpe(path).strings
+    return _STRINGS[path]
 
 
 def codec(path: str) -> tuple[Bpe, WordIds]:
@@ -126,15 +138,32 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...]
     return mapped(rows, run, rows.drop("_text").schema.add("ids", T.ArrayType(T.IntegerType())))
 
 
+def round_trip(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Columns `keep`, ids (array) and decoded of every row: encoding and decoding by one worker, block by block, so
+    that the vocabulary is held once. Null texts are empty: no ids, an empty decoded text."""
+    rows = docs.select(*[docs[f"`{c}`"] for c in keep], docs[f"`{text}`"].alias("_text"))
+    schema = rows.drop("_text").schema.add("ids", T.ArrayType(T.IntegerType())).add("decoded", "string")
+
+    def run(batches):
+        bpe, words = codec(path)
+        for block, texts in blocks(batches, "_text", 1 << 20):
+            ids = [np.frombuffer(row, words.kind) for row in words(texts)]
+            ends = np.cumsum([0] + [len(row) for row in ids]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*block.columns[:len(keep)], pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype(np.int32))),
+                                              pa.array([bpe.decode(row.tolist()) for row in ids], pa.string())], names=schema.names)
+
+    return mapped(rows, run, schema)
+
+
 def decode(rows: DataFrame, path: str, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns `keep` and text of every row of ids; null is no ids."""
     rows = rows.select(*[rows[f"`{c}`"] for c in keep], F.coalesce(rows[f"`{ids}`"], F.array().cast("array<int>")).alias("_ids"))
 
     def run(batches):
-        bpe, _ = codec(path)
+        held = strings(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 block = batch.slice(at, 500)
-                yield pa.RecordBatch.from_arrays([*block.columns[:len(keep)], pa.array([bpe.decode(x) for x in block.column(len(keep)).to_pylist()], pa.string())], names=[*keep, "text"])
+                yield pa.RecordBatch.from_arrays([*block.columns[:len(keep)], pa.array([joined(held, x) for x in block.column(len(keep)).to_pylist()], pa.string())], names=[*keep, "text"])
 
     return mapped(rows, run, rows.drop("_ids").schema.add("text", "string"))

@@ -81,11 +81,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = bpe.encode(table(spark, sf_dir, "documents"), VOCABULARY)
-    texts = bpe.decode(ids, VOCABULARY, keep=("doc_id", "ids"))
+    coded = bpe.round_trip(table(spark, sf_dir, "documents"), VOCABULARY)
     decimal = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return texts.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.encode(decimal, "utf-8"), 256).alias("ids_sha256"),
-                        F.sha2(F.encode("text", "utf-8"), 256).alias("decoded_sha256"))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.encode(decimal, "utf-8"), 256).alias("ids_sha256"),
+                        F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"))
 
 
 @query
