@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from ringside.llm import bpe, collocations, queries, ring, spelling, syncmers, token_counts
+from ringside.llm import bpe, collocations, lm, queries, ring, spelling, syncmers, token_counts
 
 WORDS = queries.VOCABULARY
 BYTES = queries.public_tokenizers.path("byte_bpe_50k.json")
@@ -213,6 +213,16 @@ def test_token_lengths_equal_the_librarys(monkeypatch):
     assert lengths[" a"] == 1
 
 
+def test_the_most_frequent_rows_are_bounded(spark):
+    for counts in ([100_000] * 20, [10**6 + i for i in range(20)], [3] * 12 + [9] * 3 + [10**9] * 5, [1] * 20, []):
+        rows = spark.createDataFrame([(i, n) for i, n in enumerate(counts)], "id long, n long")
+        for limit in (0, 1, 5, 7, 19, 20, 50):
+            kept = sorted(r.n for r in lm._most(rows, limit).collect())
+            assert min(limit, len(counts)) - 2 <= len(kept) <= limit
+            if max(counts, default=0) < 100_000 or counts[:1] == [3]:
+                assert kept == sorted(counts)[len(counts) - len(kept):]
+
+
 # ----------------------------------------------------------------------------- the queries
 def test_op1_and_op9_have_sql():
     assert {"op1_exact_dedup", "op9_warc", "op11_collocations"} <= queries.ORACLES.keys()
