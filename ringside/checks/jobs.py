@@ -1,7 +1,7 @@
 """Whole jobs (E1, E4-E9) over derived tables. Their parts are checked one by one elsewhere."""
 from pyspark.sql import functions as F
 
-from ringside.checks.auditing import place_elements, pitches
+from ringside.checks.auditing import TOPONYMS, greedy_sql, place_elements
 from ringside.checks.building import CENSUS_ROWS, PARTS
 from ringside.checks.placing import ADDRESSES, AUDIT, CLAIM_NEEDS, FACILITIES, MISSING, PATCHES, plain
 from ringside.checks.registry import check
@@ -90,14 +90,40 @@ def _(t):
     return out["missing"].drop("trace_id")
 
 
-@check("e8_places_to_look_at")
-def _(t):
+# toponyms and pitches inside the communes, grouped by a walk in the order of layer and hash
+LOOKED = f"""SELECT *, md5(place_id) AS hash FROM (SELECT *, concat_ws('|', CAST(layer AS VARCHAR), coalesce(osm, ''), printf('%.7f', lat), printf('%.7f', lon), nom) AS place_id FROM (
+     SELECT 0 AS layer, source, nom, lat, lon, osm FROM ({TOPONYMS}) UNION ALL SELECT 1, 'BD TOPO (city-stade)', 'City', lat0 + 1e-2, lon0 + 1e-2, NULL FROM objects))
+   WHERE EXISTS (SELECT 1 FROM commune_parts WHERE lat >= south AND lat < north AND lon >= west AND lon < east)"""
+LOOKED_GROUPS = greedy_sql("SELECT row_number() OVER (ORDER BY layer, hash) AS i, place_id AS id, '' AS g, lat, lon FROM looked", 200, "place_id")
+LOOKED_HEADS = f"""SELECT h.*, v.venue_id AS near_id, CAST(round_even(v.m, 0) AS INTEGER) AS near_m FROM (
+     SELECT leader, arg_min(p.place_id, o) AS place_id, arg_min(source, o) AS source, arg_min(nom, o) AS nom, arg_min(lat, o) AS lat, arg_min(lon, o) AS lon, arg_min_null(osm, o) AS osm, count(*) AS members,
+       array_to_string(list_sort(list(DISTINCT source)), '|') AS sources
+     FROM looked_groups g JOIN (SELECT *, ROW(CASE source WHEN 'OSM (equipement nomme)' THEN 0 WHEN 'OSM (voie)' THEN 1 ELSE 2 END, layer, hash) AS o FROM looked) p ON p.place_id = g.place_id GROUP BY leader) h
+   JOIN (SELECT p.place_id, s.id AS venue_id, round({AT('p.lat', 'p.lon', 's.lat', 's.lon')}, 3) AS m FROM looked p JOIN sites_raw s ON s.lat IS NOT NULL
+      QUALIFY row_number() OVER (PARTITION BY p.place_id ORDER BY round({AT('p.lat', 'p.lon', 's.lat', 's.lon')}, 3), s.id) = 1) v ON v.place_id = h.place_id
+   WHERE v.m > 200 AND NOT EXISTS (SELECT 1 FROM objects o WHERE o.k % 50 = 0 AND {AT('h.lat', 'h.lon', 'o.lat0', 'o.lon0')} <= 200)"""
+E8_TABLES = dict(looked=LOOKED, looked_groups=LOOKED_GROUPS, looked_heads=LOOKED_HEADS)
+E8_NEEDS = ["sites_raw", "objects", "commune_parts", "supplier_points", "looked", "looked_groups", "looked_heads"]
+
+
+def looked_at(t):
     listed = t.objects.where("k % 50 = 0").select(c("lat0").alias("lat"), c("lon0").alias("lon"))
     shaped = t.objects.select(F.lit("Petit terrain multi-sports").alias("nature"), F.lit("City").alias("nature_detaillee"),
                               F.expr("array(array(array(array(lon0 + 1e-2, lat0 + 1e-2))))").alias("coordinates"))
     return coverage.places_to_look_at(t.sites_raw.select("id", "nom", "lat", "lon"), place_elements(t), shaped, t.commune_shapes, listed, t.derive(ADDRESSES))
 
 
+@check("e8_places_to_look_at", f"""SELECT h.* EXCLUDE (lat, lon), round(lat, 8) AS lat, round(lon, 8) AS lon, v.nom AS near_name, a.city, a.street, a.postcode FROM looked_heads h LEFT JOIN (SELECT id, nom FROM sites_raw) v ON v.id = h.near_id
+   LEFT JOIN {NEAREST_ADDRESS('looked_heads', 'place_id')} a ON a.place_id = h.place_id""", E8_NEEDS, **E8_TABLES)
+def _(t):
+    return looked_at(t)["places"].withColumns({"lat": F.round("lat", 8), "lon": F.round("lon", 8), "sources": F.array_join("sources", "|")})
+
+
+@check("e8_cluster_names", "SELECT DISTINCT g.leader, p.nom FROM looked_groups g JOIN looked p ON p.place_id = g.place_id JOIN looked_heads h ON h.leader = g.leader WHERE coalesce(p.nom, '') <> ''", E8_NEEDS, **E8_TABLES)
+def _(t):
+    return looked_at(t)["names"]
+
+
 PHOTO_CASE = next(i for i, (text, _) in enumerate(CASES) if "a.png" in text)
 
 

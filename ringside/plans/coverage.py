@@ -42,24 +42,26 @@ def with_nearest_venue(missing: DataFrame, venues: DataFrame) -> DataFrame:
 
 
 def places_to_look_at(venues: DataFrame, elements: DataFrame, features: DataFrame, communes: DataFrame,
-                      listed: DataFrame, addresses: DataFrame, limit=None) -> DataFrame:
-    """Named places and pitches inside the communes, far from every known venue and candidate, with the
-    nearest venue's name and the nearest address. All names of a cluster: `audit.cluster_names`."""
+                      listed: DataFrame, addresses: DataFrame, limit=None) -> dict:
+    """places: named places and pitches inside the communes, far from every known venue and candidate, with the
+    nearest venue's name and the nearest address. names: (leader, nom), every name of the places' clusters, in long
+    form because a cluster may hold very many."""
     places = mapped.sporting_places(elements).unionByName(mapped.multisport_pitches(features))
     layer = F.when(c("source") == "BD TOPO (city-stade)", 1).otherwise(0)
-    ident = F.to_json(F.struct(layer.alias("layer"), F.coalesce("osm", F.lit("")).alias("osm"), "lat", "lon", "nom"))
+    ident = F.concat_ws("|", layer.cast("string"), F.coalesce("osm", F.lit("")), F.format_string("%.7f", "lat"), F.format_string("%.7f", "lon"), "nom")
     # toponyms lead before pitches; within a layer by a hash, so that chains of leaders stay short
     places = places.withColumn("place_id", ident).withColumn("seq", F.struct(layer.alias("layer"), F.md5("place_id").alias("hash")))
     places = cut_lineage(places)
     inside = audit.in_communes(places, mapped.commune_rings(communes))
-    grouped = cluster.leader_groups(
-        cut_lineage(inside.withColumnRenamed("place_id", "id")), 200.0, ["seq"]).withColumnRenamed("id", "place_id")
-    heads = audit.unknown_places(audit.cluster_heads(cut_lineage(grouped)), venues)
+    grouped = cut_lineage(cluster.leader_groups(
+        cut_lineage(inside.withColumnRenamed("place_id", "id")), 200.0, ["seq"]).withColumnRenamed("id", "place_id"))
+    heads = audit.unknown_places(audit.cluster_heads(grouped), venues)
     left = cut_lineage(audit.not_already_listed(heads, listed))
     address = audit.nearest_address(left, addresses, "place_id").select("place_id", "city", "street", "postcode")
     known = venues.select(c("id").alias("near_id"), c("nom").alias("near_name"))
     left = left.join(address, "place_id", "left").join(known, "near_id", "left").orderBy(F.desc("near_m"), "place_id")
-    return left if limit is None else left.limit(limit)
+    left = left if limit is None else left.limit(limit)
+    return {"places": left, "names": audit.cluster_names(grouped).join(left.select("leader"), "leader", "left_semi")}
 
 
 def check_contributions(records: DataFrame, photo_files: DataFrame) -> DataFrame:

@@ -160,11 +160,13 @@ def test_places_to_look_at(spark):
     venues = spark.createDataFrame([("I1", "Stade A", 47.2105, -1.5), ("I2", "Stade B", 47.25, -1.55)], "id string, nom string, lat double, lon double")
     addresses = spark.createDataFrame([("a1", "Nantes", "Quai", "44000", 47.21, -1.55)], "a_id string, city string, street string, postcode string, a_lat double, a_lon double")
     nothing = spark.createDataFrame([], "lat double, lon double")
-    (place,) = coverage.places_to_look_at(venues, found, features, communes, nothing, addresses).collect()
+    out = coverage.places_to_look_at(venues, found, features, communes, nothing, addresses)
+    (place,) = out["places"].collect()
+    assert {(r.leader, r.nom) for r in out["names"].collect()} == {(place.leader, x) for x in ("Rue du Stade", "Gymnase", "Plateau multisports")}
     assert (place.nom, place.members, place.sources, place.near_id) == ("Gymnase", 3, ["BD TOPO (city-stade)", "OSM (equipement nomme)", "OSM (voie)"], "I1")
     assert (place.near_name, place.city, place.postcode) == ("Stade A", "Nantes", "44000")
     listed = spark.createDataFrame([(47.2011, -1.55)], "lat double, lon double")
-    assert coverage.places_to_look_at(venues, found, features, communes, listed, addresses).count() == 0
+    assert coverage.places_to_look_at(venues, found, features, communes, listed, addresses)["places"].count() == 0
 
 
 def test_contribution_checks_fail_a_run(spark, tmp_path):
