@@ -70,18 +70,16 @@ def lap_rings(elements: DataFrame) -> DataFrame:
 def match_laps(venues: DataFrame, rings: DataFrame, radius_m=200.0) -> DataFrame:
     """Each venue with the longest ring centred less than 200 m away, and the lap it snaps to.
 
-    Venues at one coordinate share a search, and of the rings around one centre only the
-    longest can win, so crowded places cost no pairs.
+    Venues at one coordinate share a search. Of the rings in a cell some 40 m wide that lies wholly within
+    reach only the longest can win, so only it is met; single rings are met in the cells at the edge of reach.
     """
     spots = venues.where(c("lat").isNotNull() & c("lon").isNotNull()).select("lat", "lon").distinct()
-    best_here = rings.groupBy("ring_lat", "ring_lon").agg(
-        F.min_by(F.struct("ring_id", "osm", "m", "pts"), F.struct((-c("m")).alias("s"), c("ring_id"))).alias("r"))
-    pairs = spatial.within_radius(spots, best_here, radius_m, strict=True, right_point=("ring_lat", "ring_lon"))
+    pairs = spatial.best_within(spots, rings, radius_m, F.struct((-c("m")).alias("s"), c("ring_id")), right_point=("ring_lat", "ring_lon"))
     won = pairs.groupBy("lat", "lon").agg(F.min_by(
-        F.struct("r", "metres"), F.struct((-c("r.m")).alias("s"), c("r.ring_id"))).alias("w"))
+        F.struct("best", "metres"), F.struct((-c("best.m")).alias("s"), c("best.ring_id"))).alias("w"))
     return venues.join(won, ["lat", "lon"]).select(
-        *venues.columns, c("w.r.osm").alias("osm"), c("w.r.m").alias("ring_m"), c("w.metres").alias("metres"),
-        geo.snap_lap(c("w.r.m")).alias("snapped"))
+        *venues.columns, c("w.best.osm").alias("osm"), c("w.best.m").alias("ring_m"), c("w.metres").alias("metres"),
+        geo.snap_lap(c("w.best.m")).alias("snapped"))
 
 
 def lap_outcome() -> Column:
@@ -243,11 +241,12 @@ def name_from_context(missing: DataFrame, facilities: DataFrame, radius_m=200.0)
     facilities: rank, name, f_lat, f_lon.
     """
     named = facilities.where(text.present(c("name")) & c("f_lat").isNotNull())
-    # around one point, only the first name of each class can win
-    slim = named.groupBy("f_lat", "f_lon", "rank").agg(F.min("name").alias("place"))
-    pairs = spatial.within_radius(missing.select("trace_id", "lat", "lon"), slim, radius_m,
-                                  right_point=("f_lat", "f_lon"))
-    return pairs.groupBy("trace_id").agg(F.min(F.struct("rank", "metres", "place")).alias("b")).select(
+    # around one point, only the first name of each class can win; of each class, only the nearest
+    slim = named.groupBy("f_lat", "f_lon", "rank").agg(F.min("name").alias("c_id")).withColumnsRenamed({"f_lat": "c_lat", "f_lon": "c_lon", "rank": "class"})
+    asked = missing.select(c("trace_id").alias("q_id"), c("lat").alias("q_lat"), c("lon").alias("q_lon"), F.explode(
+        F.sequence(F.lit(0), F.lit(len(vocab.PLACE_CLASSES)))).alias("class"))
+    found = spatial.nearest(asked, slim, 1, by=["class"], within_m=radius_m)
+    return found.groupBy(c("q_id").alias("trace_id")).agg(F.min(F.struct(c("class").alias("rank"), "metres", c("c_id").alias("place"))).alias("b")).select(
         "trace_id", "b.place", "b.rank", "b.metres")
 
 

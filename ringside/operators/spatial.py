@@ -49,6 +49,32 @@ def within_radius(left: DataFrame, right: DataFrame, radius_m: float, *, by=(),
     return pairs.where(near).drop("_cy", "_cx")
 
 
+def best_within(left: DataFrame, right: DataFrame, radius_m: float, order, *, left_point=("lat", "lon"),
+                right_point=("ring_lat", "ring_lon"), level=geo.FINEST_LEVEL) -> DataFrame:
+    """Pairs (left's columns, best, metres) with rows of `right` less than radius_m away, among them each left row's
+    first in `order`: cells of `level` that lie wholly within reach give their first row alone.
+
+    left is repeated over the few cells of a coarser grid its disc touches and meets the occupied cells of `level`
+    there, so a crowded spot is one row for each of its cells, however many rows lie in them.
+    """
+    (alat, alon), (blat, blon) = left_point, right_point
+    placed = _with_cell(right.dropna(subset=[blat, blon]), level, blat, blon).withColumn("_row", F.struct(*right.columns))
+    cells = placed.groupBy("_cy", "_cx").agg(
+        F.min_by("_row", order).alias("_first"), F.min(blat).alias("s"), F.max(blat).alias("n"), F.min(blon).alias("w"), F.max(blon).alias("e"))
+    middle = [(F.col("s") + F.col("n")) / 2, (F.col("w") + F.col("e")) / 2]
+    # half the diagonal of the rows' box, or a little more
+    reach = (F.radians(F.col("n") - F.col("s")) + F.radians(F.col("e") - F.col("w")) * F.cos(F.radians(F.least(F.abs("s"), F.abs("n"))))) * (geo.EARTH_M / 2) + 0.01
+    cells = cells.select("_cy", "_cx", "_first", middle[0].alias("_mlat"), middle[1].alias("_mlon"), reach.alias("_reach")).withColumnsRenamed({"_cy": "_fy", "_cx": "_fx"})
+    widest = 360.0 / 2 ** level * geo.DEG_M     # no box in a cell has a greater half diagonal
+    met = within_radius(left, cells, radius_m + widest, left_point=left_point, right_point=("_mlat", "_mlon")).where(F.col("metres") - F.col("_reach") < radius_m)
+    gap = geo.haversine(F.col(alat), F.col(alon), F.col(f"best.{blat}"), F.col(f"best.{blon}"))
+    whole = met.where(F.col("metres") + F.col("_reach") < radius_m).select(*left.columns, F.col("_first").alias("best"))
+    edge = met.where(F.col("metres") + F.col("_reach") >= radius_m).select(*left.columns, "_fy", "_fx")
+    rows = placed.select(F.col("_cy").alias("_fy"), F.col("_cx").alias("_fx"), F.col("_row").alias("best"))
+    single = edge.join(rows, ["_fy", "_fx"]).select(*left.columns, "best").where(gap < radius_m)
+    return whole.unionByName(single).withColumn("metres", gap)
+
+
 def in_rings(points: DataFrame, rings: DataFrame, *, level: int, by=(),
              point=("lat", "lon"), ring="ring") -> DataFrame:
     """Point and ring pairs where the point lies inside the ring.

@@ -106,6 +106,22 @@ def test_nearest_under_keys_around_the_globe(spark):
     assert len(got) == len(q)
 
 
+def test_rings_crowded_in_a_spot_are_met_by_cell(spark):
+    """5,000 rings within 50 m: a venue in reach of all meets a row a cell; venues at the edge find the same winner as a full scan."""
+    r = random.Random(15)
+    rings = [(f"r{i:04}", 47.2 + r.uniform(0, 4.5e-4), -1.55 + r.uniform(0, 6.6e-4), r.uniform(150, 500)) for i in range(5000)]
+    venues = [(f"v{i:02}", 47.2 + r.uniform(-2.5e-3, 2.5e-3), -1.55 + r.uniform(-3e-3, 3e-3)) for i in range(30)] + [(f"near{i}", 47.2003 + i * 1e-5, -1.5498) for i in range(10)]
+    left = spark.createDataFrame(venues, "id string, lat double, lon double")
+    right = spark.createDataFrame(rings, "ring_id string, ring_lat double, ring_lon double, m double")
+    pairs = spatial.best_within(left, right, 200.0, F.struct((-c("m")).alias("s"), c("ring_id")))
+    counts = {x.id: x["count"] for x in pairs.groupBy("id").count().collect()}
+    assert all(counts[f"near{i}"] <= 10 for i in range(10))
+    won = {x.id: x.w for x in pairs.groupBy("id").agg(F.max_by("best.ring_id", "best.m").alias("w")).collect()}
+    for ident, y, x in venues:
+        inside = [(m, ring) for ring, ry, rx, m in rings if metres((y, x), (ry, rx)) < 200]
+        assert won.get(ident) == (max(inside)[1] if inside else None)
+
+
 def test_fewer_candidates_than_asked(spark):
     q, cands = frame(spark, [(10.0, 10.0), (-60.0, 100.0)], "q"), frame(spark, [(0.0, 0.0), (50.0, -170.0)], "c")
     found = spatial.nearest(q.withColumnRenamed("q", "q_id"), cands.withColumnRenamed("c", "c_id"), 3)
