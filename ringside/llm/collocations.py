@@ -30,7 +30,7 @@ BITS, LEAST_BITS = 28, 20
 #: Phrases that a task holds before it sends their counts on, and text bytes meant for one bucket of keys.
 HELD, BUCKET_BYTES = 2_500_000, 4 << 20
 #: Distinct strings that a task holds in the exact count.
-STRINGS = 200_000
+STRINGS = 500_000
 
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 UNKNOWN = "und"
@@ -199,20 +199,27 @@ def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.add.reduceat(n[order], first), keys[first]
 
 
-def counts(rows: DataFrame, maps: list) -> DataFrame:
-    """lang, size, phrase and n of every phrase of 1 to len(maps) words on the maps, and of all words together
-    (size 0), counted over all rows."""
+def counts(rows: DataFrame, maps: list, support: int, buckets: int) -> DataFrame:
+    """lang, size, phrase and n of every phrase of 1 to len(maps) words on the maps that occurs `support` times, and of
+    all words together (size 0), counted over all rows.
+
+    Tasks send each bucket its phrases as sorted, compressed lists; phrases that begin alike lie in one bucket.
+    """
     def run(batches):
         found = [_map(m) for m in maps]
-        met, held = defaultdict(Counter), 0
+        met = defaultdict(Counter)
 
         def flush():
             for (lang, size), counter in met.items():
-                strings = list(counter)
-                for at in range(0, len(strings), 50_000):
-                    part = strings[at:at + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array([size] * len(part), pa.int32()), pa.array(part, pa.binary()).cast(pa.string()),
-                                                      pa.array([counter[s] for s in part], pa.int64())], names=["lang", "size", "phrase", "n"])
+                lists = defaultdict(list)
+                for phrase in sorted(counter):
+                    lists[zlib.crc32(phrase[:phrase.find(b" ") + 3] if size > 1 else phrase[:4]) % buckets].append(phrase)
+                where = list(lists)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(where, pa.int32()), pa.array([lang] * len(where), pa.string()), pa.array([size] * len(where), pa.int32()),
+                    pa.array([zlib.compress(b"\n".join(lists[k]), 1) for k in where], pa.binary()),
+                    pa.array([zlib.compress(np.fromiter(map(counter.__getitem__, lists[k]), "<u8", len(lists[k])).view(np.uint8).reshape(-1, 8).T.tobytes(), 1) for k in where], pa.binary())],
+                    names=["bucket", "lang", "size", "phrases", "n"])
 
         for langs, words in _blocks(batches):
             strings = words.whole.translate(_PLAIN).split()
@@ -234,7 +241,21 @@ def counts(rows: DataFrame, maps: list) -> DataFrame:
                 met.clear()
         yield from flush()
 
-    return mapped(rows, run, "lang string, size int, phrase string, n bigint").groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
+    def reduce(group: pa.Table) -> pa.Table:
+        met = defaultdict(Counter)
+        for batch in group.to_batches(max_chunksize=64):
+            for r in batch.to_pylist():
+                counter, phrases = met[r["lang"], r["size"]], zlib.decompress(r["phrases"]).split(b"\n")
+                sent = np.frombuffer(zlib.decompress(r["n"]), np.uint8).reshape(8, -1).T.copy().view("<u8").ravel().tolist()
+                for phrase, n in zip(phrases, sent):
+                    counter[phrase] += n
+        kept = [(lang, size, phrase, n) for (lang, size), counter in met.items() for phrase, n in counter.items() if n >= support or not size]
+        columns = list(zip(*kept)) or [[]] * 4
+        return pa.table({"lang": pa.array(columns[0], pa.string()), "size": pa.array(columns[1], pa.int32()),
+                         "phrase": pa.array(columns[2], pa.binary()).cast(pa.string()), "n": pa.array(columns[3], pa.int64())})
+
+    sent = mapped(rows, run, "bucket int, lang string, size int, phrases binary, n binary")
+    return sent.groupBy("bucket").applyInArrow(reduce, "lang string, size int, phrase string, n bigint")
 
 
 def mined(docs: DataFrame, support: int = 10, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -248,7 +269,7 @@ def mined(docs: DataFrame, support: int = 10, text: str = "text", lang: str = "l
     maps = []
     for _ in range(LONGEST):
         maps.append(mine(rows, maps, support, bits, bucket_bits, width))
-    return store(counts(rows, maps).where((F.col("n") >= support) | (F.col("size") == 0)), "phrases")
+    return store(counts(rows, maps, support, 1 << bucket_bits), "phrases")
 
 
 def scored(found: DataFrame) -> DataFrame:
