@@ -58,7 +58,8 @@ def best_within(left: DataFrame, right: DataFrame, radius_m: float, order, *, le
     there, so a crowded spot is one row for each of its cells, however many rows lie in them.
     """
     (alat, alon), (blat, blon) = left_point, right_point
-    placed = _with_cell(right.dropna(subset=[blat, blon]), level, blat, blon).withColumn("_row", F.struct(*right.columns))
+    # read by both the cells and the single rows: worked out once
+    placed = cut_lineage(_with_cell(right.dropna(subset=[blat, blon]), level, blat, blon)).withColumn("_row", F.struct(*right.columns))
     cells = placed.groupBy("_cy", "_cx").agg(
         F.min_by("_row", order).alias("_first"), F.min(blat).alias("s"), F.max(blat).alias("n"), F.min(blon).alias("w"), F.max(blon).alias("e"))
     middle = [(F.col("s") + F.col("n")) / 2, (F.col("w") + F.col("e")) / 2]
