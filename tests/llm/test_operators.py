@@ -332,8 +332,7 @@ def test_syncmers():
 
 def test_neighbours(spark, docs, nothing):
     def pairs(keys, bodies, nexts):
-        import pyarrow as pa
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(bodies), pa.array(nexts)], names=["key", "text", "next"])
+                return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(bodies), pa.array(nexts)], names=["key", "text", "next"])
 
     def run(df):
         return [(r.key, bytes(r.text).decode(), bytes(r.next).decode()) for r in neighbours.with_next(df, pairs, "key bigint, text binary, next binary").collect()]
@@ -453,6 +452,12 @@ def test_lm_scores_whatever_is_held(docs, monkeypatch):
     assert [x[3] for x in found[0]] == pytest.approx([x[3] for x in found[1]], rel=1e-3)
 
 
+def test_lm_weights_are_trained_on_every_training_text(docs):
+    rows = lm.encoded(docs, F.col("doc_id") != 11, BYTES, 50256)
+    model, _ = lm.learn(rows, BYTES, 50256)
+    assert model.trained_ids == sum(len(r["ids"]) // 2 for r in shown(rows) if r["learns"]) > 0
+
+
 def lowered(text):
     return [w.decode() for w in (text or "").encode().lower().split()]
 
