@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ringside.llm.common import blocks, mapped, ship
+from ringside.llm.common import KEPT, blocks, mapped, ship
 
 ORDER, MIN_COUNT = 4, 2
 SAMPLE_DOCS, SAMPLE_BYTES = 160, 1 << 20
@@ -185,6 +185,7 @@ class Walker:
 
 
 _WALKERS: dict[int, tuple[Model, Walker]] = {}
+KEPT.append(_WALKERS)
 
 
 def walker(model: Model) -> Walker:

@@ -27,6 +27,8 @@ from ringside.llm.shingles import jaccard, shingle_sets
 
 WORDS, THRESHOLD = 5, 0.8
 COMPONENTS, BANDS, ROWS = 128, 25, 5
+#: Bytes of texts that a worker takes at once; their words' and shingles' hashes take some twenty times as much.
+BLOCK = 1 << 20
 #: Members that meet one copy of their leader's text.
 MEMBERS = 400
 #: Leaders of a bucket in the first rounds; in each later one there are MORE times as many.
@@ -81,7 +83,7 @@ def signed(rows: DataFrame) -> DataFrame:
     """rid, digest of the shingle set, number of shingles, band keys and parities for `rows` (rid, text)."""
     def run(batches):
         known: dict[bytes, np.ndarray] = {}
-        for block, texts in blocks(batches):
+        for block, texts in blocks(batches, most=BLOCK):
             digests, sizes, keys, odd = [], [], [], []
             for elements, _ in shingle_sets(texts, WORDS):
                 digest = hashlib.blake2b(elements.tobytes(), digest_size=16).digest()
@@ -115,7 +117,7 @@ def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def run(batches):
         lead, own = None, None
-        for block, bodies in blocks(batches):
+        for block, bodies in blocks(batches, most=BLOCK):
             leaders, follows, members = (block.column(i).to_pylist() for i in range(3))
             rows = []
             for (elements, _), leader, follower, member in zip(shingle_sets(bodies, WORDS), leaders, follows, members):

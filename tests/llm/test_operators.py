@@ -4,15 +4,17 @@ import hashlib
 import io
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from ringside.llm import attention, bpe, components, exact_dedup, files, langid, lm, minhash, neighbours, packing, queries, ring, shingles, subwords, syncmers, token_files, warc
+from ringside.llm import attention, bpe, common, components, exact_dedup, files, langid, lm, minhash, neighbours, packing, queries, ring, shingles, subwords, syncmers, token_files, warc
 
 WORDS = queries.VOCABULARY
 BYTES = queries.public_tokenizers.path("byte_bpe_50k.json")
@@ -332,7 +334,8 @@ def test_syncmers():
 
 def test_neighbours(spark, docs, nothing):
     def pairs(keys, bodies, nexts):
-                return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(bodies), pa.array(nexts)], names=["key", "text", "next"])
+        import pyarrow as pa
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(bodies), pa.array(nexts)], names=["key", "text", "next"])
 
     def run(df):
         return [(r.key, bytes(r.text).decode(), bytes(r.next).decode()) for r in neighbours.with_next(df, pairs, "key bigint, text binary, next binary").collect()]
@@ -458,6 +461,36 @@ def test_lm_weights_are_trained_on_every_training_text(docs):
     assert model.trained_ids == sum(len(r["ids"]) // 2 for r in shown(rows) if r["learns"]) > 0
 
 
+def test_signing_holds_few_texts_at_once(docs, monkeypatch):
+    taken = []
+    monkeypatch.setattr(minhash, "mapped", lambda rows, run, schema: taken.append(run))
+    minhash.signed(docs.select(F.col("doc_id").alias("rid"), "text"))
+    draw = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in draw.integers(0, 50_000, 300)) for _ in range(2000)]  # 4 MB
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["rid", "text"])
+    tracemalloc.start()
+    signed = list(taken[0](iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(b.num_rows for b in signed) == len(texts) and peak < 60_000_000
+
+
+def test_a_worker_lets_go_of_other_operators_tables(docs):
+    def held(batches):
+        langid._WALKERS[0] = subwords._HELD["a", "b"] = "of the tasks before"
+        common.take_over("ringside.llm.langid")
+        langid._WALKERS[0] = "tables"
+        common.take_over("ringside.llm.langid")
+        same = len(langid._WALKERS)
+        for batch in batches:
+            pass
+        common.take_over("ringside.llm.minhash")
+        yield pa.RecordBatch.from_arrays([pa.array([same]), pa.array([len(langid._WALKERS) + len(subwords._HELD)])], names=["same", "others"])
+
+    found = common.mapped(docs.coalesce(1).select("doc_id"), held, "same long, others long").first()
+    assert (found.same, found.others) == (1, 0)
+
+
 def lowered(text):
     return [w.decode() for w in (text or "").encode().lower().split()]
 
