@@ -18,13 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ringside.llm import files, subwords
-from ringside.llm.common import mapped, new_path, spread, store
+from ringside.llm.common import blocks, mapped, new_path, spread, store
 
 MAGIC = b"RSRANKS1"
 #: Ids meant for one file; a file is closed at twice as many.
 FILE_IDS = 4_000_000
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) % 4 + 1
 _BYTES = np.arange(4)
+#: Bytes of text in which a word is looked up once when encoding.
+BLOCK = 8 << 20
 
 
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -49,12 +51,11 @@ def frequency_order(tokens: DataFrame, width: int) -> np.ndarray:
     """All ids that occur, most frequent first, ties by id; at most one row for each id of the vocabulary."""
     def run(batches):
         total = np.zeros(0, np.int64)
-        for batch in batches:
-            for ids in batch.column(0):
-                counts = np.bincount(np.frombuffer(ids.as_py(), f"<u{width}"))
-                if len(counts) > len(total):
-                    total = np.pad(total, (0, len(counts) - len(total)))
-                total[:len(counts)] += counts
+        for _, bodies in blocks(batches, "ids"):
+            counts = np.bincount(np.frombuffer(b"".join(bodies), f"<u{width}"))
+            if len(counts) > len(total):
+                total = np.pad(total, (0, len(counts) - len(total)))
+            total[:len(counts)] += counts
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["id", "n"])
 
@@ -70,7 +71,7 @@ def write(docs: DataFrame, path: str, end: int = 1, key: str = "doc_id", text: s
     """
     spark, width = docs.sparkSession, subwords.id_width(path)
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.monotonically_increasing_id().alias("rid"), docs[f"`{text}`"].alias("text"))
-    tokens = store(subwords.encoded(rows, path, end, "text", ("key", "rid")).drop("part", "at"), "ids", "zstd")
+    tokens = store(subwords.encoded(rows, path, end, "text", ("key", "rid"), BLOCK).drop("part", "at"), "ids", "zstd")
     order = frequency_order(tokens, width)
     folder = new_path(spark, "token-files")
     files.make_folder(folder)

@@ -491,6 +491,30 @@ def test_a_worker_lets_go_of_other_operators_tables(docs):
     assert (found.same, found.others) == (1, 0)
 
 
+def test_words_are_looked_up_once_a_block():
+    class Counting(dict):
+        looks = 0
+
+        def __getitem__(self, key):
+            Counting.looks += 1
+            return super().__getitem__(key)
+
+        def get(self, key, other=None):
+            Counting.looks += 1
+            return super().get(key, other)
+
+        def __contains__(self, key):
+            Counting.looks += 1
+            return super().__contains__(key)
+
+    encode = subwords.WordIds(lambda words: [[len(w), 7] for w in words], 2, None)
+    text = b" one  three\nthree five, " * 3
+    want = encode([text, b"", b"five,"])
+    assert [np.frombuffer(x, "<u2").tolist() for x in want] == [[3, 7, 5, 7, 5, 7, 5, 7] * 3, [], [5, 7]]
+    encode.known = Counting(encode.known)
+    assert encode([text, b"", b"five,"]) == want and Counting.looks == 3
+
+
 def lowered(text):
     return [w.decode() for w in (text or "").encode().lower().split()]
 
