@@ -2,8 +2,10 @@
 import collections
 import hashlib
 import io
+import os
 import random
 import re
+import time
 import tracemalloc
 import zlib
 
@@ -461,6 +463,50 @@ def test_lm_weights_are_trained_on_every_training_text(docs):
     assert model.trained_ids == sum(len(r["ids"]) // 2 for r in shown(rows) if r["learns"]) > 0
 
 
+def test_lm_keeps_no_intermediate_tables_or_shuffle_files(spark, docs, monkeypatch):
+    folder, context = common.shared_folder(spark).removeprefix("file:"), spark.sparkContext
+
+    def tables():
+        return collections.Counter(name.rsplit("-", 1)[0].split("-")[0] for name in os.listdir(folder))
+
+    def shuffled():
+        files = context._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").split()
+        return {f for f in files if "shuffle_" in f}
+
+    monkeypatch.setattr(lm, "EDGES", 5)
+    before, kept = tables(), shuffled()
+    rows = lm.encoded(docs, F.col("doc_id") != 11, BYTES, 50256)
+    model, words = lm.learn(rows, BYTES, 50256)
+    assert tables() - before == {"ids": 1, "edges": 1, "ways": 1}
+    for _ in range(50):  # they are removed beside the work
+        if not shuffled() - kept:
+            break
+        time.sleep(0.2)
+    assert not shuffled() - kept
+    scores = lm.scored(rows, model, words)
+    assert tables() - before == {"ids": 1, "edges": 1, "ways": 1, "scores": 1}
+    # nine bytes for each way on that isn't held, whatever the text
+    ways = [(len(r["values"]), len(r["spared"]), len(r["marks"])) for r in shown(model.answered[1])]
+    assert all(a == b == 4 * c for a, b, c in ways) and sum(c for _, _, c in ways) > 50
+    assert scores.count() == docs.count()
+
+
+def test_lm_scores_other_rows_like_its_own(docs, monkeypatch):
+    monkeypatch.setattr(lm, "EDGES", 5)
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 300)
+    monkeypatch.setattr(lm, "RANGE_BYTES", 100)
+    rows = lm.encoded(docs, F.col("doc_id") % 3 == 0, BYTES, 50256)
+    model, words = lm.learn(rows, BYTES, 50256)
+    own = shown(lm.scored(rows, model, words))
+    others = shown(lm.scored(lm.encoded(docs, F.lit(False), BYTES, 50256), model, words))
+
+    def told(found):
+        return sorted((r["n_tokens"], r["n_known"], r["base_score"], r["score"]) for r in found)
+
+    assert [x[:2] for x in told(own)] == [x[:2] for x in told(others)]
+    assert np.allclose([x[2:] for x in told(own)], [x[2:] for x in told(others)], rtol=1e-6)
+
+
 def test_signing_holds_few_texts_at_once(docs, monkeypatch):
     taken = []
     monkeypatch.setattr(minhash, "mapped", lambda rows, run, schema: taken.append(run))
