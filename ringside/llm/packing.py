@@ -14,6 +14,9 @@ from ringside.llm import subwords
 from ringside.llm.common import mapped, store
 
 LENGTH = 2048
+#: Words of a generation that a worker remembers. An executor may keep more workers than it has cores, each with its
+#: own words, beside what other operators left in its JVM.
+REMEMBERED = 125_000
 
 
 def placed(tokens: DataFrame) -> DataFrame:
@@ -59,5 +62,5 @@ def cut(tokens: DataFrame, width: int, length: int = LENGTH, key: str = "doc_id"
 def packed(docs: DataFrame, path: str, end: int = 1, length: int = LENGTH, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Pieces of all documents; every sequence is full but the last. Null texts are empty: their end id alone.
     Rows with a null key are packed like others; an empty table gives no pieces."""
-    tokens = store(subwords.encoded(docs, path, end, text, (key,)), "ids")
+    tokens = store(subwords.encoded(docs, path, end, text, (key,), remembered=REMEMBERED), "ids")
     return cut(placed(tokens), subwords.id_width(path), length, key)

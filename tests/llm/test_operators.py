@@ -507,6 +507,25 @@ def test_lm_scores_other_rows_like_its_own(docs, monkeypatch):
     assert np.allclose([x[2:] for x in told(own)], [x[2:] for x in told(others)], rtol=1e-6)
 
 
+def test_packing_remembers_few_words(spark, monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 300, raising=False)
+    taken = []
+    monkeypatch.setattr(subwords, "mapped", lambda rows, run, schema: taken.append(run) or rows)
+    monkeypatch.setattr(packing, "store", lambda df, label: df)
+    monkeypatch.setattr(packing, "placed", lambda tokens: tokens)
+    monkeypatch.setattr(packing, "cut", lambda *a: None)
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: type("", (), {"partitionId": lambda self: 0})())
+    subwords._HELD.clear()
+    packing.packed(spark.createDataFrame([], "doc_id long, text string"), WORDS)
+    texts = [" ".join(f"w{i}x{j}" for j in range(50)) for i in range(200)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([i]), pa.array([t])], names=["doc_id", "_text"]) for i, t in enumerate(texts)]
+    found = [row for b in taken[0](iter(batches)) for row in b.column(4).to_pylist()]
+    held = next(iter(subwords._HELD.values()))
+    assert len(held.known) <= 300 and len(held.older) <= 300
+    subwords._HELD.clear()
+    assert found == [ids + (1).to_bytes(2, "little") for ids in subwords.library(WORDS)([t.encode() for t in texts])]
+
+
 def test_signing_holds_few_texts_at_once(docs, monkeypatch):
     taken = []
     monkeypatch.setattr(minhash, "mapped", lambda rows, run, schema: taken.append(run))
