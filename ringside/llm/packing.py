@@ -14,9 +14,9 @@ from ringside.llm import subwords
 from ringside.llm.common import mapped, store
 
 LENGTH = 2048
-#: Words of a generation that a worker remembers. An executor may keep more workers than it has cores, each with its
-#: own words, beside what other operators left in its JVM.
-REMEMBERED = 125_000
+#: Words of a generation that a worker remembers, and bytes of text in which a word is looked up once, beside other
+#: operators: an executor may keep more workers than it has cores, each with its own words, and what others left in its JVM.
+REMEMBERED, BLOCK = 125_000, 2 << 20
 
 
 def placed(tokens: DataFrame) -> DataFrame:
@@ -59,8 +59,9 @@ def cut(tokens: DataFrame, width: int, length: int = LENGTH, key: str = "doc_id"
     return mapped(rows, run, schema)
 
 
-def packed(docs: DataFrame, path: str, end: int = 1, length: int = LENGTH, key: str = "doc_id", text: str = "text") -> DataFrame:
+def packed(docs: DataFrame, path: str, end: int = 1, length: int = LENGTH, key: str = "doc_id", text: str = "text", remembered: int | None = None, most: int | None = None) -> DataFrame:
     """Pieces of all documents; every sequence is full but the last. Null texts are empty: their end id alone.
-    Rows with a null key are packed like others; an empty table gives no pieces."""
-    tokens = store(subwords.encoded(docs, path, end, text, (key,), remembered=REMEMBERED), "ids")
+    Rows with a null key are packed like others; an empty table gives no pieces. Pieces don't depend on `remembered` and
+    `most` (None for REMEMBERED and BLOCK): a job that packs and does nothing else has room for more."""
+    tokens = store(subwords.encoded(docs, path, end, text, (key,), most or BLOCK, remembered or REMEMBERED), "ids")
     return cut(placed(tokens), subwords.id_width(path), length, key)

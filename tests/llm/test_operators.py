@@ -526,6 +526,28 @@ def test_packing_remembers_few_words(spark, monkeypatch):
     assert found == [ids + (1).to_bytes(2, "little") for ids in subwords.library(WORDS)([t.encode() for t in texts])]
 
 
+def test_packing_alone_encodes_a_word_once(spark, monkeypatch):
+    taken, asked = [], collections.Counter()
+    monkeypatch.setattr(packing, "REMEMBERED", 100)
+    monkeypatch.setattr(subwords, "mapped", lambda rows, run, schema: taken.append(run) or rows)
+    monkeypatch.setattr(packing, "store", lambda df, label: df)
+    monkeypatch.setattr(packing, "placed", lambda tokens: tokens)
+    monkeypatch.setattr(packing, "cut", lambda *a: None)
+    monkeypatch.setattr(queries, "table", lambda *a: spark.createDataFrame([], "doc_id long, text string"))
+    monkeypatch.setattr(queries, "_with_crc", lambda rows, width: spark.range(0).selectExpr(*[f"id AS {c}" for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]))
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: type("", (), {"partitionId": lambda self: 0})())
+    subwords._HELD.clear()
+    queries.op7_packing(spark, "")
+    encode = subwords.library(WORDS)
+    encode_words = encode.encode_words
+    encode.encode_words = lambda words: asked.update(words) or encode_words(words)
+    for turn in range(3):
+        batches = [pa.RecordBatch.from_arrays([pa.array([i]), pa.array([" ".join(f"w{i}x{j}" for j in range(50))])], names=["doc_id", "_text"]) for i in range(20)]
+        assert sum(b.num_rows for b in taken[0](iter(batches))) == 20
+    subwords._HELD.clear()
+    assert len(asked) == 1000 and set(asked.values()) == {1}
+
+
 def test_signing_holds_few_texts_at_once(docs, monkeypatch):
     taken = []
     monkeypatch.setattr(minhash, "mapped", lambda rows, run, schema: taken.append(run))
