@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ringside.llm.common import blocks, mapped, mixed, random_words, store
+from ringside.llm.common import blocks, grouped, mapped, mixed, random_words, store
 
 #: Shards, and the longest phrase.
 SHARDS, LONGEST = 3, 3
@@ -30,7 +30,9 @@ BITS, LEAST_BITS = 28, 20
 #: Phrases that a task holds before it sends their counts on, and text bytes meant for one bucket of keys.
 HELD, BUCKET_BYTES = 2_500_000, 4 << 20
 #: Distinct strings that a task holds in the exact count.
-STRINGS = 500_000
+STRINGS = 300_000
+#: Text bytes of one block; a block takes some fifty times as many bytes.
+BLOCK = 1 << 18
 
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 UNKNOWN = "und"
@@ -105,7 +107,7 @@ def _columns(docs: DataFrame, text: str, lang: str) -> DataFrame:
 
 def _blocks(batches):
     """(languages, Words) of blocks of texts."""
-    for block, texts in blocks(batches, "_text", 1 << 20):
+    for block, texts in blocks(batches, "_text", BLOCK):
         langs = block.column(0).to_pylist()
         salts = {name: salt_of(name) for name in set(langs)}
         yield langs, Words(texts, np.array([salts[name] for name in langs], np.uint64))
@@ -138,13 +140,22 @@ def mine(rows: DataFrame, maps: list, support: int, bits: int, bucket_bits: int,
         found = [_map(m) for m in maps]
 
         def flush():
-            keys, counts = np.unique(np.concatenate(kept) >> np.uint64(64 - 8 * width), return_counts=True)
-            counts = np.minimum(counts, support).astype(kind)
-            bucket = (keys >> np.uint64(8 * width - bucket_bits)).astype(np.int64)
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(keys)]]).tolist()
-            planes = keys.astype("<u8").view(np.uint8).reshape(-1, 8)
-            for at in range(0, len(cuts) - 1, 256):
-                spans = [(a, b) for a, b in zip(cuts[at:at + 256], cuts[at + 1:at + 257])]
+            every = np.concatenate(kept)
+            kept.clear()
+            every >>= np.uint64(64 - 8 * width)
+            every.sort()
+            # buckets in turn, so that one sorted array is all that is held whole
+            ends = [*np.searchsorted(every, np.arange(0, 1 << bucket_bits, 1 << max(0, bucket_bits - 5), dtype=np.uint64) << np.uint64(8 * width - bucket_bits)).tolist(), len(every)]
+            for lo, hi in zip(ends, ends[1:]):
+                if lo == hi:
+                    continue
+                keys = every[lo:hi]
+                first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+                counts = np.minimum(np.diff(np.append(first, len(keys))), support).astype(kind)
+                keys = keys[first]
+                bucket = (keys >> np.uint64(8 * width - bucket_bits)).astype(np.int64)
+                cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(keys)]]).tolist()
+                planes, spans = keys.astype("<u8").view(np.uint8).reshape(-1, 8), list(zip(cuts, cuts[1:]))
                 yield pa.RecordBatch.from_arrays([
                     pa.array([int(bucket[a]) for a, _ in spans], pa.int64()), pa.array([shard] * len(spans), pa.int32()),
                     pa.array([planes[a:b, :width].T.tobytes() for a, b in spans], pa.binary()), pa.array([counts[a:b].tobytes() for a, b in spans], pa.binary())], names=["bucket", "shard", "keys", "n"])
@@ -186,7 +197,7 @@ def mine(rows: DataFrame, maps: list, support: int, bits: int, bucket_bits: int,
     shares = mapped(rows, count, "bucket bigint, shard int, keys binary, n binary")
     found = np.zeros((1 << bits) // 8, np.uint8)
     size = (1 << bits - bucket_bits) // 8
-    for r in shares.groupBy("bucket").applyInArrow(reduce, "bucket bigint, bits binary").collect():  # 2^bits bits in all
+    for r in grouped(shares, "bucket", reduce, "bucket bigint, bits binary").collect():  # 2^bits bits in all
         found[r.bucket * size:(r.bucket + 1) * size] = np.frombuffer(zlib.decompress(r.bits), np.uint8)
     return uuid.uuid4().hex, rows.sparkSession.sparkContext.broadcast(found.tobytes())
 
@@ -210,8 +221,8 @@ def counts(rows: DataFrame, maps: list, support: int, buckets: int) -> DataFrame
         met = defaultdict(Counter)
 
         def flush():
-            for (lang, size), counter in met.items():
-                lists = defaultdict(list)
+            for lang, size in list(met):
+                lists, counter = defaultdict(list), met.pop((lang, size))
                 for phrase in sorted(counter):
                     lists[zlib.crc32(phrase[:phrase.find(b" ") + 3] if size > 1 else phrase[:4]) % buckets].append(phrase)
                 where = list(lists)
@@ -238,7 +249,6 @@ def counts(rows: DataFrame, maps: list, support: int, buckets: int) -> DataFrame
                         counter.update([b" ".join(strings[i:i + size]) for i in first[a:b]])
             if sum(map(len, met.values())) > STRINGS:
                 yield from flush()
-                met.clear()
         yield from flush()
 
     def reduce(group: pa.Table) -> pa.Table:
@@ -255,7 +265,7 @@ def counts(rows: DataFrame, maps: list, support: int, buckets: int) -> DataFrame
                          "phrase": pa.array(columns[2], pa.binary()).cast(pa.string()), "n": pa.array(columns[3], pa.int64())})
 
     sent = mapped(rows, run, "bucket int, lang string, size int, phrases binary, n binary")
-    return sent.groupBy("bucket").applyInArrow(reduce, "lang string, size int, phrase string, n bigint")
+    return grouped(sent, "bucket", reduce, "lang string, size int, phrase string, n bigint")
 
 
 def mined(docs: DataFrame, support: int = 10, text: str = "text", lang: str = "lang") -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from ringside.llm import attention, bpe, common, components, exact_dedup, files, langid, lm, minhash, neighbours, packing, queries, ring, shingles, subwords, syncmers, token_files, warc
+from ringside.llm import attention, bpe, collocations, common, components, exact_dedup, files, langid, lm, minhash, neighbours, packing, queries, ring, shingles, subwords, syncmers, token_files, warc
 
 WORDS = queries.VOCABULARY
 BYTES = queries.public_tokenizers.path("byte_bpe_50k.json")
@@ -548,6 +548,48 @@ def test_packing_alone_encodes_a_word_once(spark, monkeypatch):
     assert len(asked) == 1000 and set(asked.values()) == {1}
 
 
+@pytest.mark.parametrize("bucket_bits", [3, 6, 8])
+def test_mining_holds_its_phrases_once(spark, monkeypatch, bucket_bits):
+    taken, width = [], 5
+    monkeypatch.setattr(collocations, "HELD", 1_000_000)
+
+    class Caught(Exception):
+        pass
+
+    def caught(rows, run, schema):
+        taken.append(run)
+        raise Caught
+
+    monkeypatch.setattr(collocations, "mapped", caught)
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: type("", (), {"partitionId": lambda self: 1})())
+    with pytest.raises(Caught):
+        collocations.mine(None, [], 10, 20, bucket_bits, width)
+    draw = np.random.default_rng(5)
+    texts = [" ".join(map(str, draw.integers(0, 700_000, 10_000).tolist())) for _ in range(100)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * len(texts)), pa.array(texts)], names=["_lang", "_text"])
+    sent, tracked = collections.Counter(), []
+    tracemalloc.start()
+    for b in taken[0](iter([batch])):
+        tracked.append(b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    for b in tracked:
+        for r in b.to_pylist():
+            planes, n = np.frombuffer(r["keys"], np.uint8).reshape(width, -1).T, np.frombuffer(r["n"], np.uint8)
+            whole = np.zeros((len(n), 8), np.uint8)
+            whole[:, :width] = planes
+            keys = whole.view("<u8").ravel()
+            assert r["shard"] == 1 and (keys >> np.uint64(8 * width - bucket_bits) == r["bucket"]).all()
+            sent.update(dict(zip(keys.tolist(), n.tolist())))
+    salt = np.array([collocations.salt_of("en")], np.uint64)
+    words = collections.Counter(w for t in texts for w in t.split())
+    keys = collocations.Words([" ".join(words).encode()], salt).keys >> np.uint64(64 - 8 * width)
+    want = collections.Counter()
+    for k, n in zip(keys.tolist(), words.values()):
+        want[k] += n
+    assert sent == collections.Counter({k: min(n, 10) for k, n in want.items()}) and peak < 40_000_000
+
+
 def test_signing_holds_few_texts_at_once(docs, monkeypatch):
     taken = []
     monkeypatch.setattr(minhash, "mapped", lambda rows, run, schema: taken.append(run))
