@@ -415,6 +415,51 @@ def test_attention_is_a_distribution_and_causal():
         assert total <= 1 + 1e-4 and total > 0.9
 
 
+def test_attention_is_what_plain_loops_say():
+    size, draw = 3 * attention.OWN, np.random.default_rng(4)
+    starts = np.arange(size) % 3 == 0
+    f = attention.Frequencies.of(np.arange(size, 0, -1).astype(float), starts, draw.integers(0, 9, (attention.OWN + 2, attention.OWN + 1)).astype(float))
+    w, lengths = {k: v + draw.normal(0, 0.1, v.shape).astype(np.float32) for k, v in attention.start().items()}, np.array([45, 1])
+    ranks, trie = draw.integers(0, size, 46), (draw.random(46).astype(np.float32), draw.integers(0, attention.TRUSTS, 46))
+    text, first = attention.windows(lengths)
+    previous, target, likely, trust, scored = attention.gathered(ranks, trie, lengths, text, first)
+    found, kept = attention.forward(w, f, previous, target, likely, trust, keep=True)
+    for b in range(len(text)):
+        inputs = [w["input"][attention.input_rows(previous[b, i:i + 1])[0]] + w["place"][i] for i in range(attention.WINDOW)]
+        looks = [np.split(x @ w["look"], 3) for x in inputs]
+        for i in range(attention.WINDOW):
+            heed = np.exp([looks[i][0] @ looks[j][1] / attention.WIDTH**0.5 for j in range(i + 1)])
+            state = inputs[i] + sum(h * looks[j][2] for j, h in enumerate(heed / heed.sum())) @ w["mix"]
+            e, t, before = np.exp(state @ w["head"] + w["bias"][0]), target[b, i], previous[b, i]
+            classes, gates = e[:attention.CLASSES], e[attention.CLASSES:] * np.exp(w["trust"][trust[b, i]])
+            begins, c = starts[t], f.classes[t]
+            row = attention.OWN + 1 if before < 0 else min(before, attention.OWN)
+            ways = [classes[c] / classes.sum() * f.inside[t], f.after[row, min(t, attention.OWN)] * f.share[t],
+                    likely[b, i] * (classes[c] / classes[:f.start_classes].sum() * f.inside[t] if begins else 1), f.alone[t]]
+            assert found[b * attention.WINDOW + i] == pytest.approx(gates @ ways / gates.sum(), rel=1e-3)
+    g = attention.backward(w, f, kept, found, scored)
+    met = set(attention.input_rows(previous.ravel()).tolist())
+    assert set(np.flatnonzero(np.abs(g["input"]).sum(1)).tolist()) <= met and g["input"].shape == w["input"].shape
+
+
+def test_lm_prefixes_hold_little_beside_their_results():
+    starts = np.arange(65536) % 3 == 0
+    ids = np.random.default_rng(1).integers(0, 5000, 600_000).astype("<u2")
+    ids[0] = 0
+    lm.prefixes(ids, starts)
+    tracemalloc.start()
+    hashes, tails = lm.prefixes(ids, starts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 75 * len(ids)  # 89 bytes an id when a million ids were hashed at once
+    for at in (0, lm._CHUNK - 1, lm._CHUNK, 599_000):  # and they are the same wherever a chunk ends
+        low = int(np.flatnonzero(starts[ids[:at]])[-1]) if at else 0
+        some = lm.prefixes(ids[low:at + 50], starts)
+        assert (some[0][at - low + 1:] == hashes[at + 1:at + 50]).all() and (some[1][at - low + 2:] == tails[at + 2:at + 50]).all()
+    keys = hashes[:5000].view(np.uint64)
+    assert (lm._distinct(keys) == np.unique(keys)).all() and len(lm._distinct(keys[:0])) == 0
+
+
 def test_lm_words():
     starts = lm.vocabulary(BYTES, 50256)
     encode = subwords.library(BYTES, " ")
