@@ -13,7 +13,7 @@ import math
 from pyspark.sql import DataFrame, functions as F
 
 from ringside.functions import geo
-from ringside.session import cut_lineage
+from ringside.session import cut_lineage, shuffled
 
 c = F.col
 
@@ -38,10 +38,10 @@ def leader_groups(rows: DataFrame, radius_m: float, order, by=()) -> DataFrame:
     while not open_.isEmpty():
         # the first undecided row of each cell, told to every cell its own row can reach
         first = open_.groupBy(*by, "cy", "cx").agg(F.min("key").alias("first"))
-        heads = open_.join(first, [*by, "cy", "cx"]).where(c("key") == c("first"))
+        heads = open_.join(shuffled(first), [*by, "cy", "cx"]).where(c("key") == c("first"))
         around = heads.select(*by, "lat", "lon", "key", "cy", "cx", reach.alias("_r")).select(
             *by, "lat", "lon", "key", "cy", "cx", c("_r.cy").alias("ny"), c("_r.cx").alias("nx"))
-        seen = around.join(first.withColumnsRenamed({"cy": "ny", "cx": "nx"}), [*by, "ny", "nx"])
+        seen = around.join(shuffled(first.withColumnsRenamed({"cy": "ny", "cx": "nx"})), [*by, "ny", "nx"])
         new = cut_lineage(seen.groupBy(*by, "lat", "lon", "key", "cy", "cx").agg(F.min("first").alias("least"))
                           .where(c("least") == c("key")).drop("least"))
         leaders = new if leaders is None else leaders.unionByName(new)
@@ -51,10 +51,10 @@ def leader_groups(rows: DataFrame, radius_m: float, order, by=()) -> DataFrame:
 
     # each spot goes to the earliest leader within reach
     told = _reaching(leaders, reach, by)
-    held = spots.join(told, [*by, "cy", "cx"]).where(
+    held = spots.join(shuffled(told), [*by, "cy", "cx"]).where(
         geo.haversine(c("llat"), c("llon"), c("lat"), c("lon")) <= radius_m)
     held = held.groupBy(*by, "lat", "lon").agg(F.min("lkey").alias("_leader"))
-    return rows.join(held, [*by, "lat", "lon"]).withColumn("leader", c("_leader.id")).drop("_leader").select(
+    return rows.join(shuffled(held), [*by, "lat", "lon"]).withColumn("leader", c("_leader.id")).drop("_leader").select(
         *rows.columns, "leader")
 
 
@@ -70,4 +70,4 @@ def _out_of_reach(open_, leaders, radius_m, reach, by):
     told = _reaching(leaders, reach, by).withColumnsRenamed({k: f"_l_{k}" for k in keys})
     near = [c(k) == c(f"_l_{k}") for k in keys]
     near.append(geo.haversine(c("llat"), c("llon"), c("lat"), c("lon")) <= radius_m)
-    return open_.join(told, near, "left_anti")
+    return open_.join(shuffled(told), near, "left_anti")

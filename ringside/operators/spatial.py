@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ringside.functions import geo
 from ringside.operators import ranking
-from ringside.session import cut_lineage
+from ringside.session import cut_lineage, shuffled
 
 
 def _with_cell(points, level, lat, lon):
@@ -42,7 +42,7 @@ def within_radius(left: DataFrame, right: DataFrame, radius_m: float, *, by=(),
         on = [F.col("_ay") == F.col("_cy"), F.col("_ax") == F.col("_cx"),
               gap < radius_m if strict else gap <= radius_m]
         on += [F.col(f"_k{i}") == F.col(c) for i, c in enumerate(by)]
-        return placed.join(probe, on, how).drop("_cy", "_cx")
+        return placed.join(shuffled(probe), on, how).drop("_cy", "_cx")
     pairs = spread.join(placed, [*by, "_cy", "_cx"]).withColumn(
         "metres", geo.haversine(F.col(alat), F.col(alon), F.col(blat), F.col(blon)))
     near = F.col("metres") < radius_m if strict else F.col("metres") <= radius_m

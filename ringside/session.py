@@ -49,3 +49,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     place = new_folder(df.sparkSession, "table")
     df.write.parquet(place)
     return df.sparkSession.read.schema(df.schema).parquet(place)
+
+
+def shuffled(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the input: its join is sorted on both sides, never broadcast.
+
+    Spark takes a written table to be as large as its compressed file and an explode to add nothing, so a side of some
+    hundred MB can pass for a small one; it would be gathered and hashed on the driver.
+    """
+    return df.hint("merge")

@@ -175,6 +175,19 @@ def test_grouping_along_a_line_ends_soon_in_hash_order(spark, monkeypatch):
     assert len(rounds) / 2 < 12
 
 
+def test_joins_of_growing_sides_are_not_gathered_on_the_driver(spark, monkeypatch):
+    """However small the tables, neither the rounds nor their result plan a broadcast of leaders, firsts or probes."""
+    plans, cut = [], cluster.cut_lineage
+    planned = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(cluster, "cut_lineage", lambda df: planned(df) or cut(df))
+    rows = [(f"p{i:04}", i, float(y), float(x)) for i, (y, x) in enumerate(crowd(20, 60))]
+    found = cluster.leader_groups(spark.createDataFrame(rows, "id string, n int, lat double, lon double"), 80.0, ["n"])
+    planned(found)
+    a, b = frame(spark, crowd(21, 9), "a"), frame(spark, crowd(22, 9), "b")
+    planned(spatial.within_radius(a, b, 200.0, left_point=("a_lat", "a_lon"), right_point=("b_lat", "b_lon"), how="left_anti"))
+    assert len(plans) >= 5 and not [p for p in plans if "Broadcast" in p]
+
+
 def test_in_rings(spark):
     r = random.Random(11)
     points = [(47 + r.random() * 0.1, -1.5 + r.random() * 0.1) for _ in range(200)]
