@@ -248,11 +248,11 @@ def chord_of(metres) -> Column:
     return F.sin(F.least(metres / (2 * EARTH_M), F.lit(math.pi / 2))) * 2
 
 
-def chords_to_box(point, low, high) -> tuple[Column, Column]:
-    """Least and greatest straight distance of a point to a box given by its corners, in radii."""
+def chords_between(low, high, other_low, other_high) -> tuple[Column, Column]:
+    """Least and greatest straight distance of two boxes given by their corners, in radii; a point is a box of its own."""
     near, far = F.lit(0.0), F.lit(0.0)
-    for p, a, b in zip(point, low, high):
-        gap = F.greatest(a - p, p - b, F.lit(0.0))
-        reach = F.greatest(F.abs(p - a), F.abs(p - b))
+    for a, b, u, v in zip(low, high, other_low, other_high):
+        gap = F.greatest(u - b, a - v, F.lit(0.0))
+        reach = F.greatest(F.abs(b - u), F.abs(v - a))
         near, far = near + gap * gap, far + reach * reach
     return F.sqrt(near), F.sqrt(far)

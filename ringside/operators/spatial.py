@@ -156,11 +156,12 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int, *, by=(), within_
     Returns the query columns with c_id, metres (to the millimetre) and rank; ties go to the
     smaller c_id.
 
-    The candidates are packed into a tree of boxes (`Packed`); all queries go down it level by level. On each
-    level a query knows how many points its boxes hold and how far each box reaches at most, which
-    bounds the distance of the `need`-th candidate (k, plus those it will exclude); boxes that begin beyond
-    the bound are left out. A query so meets the points of a few leaves, also beside a spot where
-    very many lie together. Levels are as many as the logarithm of the input.
+    The candidates are packed into a tree of boxes (`Packed`); all queries go down it level by level, in blocks of
+    neighbours along the curve. On each level a block knows how many points its boxes hold and how far each box reaches
+    at most from any of its queries, which bounds the distance of the `need`-th candidate (k, plus those it will exclude);
+    boxes that begin beyond the bound are left out. Among the leaves of its block every query bounds its own way
+    likewise. A query so meets the points of a few leaves, also beside a spot where very many lie together. Levels are
+    as many as the logarithm of the input.
 
     A query with fewer than `need` candidates under its keys searches all of them. `exclude` is a predicate
     over both sides' columns; `need` is then an upper bound column. Queries sharing a
@@ -180,40 +181,63 @@ def pairs_met(queries, candidates, k, *, by=(), within_m=None, need=None) -> Dat
     need = (F.lit(k) if need is None else need).cast("long")
     asked = queries.dropna(subset=["q_id", "q_lat", "q_lon", *by]).withColumn("_need", need)
     asked = asked.join(tree.runs, by) if by else asked.withColumns({"_lo": F.lit(0).cast("long"), "_hi": F.lit(tree.size).cast("long")})
-    asked = cut_lineage(asked.withColumn("_q", F.monotonically_increasing_id()))
+    asked = _blocked(ranking.placed(asked.withColumn("_z", geo.along_curve(c("q_lat"), c("q_lon"))), ["_lo", "_z"], "_q"))
     slack = 3e-9    # two centimetres, in radii: more than rounding to millimetres and doubles can shift
     limit = F.lit(2.0 + slack) if within_m is None else geo.chord_of(F.lit(float(within_m))) + slack
-    held = ["_q", "_need", "_lo", "_hi", "_x", "_y", "_z"]
+    block, box = ["_b", "_lo", "_hi"], [f"{x}{i}" for i in (0, 1) for x in "xyz"]
+
+    def left_in(met, low, high, keys):
+        """Rows of (keys, box of a node) that a query, or a block of them, can't leave out; `_bound` is how far it has to look."""
+        first = c("kid") * c("_size")
+        own = F.least(c("_hi"), first + c("_size")) - F.greatest(c("_lo"), first)       # points of the query's own run
+        near, far = geo.chords_between(low, high, [c(x) for x in box[:3]], [c(x) for x in box[3:]])
+        met = met.withColumns({"_own": own, "_from": near, "_upto": far + slack}).where((c("_own") > 0) & (c("_from") <= c("_bound")))
+        of = Window.partitionBy(*keys)
+        so_far = F.sum("_own").over(of.orderBy("_upto").rangeBetween(Window.unboundedPreceding, 0))
+        met = met.withColumn("_so_far", so_far).withColumn("_bound", F.least("_bound", F.min(F.when(c("_so_far") >= c("_need"), c("_upto"))).over(of)))
+        return met.where(c("_from") <= c("_bound")).drop("_own", "_from", "_upto", "_so_far")
+
+    at = dict(zip("xyz", geo.on_sphere(c("q_lat"), c("q_lon"))))
+    corners = [f(at[x]).alias(f"_{x}{i}") for i, f in ((0, F.min), (1, F.max)) for x in "xyz"]
     # few bytes, much work: dealt to a stated number of tasks, which adaptive execution doesn't fold into one
     tasks = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    down = asked.select(*held[:4], *[x.alias(n) for x, n in zip(geo.on_sphere(c("q_lat"), c("q_lon")), held[4:])]).repartition(tasks, "_q").withColumns(
+    down = asked.groupBy(*block).agg(F.max("_need").alias("_need"), *corners).repartition(tasks, *block).withColumns(
         {"_bound": limit, "_node": F.lit(0).cast("bigint")})
+    held = down.columns[:-1]
+    low, high = ([c(f"_{x}{i}") for x in "xyz"] for i in (0, 1))
     for level in range(len(tree.levels) - 1, -1, -1):
         kids = tree.levels[level]
         kids = F.broadcast(kids) if level + 1 == len(tree.levels) else kids     # the root's: one row of FAN boxes
-        size = tree.held(level)
-
-        def seen(kid):
-            first = kid["kid"] * size
-            own = F.least(c("_hi"), first + size) - F.greatest(c("_lo"), first)     # of the query's own run
-            near, far = geo.chords_to_box([c("_x"), c("_y"), c("_z")], [kid[x] for x in ("x0", "y0", "z0")], [kid[x] for x in ("x1", "y1", "z1")])
-            return F.struct(kid["kid"].alias("_node"), own.alias("_own"), near.alias("_from"), (far + slack).alias("_upto"))
-
-        overlaps = lambda kid: (kid["kid"] * size < c("_hi")) & ((kid["kid"] + 1) * size > c("_lo"))
-        met = down.join(kids, "_node").select(*held, "_bound", F.transform(F.filter("kids", overlaps), seen).alias("seen"))
-        # a box with all that is needed bounds the rest before they become rows
-        full = F.array_min(F.transform(F.filter("seen", lambda s: s["_own"] >= c("_need")), lambda s: s["_upto"]))
-        met = met.withColumn("_bound", F.least("_bound", full))
-        met = met.select(*held, "_bound", F.inline(F.filter("seen", lambda s: s["_from"] <= c("_bound"))))
-        of = Window.partitionBy("_q")
-        so_far = F.sum("_own").over(of.orderBy("_upto").rangeBetween(Window.unboundedPreceding, 0))
-        met = met.withColumn("_so_far", so_far).withColumn("_bound", F.least("_bound", F.min(F.when(c("_so_far") >= c("_need"), c("_upto"))).over(of)))
-        down = met.where(c("_from") <= c("_bound")).select(*held, "_bound", "_node")
+        # the boxes become rows before anything is worked out: functions over arrays are interpreted, box by box
+        met = down.join(kids, "_node").select(*held, F.inline("kids")).withColumn("_size", F.lit(tree.held(level)).cast("bigint"))
+        down = left_in(met, low, high, block).withColumn("_node", c("kid"))
+        down = down.select(*held, "_node", *box) if level == 0 else down.select(*held, "_node")
+    # every query for itself among the leaves of its block
+    leaves = down.select(*block, "_bound", c("_node").alias("kid"), *box)
+    met = asked.withColumns({f"_{x}": v for x, v in at.items()}).join(shuffled(leaves), block).withColumn("_size", F.lit(tree.LEAF).cast("bigint"))
+    point = [c(f"_{x}") for x in "xyz"]
+    down = left_in(met, point, point, [*block, "_q"]).withColumn("_node", c("kid"))
     reach = F.asin(F.least(c("_bound") / 2, F.lit(1.0))) * (2 * geo.EARTH_M) + 0.01
-    down = down.select("_q", "_lo", "_hi", "_node", (reach if within_m is None else F.least(reach, F.lit(float(within_m)))).alias("_reach"))
-    whole = asked.drop("_need", "_lo", "_hi")
-    down = down.join(whole, "_q")
+    down = down.select("_q", "_lo", "_hi", "_node", *queries.columns, (reach if within_m is None else F.least(reach, F.lit(float(within_m)))).alias("_reach"))
     gap = F.round(geo.haversine(c("q_lat"), c("q_lon"), c("c_lat"), c("c_lon")), 3)
-    pairs = down.join(tree.points.drop(*by), "_node").where((c("rank") >= c("_lo")) & (c("rank") < c("_hi")))
+    pairs = down.join(shuffled(tree.points.drop(*by)), "_node").where((c("rank") >= c("_lo")) & (c("rank") < c("_hi")))
     pairs = pairs.drop("rank", "_lo", "_hi", "_node").withColumn("metres", gap).where(c("metres") <= c("_reach"))
     return pairs.select("_q", *queries.columns, "c_id", *[x for x in candidates.columns if x not in ("c_id", "c_lat", "c_lon", *by)], "metres")
+
+
+#: Queries in a row along the curve that go down the tree together.
+BLOCK = 64
+
+
+def _blocked(asked: DataFrame) -> DataFrame:
+    """Queries with their block: _b within a run of candidates.
+
+    BLOCK queries in curve order (_q) are parted by the quarters of the smallest curve cell that holds them all, so a
+    block never reaches over a jump of the curve.
+    """
+    of = Window.partitionBy("_row", "_lo", "_hi")
+    apart = F.min("_z").over(of).bitwiseXOR(F.max("_z").over(of))
+    shift = F.when(F.col("_apart") > 0, F.floor(F.log2("_apart") / 2).cast("int") * 2).otherwise(0)
+    rows = asked.withColumn("_row", F.floor(F.col("_q") / BLOCK).cast("bigint")).withColumn("_apart", apart).withColumn("_shift", shift)
+    quarter = F.expr("shiftright(_z, _shift) & 3")
+    return rows.withColumn("_b", F.col("_row") * 4 + quarter).drop("_row", "_apart", "_shift", "_z")

@@ -106,6 +106,25 @@ def test_nearest_under_keys_around_the_globe(spark):
     assert len(got) == len(q)
 
 
+def test_queries_go_down_in_blocks(spark, monkeypatch):
+    """Blocks hold at most BLOCK queries, none reaches over a jump of the curve, and boxes are met as rows, not in interpreted functions over arrays."""
+    monkeypatch.setattr(spatial, "BLOCK", 4)
+    r = random.Random(16)
+    asked = [(r.uniform(-90, 90), r.uniform(-180, 180)) for _ in range(60)] + [(47.2, -1.55)] * 20 + [(0.01, 0.01), (-0.01, -0.01)]
+    cands = [(r.uniform(-90, 90), r.uniform(-180, 180)) for _ in range(300)]
+    queries, candidates = frame(spark, asked, "q").withColumnRenamed("q", "q_id"), frame(spark, cands, "c").withColumnRenamed("c", "c_id")
+    whole = queries.withColumns({"_z": geo.along_curve(c("q_lat"), c("q_lon")), "_lo": F.lit(0), "_hi": F.lit(300)})
+    blocks = spatial._blocked(spatial.ranking.placed(whole, ["_lo", "_z"], "_q")).groupBy("_b").agg(F.count("*"), F.collect_set("q_id")).collect()
+    assert max(b[1] for b in blocks) == 4 and sum(b[1] for b in blocks) == 82 and not [b for b in blocks if {"q0080", "q0081"} <= set(b[2])]
+    met = spatial.pairs_met(queries, candidates, 3)
+    assert "lambda" not in met._jdf.queryExecution().optimizedPlan().toString().lower()
+    got = collections.defaultdict(list)
+    for x in spatial.nearest(queries, candidates, 3).collect():
+        got[x.q_id].append((x["rank"], x.c_id))
+    for i, q in enumerate(asked):
+        assert [ident for _, ident in sorted(got[f"q{i:04}"])] == [ident for _, ident in sorted((round(metres(q, p), 3), f"c{j:04}") for j, p in enumerate(cands))[:3]]
+
+
 def test_rings_crowded_in_a_spot_are_met_by_cell(spark):
     """5,000 rings within 50 m: a venue in reach of all meets a row a cell; venues at the edge find the same winner as a full scan."""
     r = random.Random(15)
