@@ -334,6 +334,26 @@ def test_syncmers():
     assert syncmers.likeness(prints[5], syncmers.parsed(syncmers.written(len(moved), *syncmers.anchors([moved])[0]))) > 0.8 > 0.1 > syncmers.likeness(prints[5], prints[6])
 
 
+def test_a_fingerprint_holds_every_anchor_of_a_long_text():
+    """A passage of 30 words that two long texts share is seen, and so is a small edit; the texts have thousands of anchors."""
+    shared, a, b = prose(31, 30), prose(32, 4000), prose(33, 4000)
+    one, two = a + " " + shared, b + " " + shared
+    (h, p), (g, q), (e, r) = syncmers.anchors([one, two, one.replace(shared, "")])
+    assert len(h) == len(slow_anchors(one)) > 2000 and dict(zip(h.tolist(), p.tolist())) == dict(slow_anchors(one))
+    assert set(syncmers.anchors([shared])[0][0].tolist()) <= set(h.tolist()) & set(g.tolist())
+    assert 0.99 < syncmers.alike(len(one), h, p, len(one), e, r) < 1
+    length, pairs = syncmers.parsed(syncmers.written(len(one), h, p))
+    assert (length, pairs) == (len(one), dict(zip(h.tolist(), p.tolist())))
+    assert syncmers.written(len(one), h, p) == " ".join([f"{len(one):x}", *(f"{x:08x}.{y:x}" for x, y in zip(h.tolist(), p.tolist()))])
+
+    def slow(n, x, m, y):
+        shifts = sorted(x[k] - y[k] for k in x.keys() & y.keys())
+        usual = shifts[len(shifts) // 2]
+        return sum(abs(s - usual) <= max(n, m) * syncmers.DRIFT for s in shifts) / len(x.keys() | y.keys())
+    fresh = dict(zip(e.tolist(), r.tolist()))
+    assert syncmers.likeness((len(one), pairs), (len(one), fresh)) == slow(len(one), pairs, len(one), fresh)
+
+
 def test_neighbours(spark, docs, nothing):
     def pairs(keys, bodies, nexts):
         import pyarrow as pa
