@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ringside import vocab
 from ringside.functions import geo, numbers, text
 from ringside.operators import cluster, spatial
+from ringside.session import shuffled
 from ringside.sources.mapped import tag
 
 c = F.col
@@ -271,7 +272,7 @@ def nearest_address(places: DataFrame, addresses: DataFrame, key="trace_id") ->
         places.select(c(key).alias("q_id"), c("lat").alias("q_lat"), c("lon").alias("q_lon")),
         spots.select(c("a_id").alias("c_id"), c("a_lat").alias("c_lat"), c("a_lon").alias("c_lon")), 1)
     return found.select(c("q_id").alias(key), c("c_id").alias("a_id"), "metres").join(
-        spots.select("a_id", "city", "street", "postcode"), "a_id")
+        shuffled(spots.select("a_id", "city", "street", "postcode")), "a_id")
 
 
 # ------------------------------------------------------------------------- places to look at
@@ -308,7 +309,7 @@ def unknown_places(places: DataFrame, venues: DataFrame, radius_m=200.0, key="pl
         spots.select(c("id").alias("c_id"), c("lat").alias("c_lat"), c("lon").alias("c_lon")), 1)
     far = near.where(c("metres") > radius_m).select(
         c("q_id").alias(key), c("c_id").alias("near_id"), F.bround("metres", 0).cast("int").alias("near_m"))
-    return places.join(far, key)
+    return places.join(shuffled(far), key)
 
 
 def not_already_listed(places: DataFrame, listed: DataFrame, radius_m=200.0) -> DataFrame:

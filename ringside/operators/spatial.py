@@ -93,7 +93,7 @@ def in_rings(points: DataFrame, rings: DataFrame, *, level: int, by=(),
     lat, lon = F.col(point[0]), F.col(point[1])
     placed = _with_cell(points.where(lat.isNotNull() & lon.isNotNull()), level, *point)
     boxes = lat.between(b("south"), b("north")) & lon.between(b("west"), b("east"))
-    return (placed.join(spread, [*by, "_cy", "_cx"]).where(boxes)
+    return (placed.join(shuffled(spread), [*by, "_cy", "_cx"]).where(boxes)
             .where(geo.in_ring(lat, lon, F.col(ring))).drop("_cy", "_cx", "_box"))
 
 

@@ -3,7 +3,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ringside import vocab
 from ringside.operators import audit, cluster, validation
-from ringside.session import cut_lineage
+from ringside.session import cut_lineage, shuffled
 from ringside.sources import mapped
 
 c = F.col
@@ -25,7 +25,7 @@ def audit_coverage(venues: DataFrame, elements: DataFrame, facilities: DataFrame
     examined = cut_lineage(audit.examine_traces(objects))
     groups = cut_lineage(audit.group_traces(audit.candidates(examined)))
     claimed = cut_lineage(audit.claims(groups, venues))
-    missing = audit.missing_tracks(groups, claimed)
+    missing = cut_lineage(audit.missing_tracks(groups, claimed))     # read by four steps
     named = audit.name_from_context(missing, facilities).select("trace_id", "place")
     school = audit.schools_around(missing, schools)
     address = audit.nearest_address(missing, addresses).select("trace_id", "city", "street", "postcode")
@@ -38,7 +38,7 @@ def audit_coverage(venues: DataFrame, elements: DataFrame, facilities: DataFrame
 def with_nearest_venue(missing: DataFrame, venues: DataFrame) -> DataFrame:
     """Missing tracks with the name and city of the nearest known venue, and the mapped object's address."""
     known = venues.select(c("id").alias("near_id"), c("nom").alias("near_name"), c("ville").alias("near_city"))
-    return missing.join(known, "near_id", "left").withColumn("url", F.concat(F.lit(vocab.OBJECT_URL), "osm"))
+    return missing.join(shuffled(known), "near_id", "left").withColumn("url", F.concat(F.lit(vocab.OBJECT_URL), "osm"))
 
 
 def places_to_look_at(venues: DataFrame, elements: DataFrame, features: DataFrame, communes: DataFrame,
@@ -59,7 +59,7 @@ def places_to_look_at(venues: DataFrame, elements: DataFrame, features: DataFram
     left = cut_lineage(audit.not_already_listed(heads, listed))
     address = audit.nearest_address(left, addresses, "place_id").select("place_id", "city", "street", "postcode")
     known = venues.select(c("id").alias("near_id"), c("nom").alias("near_name"))
-    left = left.join(address, "place_id", "left").join(known, "near_id", "left").orderBy(F.desc("near_m"), "place_id")
+    left = left.join(address, "place_id", "left").join(shuffled(known), "near_id", "left").orderBy(F.desc("near_m"), "place_id")
     left = left if limit is None else left.limit(limit)
     return {"places": left, "names": audit.cluster_names(grouped).join(left.select("leader"), "leader", "left_semi")}
 

@@ -9,6 +9,7 @@ import pytest
 
 from ringside.functions import geo
 from ringside.operators import cluster, facets, spatial
+from ringside.plans import coverage
 
 c = F.col
 
@@ -204,7 +205,11 @@ def test_joins_of_growing_sides_are_not_gathered_on_the_driver(spark, monkeypatc
     planned(found)
     a, b = frame(spark, crowd(21, 9), "a"), frame(spark, crowd(22, 9), "b")
     planned(spatial.within_radius(a, b, 200.0, left_point=("a_lat", "a_lon"), right_point=("b_lat", "b_lon"), how="left_anti"))
-    assert len(plans) >= 5 and not [p for p in plans if "Broadcast" in p]
+    missing = spark.createDataFrame([("t0", "a0000")], "trace_id string, near_id string").withColumn("osm", c("trace_id"))
+    planned(coverage.with_nearest_venue(missing, a.select(c("a").alias("id"), F.lit("n").alias("nom"), F.lit("v").alias("ville"))))
+    rings = spark.createDataFrame([("t", [(47.0, -2.0), (48.0, -2.0), (48.0, -1.0), (47.0, -2.0)])], "name string, ring array<struct<lat:double,lon:double>>")
+    planned(spatial.in_rings(a, rings, level=8, point=("a_lat", "a_lon")))
+    assert len(plans) >= 7 and not [p for p in plans if "Broadcast" in p]
 
 
 def test_in_rings(spark):
